@@ -3,11 +3,20 @@
 from __future__ import annotations
 
 import os
+import unicodedata
 from functools import lru_cache
 
 import numpy as np
 
-MEMO = 250_000
+MEMO = 500_000
+#: Signs that both kinds of rules cut from the letters before them and keep together.
+SIGNS = ".,;:!?"
+
+
+def _byte_alphabet() -> dict[int, str]:
+    """How byte-level tokenizers spell bytes: printable ones as themselves, the others in order from U+0100."""
+    plain = [b for b in range(256) if chr(b).isprintable() and not chr(b).isspace() and b != 0xAD]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in plain)}
 
 
 class Encoder:
@@ -26,11 +35,51 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.split = split
+        self.model = self.tokenizer.model
+        self.lowers = "Lowercase" in repr(self.tokenizer.normalizer)
+        self.spelling = _byte_alphabet()
         self.memo: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _word(self, word: str) -> bytes | None:
+        """The ids of letters alone (with the space before them), which the rules never cut: straight from the model."""
+        have = self.memo.get(word)
+        if have is None:
+            x = word
+            if self.lowers:
+                x = word.lower() if word.isascii() else unicodedata.normalize("NFC", word).lower()
+                if not x.isalpha() or "\u03a3" in word:
+                    return None
+            x = "".join(map(self.spelling.__getitem__, x.encode()))
+            have = self.memo[word] = np.array([t.id for t in self.model.tokenize(x)], "<u4").tobytes()
+        return have
+
+    def _chunk(self, chunk: str) -> bytes | None:
+        """The ids of a chunk made of letters, signs and single line ends; None for others."""
+        out = []
+        for i, part in enumerate(chunk.split("\n")):
+            core = part[1:] if self.split == "before" and not i and part[:1] == " " else part
+            letters = core.rstrip(SIGNS)
+            if not letters.isalpha():
+                return None
+            if i and self.split == "before":
+                out.append(self._sign("\n"))
+            word = self._word(part[: len(part) - len(core) + len(letters)])
+            if word is None:
+                return None
+            out.append(word)
+            if len(letters) < len(core):
+                out.append(self._sign(core[len(letters) :]))
+        return b"".join(out)
+
+    def _sign(self, sign: str) -> bytes:
+        have = self.memo.get(sign)
+        if have is None:
+            have = self.memo[sign] = self._encode([sign])[0]
+        return have
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         texts = [t or "" for t in texts]
         if not self.split:
@@ -50,8 +99,15 @@ class Encoder:
                 p = t.replace(" ", "\0 ").split("\0") if "\0" not in t else [t]
             parts.append(p)
             new.update((x, None) for x in p if x not in memo)
-        if new:
-            memo.update(zip(new, self._encode(list(new)), strict=True))
+        hard = []
+        for x in new:
+            ids = self._chunk(x)
+            if ids is None:
+                hard.append(x)
+            else:
+                memo[x] = ids
+        if hard:
+            memo.update(zip(hard, self._encode(hard), strict=True))
         for t, p in zip(texts, parts, strict=True):
             out.append(b"".join([memo[x] for x in p]) if p is not None else self._encode([t])[0])
         return out
