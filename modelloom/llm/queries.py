@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import new_path, prepare, table
+from . import langid, toxicity
 from .exact_dedup import dedup
 from .jaccard import jaccard_components
 from .mixing import mix, quality
 from .packing import pack
+from .span_dedup import remove_repeats
 from .token_output import read_checked, write_tokens
 
 
@@ -24,14 +26,35 @@ def op2_weighted_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"), quality()).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def remainder(divisor: int) -> F.Column:
+    """crc32 of doc_id as text, modulo `divisor`."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % divisor
+
+
+def op4_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").where(remainder(3) != 1))
+    return toxicity.score(docs, model).select("doc_id", (remainder(3) == 1).alias("held_out"), "score", "predicted", F.size("passages").alias("n_passages"))
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), k=3, percent=90)
 
 
+def op6_language_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(remainder(5) != 0))
+    return langid.identify(docs, model).select("doc_id", (remainder(5) == 0).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(table(spark, sf_dir, "documents"))
 
 
+def op8_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -40,6 +63,6 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_checked(spark, path)
 
 
-QUERIES = {f.__name__: f for f in (op1_sum_of_squares_packing, op2_weighted_mixing, op5_ngram_jaccard_join, op7_exact_dedup, op10_token_output)}
+QUERIES = {f.__name__: f for f in (op1_sum_of_squares_packing, op2_weighted_mixing, op4_toxic_segments, op5_ngram_jaccard_join, op6_language_centroids, op7_exact_dedup, op8_sentence_spans, op10_token_output)}
 
 ORACLE_SQL = {}
