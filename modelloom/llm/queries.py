@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from .common import new_path, prepare, table
 from . import langid, toxicity
+from .ann import nearest
+from .arc_warc import convert, pages_to_arc, read_warc
 from .exact_dedup import dedup
 from .jaccard import jaccard_components
 from .mixing import mix, quality
@@ -26,6 +28,11 @@ def op2_weighted_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"), quality()).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_one_bit_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return nearest(rows, rows.where("vec_id % 50 = 0"), 5)
+
+
 def remainder(divisor: int) -> F.Column:
     """crc32 of doc_id as text, modulo `divisor`."""
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % divisor
@@ -52,7 +59,13 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(table(spark, sf_dir, "documents"))
+    return remove_repeats(table(spark, sf_dir, "documents"), k=2, least=20)
+
+
+def op9_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "warc")
+    convert(pages_to_arc(table(spark, sf_dir, "pages")), path)
+    return read_warc(spark, path)
 
 
 def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,6 +76,6 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_checked(spark, path)
 
 
-QUERIES = {f.__name__: f for f in (op1_sum_of_squares_packing, op2_weighted_mixing, op4_toxic_segments, op5_ngram_jaccard_join, op6_language_centroids, op7_exact_dedup, op8_sentence_spans, op10_token_output)}
+QUERIES = {f.__name__: f for f in (op1_sum_of_squares_packing, op2_weighted_mixing, op3_one_bit_neighbours, op4_toxic_segments, op5_ngram_jaccard_join, op6_language_centroids, op7_exact_dedup, op8_sentence_spans, op9_arc_to_warc, op10_token_output)}
 
 ORACLE_SQL = {}
