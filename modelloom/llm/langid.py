@@ -152,3 +152,21 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, e - a), *cols], ["doc_id", "lang_pred", "score", "cosine", "rejected"])
 
     return only(docs, doc_id="bigint", text="string").mapInArrow(run, "doc_id long, lang_pred string, score double, cosine double, rejected boolean")
+
+
+def keep_identified(docs: DataFrame, model: Model | None) -> DataFrame:
+    """The rows of `docs` (its columns as they are) whose text `identify` would not reject."""
+    spark = docs.sparkSession
+    prepare(spark)
+    shared, at = spark.sparkContext.broadcast(model), docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for batch in batches:
+            for i in range(0, batch.num_rows, 64):
+                part = batch.slice(i, 64)
+                counts = ngram_counts([t or "" for t in part.column(at).to_pylist()])
+                keep = counts.any(axis=1) & (m.nearest(counts)[1] >= m.least if m is not None else False)
+                yield part.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
