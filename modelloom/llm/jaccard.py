@@ -7,8 +7,8 @@
    share at least l shingles of the prefixes lengthened by l - 1. Each set picks its own l in 1..MAX_L: the one of least
    estimated cost, sum(frequency) for reading lists + VERIFY * sum(frequency) / l for the pairs that can reach l matches.
    A pair needs the smaller l of the two.
-4. Stars: in each list the set that meets the shingle first in its own order leads; members are verified against the
-   leader only, so the pairs are as many as list entries. Components of the verified stars follow.
+4. Stars: in each list the set with the most left after the shingle leads; members are verified against leaders only,
+   first against the one they meet most often, then against those still in other components. Components follow.
 5. Rest: lists that hold two or more components are paired component by component first (by bounds on sizes and
    positions), then member by member, for pairs in different components only. Those with enough shared prefix shingles
    pass a bitmap bound and are verified. What is left out cannot link or is linked already, so components are exact.
@@ -194,8 +194,17 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     leaders = staged(lists.groupBy("token").agg(F.max(F.struct("rest", F.expr("-doc_id").alias("d"), "n")).alias("top"), F.count(F.lit(1)).alias("c")).where("c > 1").select("token", F.expr("-top.d").alias("leader"), F.col("top.n").alias("leader_n")), "leaders")
     fits = f"least({{x}}, {{y}}) * {100 + percent} >= ({{m}} + {{n}}) * {percent}"
     stars = lists.join(leaders, "token").where("doc_id <> leader").where(fits.format(x="n", y="leader_n", m="n", n="leader_n"))
-    stars = stars.select(F.least("doc_id", "leader").alias("a"), F.greatest("doc_id", "leader").alias("b")).distinct()
-    links = _links(stars, docs, single, k, percent)
+    stars = staged(stars.groupBy("doc_id", "leader").agg(F.count(F.lit(1)).alias("c")), "stars")
+    # first each member with the leader it meets most often, then with others that this has not put beside it
+    pair = [F.least("doc_id", "leader").alias("a"), F.greatest("doc_id", "leader").alias("b")]
+    first = stars.groupBy("doc_id").agg(F.max(F.struct("c", F.expr("-leader").alias("d"))).alias("top")).select("doc_id", F.expr("-top.d").alias("leader"))
+    links = _links(first.select(*pair).distinct(), docs, single, k, percent)
+    labels = components(links)
+    small = bounded(labels)
+    apart = stars.select("doc_id", "leader")
+    for c in apart.columns:
+        apart = apart.join(small.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in")), c, "left").withColumn(f"{c}_in", F.coalesce(f"{c}_in", c))
+    links = links.union(_links(apart.where("doc_id_in <> leader_in").select(*pair).distinct(), docs, single, k, percent))
     labels = components(links)
 
     # what may still link different components
