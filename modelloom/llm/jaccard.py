@@ -39,8 +39,8 @@ def _profile(k: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << COUNTERS, np.uint32)
-        names = ["doc_id", "n", "hi", "lo", "b0", "b1", "b2", "b3", "slice", "part", "counts"]
-        types = [pa.int64()] * 10 + [pa.binary()]
+        names = ["doc_id", "n", "hi", "lo", "bits", "slice", "part", "counts"]
+        types = [pa.int64()] * 4 + [pa.binary(), pa.int64(), pa.int64(), pa.binary()]
         for batch in batches:
             ids = batch.column(0)
             n, hi, lo, bits = [], [], [], []
@@ -49,16 +49,16 @@ def _profile(k: int):
                 with np.errstate(over="ignore"):
                     hi.append(int((s * np.uint64(0x9E3779B97F4A7C15)).sum(dtype=np.uint64).view(np.int64)))
                     lo.append(int(((s ^ (s >> np.uint64(31))) * np.uint64(0xC2B2AE3D27D4EB4F)).sum(dtype=np.uint64).view(np.int64)))
-                bits.append(np.packbits(np.bincount((s & np.uint64(255)).astype(np.int64), minlength=256).astype(np.uint8) & 1).view(np.int64))
+                wide = max(256, 1 << (len(s) - 1).bit_length() if len(s) else 0)
+                bits.append(np.packbits((np.bincount((s & np.uint64(wide - 1)).astype(np.int64), minlength=wide) & 1).astype(np.uint8)).tobytes())
                 np.add.at(counts, (s >> np.uint64(64 - COUNTERS)).astype(np.int64), 1)
-            b = np.array(bits, np.int64).reshape(-1, 4)
             none = pa.nulls(len(ids), pa.int64())
-            cols = [ids, pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), *(pa.array(np.ascontiguousarray(b[:, i])) for i in range(4)), none, none, pa.nulls(len(ids), pa.binary())]
+            cols = [ids, pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(bits, pa.binary()), none, none, pa.nulls(len(ids), pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, names)
         part = TaskContext.get().partitionId()
         for i, x in enumerate(np.split(counts, 1 << SLICES)):
             if x.any():
-                row = [None] * 8 + [i, part, zlib.compress(x.tobytes(), 1)]
+                row = [None] * 5 + [i, part, zlib.compress(x.tobytes(), 1)]
                 yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], names)
 
     return run
@@ -128,6 +128,25 @@ def _sets(k: int):
     return run
 
 
+def _near(percent: int):
+    """Keeps the pairs whose parity bitmaps, the wider folded onto the narrower, leave the threshold open."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y, n in zip(batch.column("bitsa"), batch.column("bitsb"), (batch.column("na").to_numpy() + batch.column("nb").to_numpy()).tolist(), strict=True):
+                p, q = np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)
+                while len(p) > len(q):
+                    p = p[: len(p) // 2] ^ p[len(p) // 2 :]
+                while len(q) > len(p):
+                    q = q[: len(q) // 2] ^ q[len(q) // 2 :]
+                # |A xor B| = |A| + |B| - 2 |A and B| <= (|A| + |B|) (100 - t) / (100 + t)
+                keep.append(int(np.bitwise_count(p ^ q).sum()) * (100 + percent) <= n * (100 - percent))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
 def _check(percent: int):
     """Keeps the pairs whose sets reach the threshold."""
 
@@ -145,13 +164,11 @@ def _check(percent: int):
 
 
 def _links(pairs: DataFrame, docs: DataFrame, profile: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that reach the threshold: first by a bitmap that bounds the sets' difference from below, then by the sets."""
-    bits = profile.select("doc_id", "n", "b0", "b1", "b2", "b3")
+    """The pairs (a, b) that reach the threshold: first by bitmaps that bound the sets' difference from below, then by the sets."""
+    bits = profile.select("doc_id", "n", "bits")
     for side in ("a", "b"):
         pairs = pairs.join(bits.select(F.col("doc_id").alias(side), *(F.col(c).alias(f"{c}{side}") for c in bits.columns[1:])), side)
-    differ = sum((F.bit_count(F.col(f"b{i}a").bitwiseXOR(F.col(f"b{i}b"))) for i in range(4)), F.lit(0))
-    # |A xor B| = |A| + |B| - 2 |A and B| <= (|A| + |B|) (100 - t) / (100 + t)
-    near = pairs.where(differ * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)).select("a", "b")
+    near = pairs.select("a", "b", "na", "nb", "bitsa", "bitsb").mapInArrow(_near(percent), "a long, b long")
     near = staged(near, "near")
     wanted = staged(near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct(), "wanted")
     few = wanted.count() <= BROADCAST_ROWS
@@ -174,7 +191,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     spark = docs.sparkSession
     prepare(spark)
     docs = only(docs, doc_id="bigint", text="string")
-    shape = "doc_id long, n long, hi long, lo long, b0 long, b1 long, b2 long, b3 long, slice long, part long, counts binary"
+    shape = "doc_id long, n long, hi long, lo long, bits binary, slice long, part long, counts binary"
     gathered = staged(docs.mapInArrow(_profile(k), shape), "profile")
     frequencies = _frequencies(gathered.where("slice IS NOT NULL"))
     noise = float(frequencies.mean())
