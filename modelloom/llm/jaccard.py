@@ -31,7 +31,7 @@ from .components import components, groups
 MAX_L = 4
 VERIFY = 8.0
 #: log2 of the sketch's counters and of its slices.
-COUNTERS, SLICES = 22, 6
+COUNTERS, SLICES = 24, 6
 
 
 def _profile(k: int):
@@ -75,22 +75,27 @@ def _sum_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([zlib.compress(x.astype(np.uint32).tobytes(), 1)], pa.binary())], ["slice", "counts"])
 
 
-def _frequencies(slices: DataFrame) -> np.ndarray:
-    """The summed counters: 16 MB whatever the input, in two steps so that no task reads every task's slice."""
+def _frequencies(slices: DataFrame) -> tuple[np.ndarray, float]:
+    """Frequency classes, 16 MB whatever the input, and their unit: class c has about (2^c - 1) units beyond what chance
+    puts into a counter. Summed in two steps, so that no task reads every task's slice."""
     shape = "slice long, counts binary"
     first = slices.repartition(F.col("slice"), F.col("part") % 16).select("slice", "counts").mapInArrow(_sum_slices, shape)
-    rows = first.repartition("slice").mapInArrow(_sum_slices, shape).collect()
-    out = np.zeros((1 << SLICES, 1 << (COUNTERS - SLICES)), np.uint32)
-    for r in rows:
-        out[r["slice"]] = np.frombuffer(zlib.decompress(r["counts"]), np.uint32)
-    return out.reshape(-1)
+    summed = staged(first.repartition("slice").mapInArrow(_sum_slices, shape), "counters")
+    classes = np.zeros((1 << SLICES, 1 << (COUNTERS - SLICES)), np.uint8)
+    noise = sum(float(np.frombuffer(zlib.decompress(r["counts"]), np.uint32).sum(dtype=np.float64)) for r in summed.toLocalIterator()) / classes.size
+    unit = 3.0 * noise + 1.0
+    for r in summed.toLocalIterator():
+        over = np.maximum(np.frombuffer(zlib.decompress(r["counts"]), np.uint32).astype(np.float32) - noise, 0.0)
+        classes[r["slice"]] = np.log2(1.0 + over / unit)
+    return classes.reshape(-1), unit
 
 
 def _prefixes(k: int, percent: int, frequencies):
     """Rows (token, doc_id, n, rest, l): rest is n less the token's position in the document's order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f, noise = frequencies.value
+        f, unit = frequencies.value
+        weight = (np.exp2(np.arange(64)) - 1.0) * unit
         for batch in batches:
             ids = batch.column(0).to_numpy()
             out: list[list[np.ndarray]] = [[], [], [], [], []]
@@ -99,10 +104,10 @@ def _prefixes(k: int, percent: int, frequencies):
                 if not n:
                     continue
                 base = n - -(-percent * n // 100) + 1
-                over = np.maximum(f[(s >> np.uint64(64 - COUNTERS)).astype(np.int64)] - noise, 0.0)
+                level = f[(s >> np.uint64(64 - COUNTERS)).astype(np.int64)]
                 # few sets need their tail in order: rare ones come by hash, and only the prefix is taken
-                order = np.lexsort((s, np.floor(np.log2(1.0 + over / (3.0 * noise + 1.0)))))[: base + MAX_L - 1]
-                reads = np.cumsum(over[order])
+                order = np.lexsort((s, level))[: base + MAX_L - 1]
+                reads = np.cumsum(weight[level[order]])
                 last = np.minimum(np.arange(base, base + MAX_L), len(order)) - 1
                 ls = np.arange(1, MAX_L + 1)
                 best = int(np.argmin(reads[last] * (1.0 + VERIFY / ls)))
@@ -193,9 +198,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     docs = only(docs, doc_id="bigint", text="string")
     shape = "doc_id long, n long, hi long, lo long, bits binary, slice long, part long, counts binary"
     gathered = staged(docs.mapInArrow(_profile(k), shape), "profile")
-    frequencies = _frequencies(gathered.where("slice IS NOT NULL"))
-    noise = float(frequencies.mean())
-    shared = spark.sparkContext.broadcast((np.minimum(frequencies, 1 << 24).astype(np.float32), noise))
+    shared = spark.sparkContext.broadcast(_frequencies(gathered.where("slice IS NOT NULL")))
     rows = gathered.where("slice IS NULL").drop("slice", "part", "counts")
     profile = staged(groups(rows, ["n", "hi", "lo"], "doc_id"), "classes")
     single = profile.where("n > 0 AND doc_id = first_id").dropDuplicates(["doc_id"])
@@ -227,13 +230,15 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     # what may still link different components
     joined = lists.join(bounded(labels.withColumnRenamed("node", "doc_id")), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     joined = staged(joined, "labelled")
-    mixed = joined.groupBy("token", "component").agg(F.max(F.expr("rest + l - 1")).alias("rest"), F.min("n").alias("n"))
+    mixed = joined.groupBy("token", "component").agg(F.max(F.expr("rest + l - 1")).alias("rest"), F.min("n").alias("n"), F.min("l").alias("l"))
     mixed = staged(mixed, "mixed")
     several = mixed.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("token")
     mixed = staged(mixed.join(several, "token", "left_semi"), "several")
-    p, q = (mixed.select("token", *(F.col(c).alias(f"{c}{x}") for c in ("component", "rest", "n"))) for x in "ab")
-    meet = p.join(q, "token").where("componenta < componentb").where(fits.format(x="resta", y="restb", m="na", n="nb")).select("token", "componenta", "componentb")
+    p, q = (mixed.select("token", *(F.col(c).alias(f"{c}{x}") for c in ("component", "rest", "n", "l"))) for x in "ab")
+    meet = p.join(q, "token").where("componenta < componentb").where(fits.format(x="resta", y="restb", m="na", n="nb")).select("token", "componenta", "componentb", F.least("la", "lb").alias("l"))
     meet = staged(meet, "meet")
+    enough = meet.groupBy("componenta", "componentb").agg(F.count(F.lit(1)).alias("c"), F.min("l").alias("least")).where("c >= least")
+    meet = staged(meet.drop("l").join(enough.select("componenta", "componentb"), ["componenta", "componentb"], "left_semi"), "enough")
     a, b = (joined.select("token", F.col("component").alias(f"component{x}"), F.col("doc_id").alias(x), *(F.col(c).alias(f"{c}{x}") for c in ("n", "rest", "l"))) for x in "ab")
     cross = meet.join(a, ["token", "componenta"]).join(b, ["token", "componentb"])
     cross = cross.where(fits.format(x="least(resta, restb) + least(la, lb) - 1", y="least(na, nb)", m="na", n="nb"))
