@@ -1,4 +1,198 @@
 """Name -> query over the driver's tables, and the SQL that says the same."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import text
+from .operators.rules import QA, SQL, Rule, findings
+from .operators.scoring import category_scores
+from .plans.derived import duck, view
+
+
+def measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, sf_dir, "dv_measures").withColumn("masked", text.mask_dax(F.col("expression")))
+
+
+def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, sf_dir, "dv_statements").withColumn("masked", text.mask_sql(F.col("statement")))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = measures(spark, sf_dir)
+    return category_scores(findings(rows, [QA[0]], "name"), rows.groupBy(F.lit("DAX").alias("category")).agg(F.count(F.lit(1)).alias("population")))
+
+
+def mask_dax(spark, sf_dir):
+    return measures(spark, sf_dir).select("name", "masked")
+
+
+def mask_sql(spark, sf_dir):
+    return statements(spark, sf_dir).select("ord", "masked")
+
+
+def count_calls(spark, sf_dir):
+    return measures(spark, sf_dir).select("name", text.count_calls(F.col("masked"), "IF").alias("n_if"), text.count_calls(F.col("masked"), "SUM").alias("n_sum"), text.count_calls(F.col("masked"), "FILTER").alias("n_filter"))
+
+
+def measure_refs(spark, sf_dir):
+    return measures(spark, sf_dir).select("name", F.explode(text.referenced_measures(F.col("masked"))).alias("ref"))
+
+
+def line_count(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", text.line_count(F.col("text")).alias("lines"))
+
+
+def missing_dependency(spark, sf_dir):
+    """References to measures that no one defines: an anti-join on the name."""
+    return measure_refs(spark, sf_dir).join(measures(spark, sf_dir).select(F.col("name").alias("ref")), "ref", "left_anti").select("name", "ref")
+
+
+def callers_index(spark, sf_dir):
+    known = measures(spark, sf_dir).select(F.col("name").alias("ref"))
+    return measure_refs(spark, sf_dir).where("name <> ref").join(known, "ref", "left_semi").groupBy("ref").agg(F.count_distinct("name").alias("callers"))
+
+
+def unused_measures(spark, sf_dir):
+    """Measures that no visual binds and no other measure calls."""
+    m = view(spark, sf_dir, "dv_measures").select("name")
+    used = view(spark, sf_dir, "dv_visuals").select(F.col("field").alias("name"))
+    called = measure_refs(spark, sf_dir).where("name <> ref").select(F.col("ref").alias("name"))
+    return m.join(used, "name", "left_anti").join(called, "name", "left_anti")
+
+
+def measures_not_on_page(spark, sf_dir):
+    return view(spark, sf_dir, "dv_measures").select("name").join(view(spark, sf_dir, "dv_visuals").select(F.col("field").alias("name")), "name", "left_anti")
+
+
+def broken_fields(spark, sf_dir):
+    known = view(spark, sf_dir, "dv_measures").select(F.col("name").alias("field"))
+    return view(spark, sf_dir, "dv_visuals").join(known, "field", "left_anti").select("page", "visual_id", "field")
+
+
+def usage_lookup(spark, sf_dir):
+    v = view(spark, sf_dir, "dv_visuals")
+    return v.join(view(spark, sf_dir, "dv_measures").select(F.col("name").alias("field")), "field").groupBy("field").agg(F.count_distinct("page").alias("pages"), F.count(F.lit(1)).alias("visuals"))
+
+
+def crowded_pages(spark, sf_dir):
+    n = view(spark, sf_dir, "dv_visuals").groupBy("page").agg(F.count(F.lit(1)).alias("visuals"))
+    return n.where("visuals > 20").select("page", "visuals", F.when(F.col("visuals") > 30, "high").otherwise("medium").alias("severity"))
+
+
+def slicer_pages(spark, sf_dir):
+    return view(spark, sf_dir, "dv_visuals").groupBy("page").agg(F.count_if(F.col("type") == "slicer").alias("slicers")).where("slicers > 6")
+
+
+def page_complexity(spark, sf_dir):
+    """Points of visuals, slicers and distinct fields, clamped, with a band."""
+    v = view(spark, sf_dir, "dv_visuals").groupBy("page").agg((F.count(F.lit(1)) * 2 + F.count_if(F.col("type") == "slicer") * 4 + F.count_distinct("field")).alias("points"))
+    score = F.least(F.lit(100), "points").cast("bigint")
+    band = F.when(score < 30, "simple").when(score < 60, "moderate").when(score < 80, "complex").otherwise("very complex")
+    return v.select("page", score.alias("score"), band.alias("band"))
+
+
+def duplicate_type_pages(spark, sf_dir):
+    return view(spark, sf_dir, "dv_visuals").groupBy("page", "field").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
+
+
+def severity_histogram(spark, sf_dir):
+    domain = spark.createDataFrame([("critical",), ("high",), ("medium",), ("low",)], "severity string")
+    n = findings(measures(spark, sf_dir), QA, "name").groupBy("severity").agg(F.count(F.lit(1)).alias("n"))
+    return domain.join(n, "severity", "left").select("severity", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def dax_score(spark, sf_dir):
+    rows = measures(spark, sf_dir)
+    return category_scores(findings(rows, QA, "name"), rows.groupBy(F.lit("DAX").alias("category")).agg(F.count(F.lit(1)).alias("population")))
+
+
+def primary_host(spark, sf_dir):
+    """Leader against runner-up of the tables that a page's fields live in, by a window over each page."""
+    from pyspark.sql import Window
+
+    v = view(spark, sf_dir, "dv_visuals").groupBy("page", "type").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy("page").orderBy(F.desc("n"), "type")
+    top = v.withColumns({"rank": F.row_number().over(w), "second": F.lead("n").over(w)}).where("rank = 1")
+    return top.select("page", "type", "n", (F.col("n") * 2 >= F.coalesce("second", F.lit(0)) * 3).alias("clear"))
+
+
+def self_loops(spark, sf_dir):
+    return view(spark, sf_dir, "dv_relations").where("a = b").select("ord", "a")
+
+
+QUERIES = {f.__name__: f for f in (flagship, mask_dax, mask_sql, count_calls, measure_refs, line_count, missing_dependency, callers_index, unused_measures, measures_not_on_page, broken_fields, usage_lookup, crowded_pages, slicer_pages, page_complexity, duplicate_type_pages, severity_histogram, dax_score, primary_host, self_loops)}
+
+
+def _rule(rule: Rule, of: str):
+    def run(spark, sf_dir):
+        rows, key = (measures(spark, sf_dir), "name") if of == "qa" else (statements(spark, sf_dir).withColumn("key", F.col("ord").cast("string")), "key")
+        return findings(rows, [rule], key)
+
+    return run
+
+
+QUERIES |= {f"qa_{r.id.lower().replace('-', '_')}": _rule(r, "qa") for r in QA}
+QUERIES |= {f"sqlrule_{r.id.lower()[4:].replace('-', '_')}": _rule(r, "sql") for r in SQL}
+
+# --- SQL for DuckDB ----------------------------------------------------------
+
+def _duck_mask(column: str, tokens: str, noise: str) -> str:
+    q = lambda x: x.replace("'", "''")
+    return f"array_to_string(list_transform(regexp_extract_all({column}, '{q(tokens)}'), lambda t: CASE WHEN regexp_matches(t, '{q(noise)}') THEN regexp_replace(t, '[^\\n]', ' ', 'g') ELSE t END), '')"
+
+
+_MEASURES = f"m AS (SELECT *, {_duck_mask('expression', text.DAX_TOKENS, chr(94) + '(//|--|/\\*|' + chr(34) + ')')} AS masked FROM ({duck('dv_measures')}))"
+_STATEMENTS = f"s AS (SELECT *, {_duck_mask('statement', text.SQL_TOKENS, chr(94) + '(--|/\\*|' + chr(39) + ')')} AS masked FROM ({duck('dv_statements')}))"
+_VISUALS = f"v AS ({duck('dv_visuals')})"
+_REFS = r"r AS (SELECT DISTINCT name, unnest(regexp_extract_all(masked, '(^|[^A-Za-z0-9_''\]])\[([^\]]+)\]', 2)) AS ref FROM m)"
+_calls = lambda f: rf"CAST(len(regexp_extract_all(masked, '(?i)\b{f}\s*\(')) AS BIGINT)"
+_QA = {
+    "DAX-DIVISION": "regexp_matches(masked, '(^|[^/*])/([^/*]|$)')",
+    "DAX-IF-CHAIN": f"{_calls('IF')} >= 5 AND {_calls('SWITCH')} = 0",
+    "DAX-COMPLEX-MEASURE": "length(expression) > 900",
+    "DAX-NO-FORMAT": "format_string IS NULL AND NOT is_hidden",
+}
+_has = lambda p, c="masked": f"regexp_matches({c}, '(?i){p}')"
+_LIMIT = _has(r"\b(TOP|LIMIT|FETCH|OFFSET|ROW_NUMBER)\b")
+_SQL = {
+    "SQL-SELECT-STAR": _has(r"\bSELECT\s+(DISTINCT\s+|TOP\s+\d+\s+)*\*"),
+    "SQL-ORDER-BY": _has(r"\bORDER\s+BY\b[^)]*\z") + f" AND NOT {_LIMIT}",
+    "SQL-NON-SARGABLE-YEAR": _has(r"\bYEAR\s*\([^)]*\)\s*=\s*\d{4}"),
+    "SQL-LEADING-WILDCARD": _has(r"\bLIKE\s+''%", "statement") + " AND " + _has(r"\bLIKE\b"),
+    "SQL-REDUNDANT-DISTINCT": _has(r"\bDISTINCT\b") + " AND " + _has(r"\bGROUP\s+BY\b"),
+    "SQL-NO-FILTER": _has(r"\bFROM\b") + " AND NOT " + _has(r"\bWHERE\b") + f" AND NOT {_LIMIT}",
+    "SQL-IMPLICIT-CONVERSION": _has(r"[A-Za-z0-9_\]]\s*=\s*''\d+''", "statement"),
+    "SQL-CORRELATED-SUBQUERY": _has(r"\b(EXISTS|IN)\s*\(\s*SELECT\b"),
+    "SQL-MANY-JOINS": r"len(regexp_extract_all(masked, '(?i)\bJOIN\b')) >= 5",
+    "SQL-NOLOCK": _has(r"\bNOLOCK\b") + " AND connector = 'Sql.Database'",
+    "SQL-NESTED-SELECT-STAR": _has(r"\(\s*SELECT\s+\*"),
+}
+_DIVISIONS = f"SELECT count(*) FROM m WHERE {_QA['DAX-DIVISION']}"
+
+ORACLE_SQL = {
+    "flagship": f"WITH {_MEASURES}, a AS (SELECT CAST(6 * count(*) AS BIGINT) AS affected FROM m WHERE {_QA['DAX-DIVISION']}), p AS (SELECT count(*) AS population FROM m) SELECT 'DAX' AS category, affected, population, CAST(least(100, greatest(0, floor(100.0::DOUBLE * (1.0::DOUBLE - affected / (population * 10.0::DOUBLE)) + 0.5))) AS BIGINT) AS score FROM a, p",
+    "mask_dax": f"WITH {_MEASURES} SELECT name, masked FROM m",
+    "mask_sql": f"WITH {_STATEMENTS} SELECT ord, masked FROM s",
+    "count_calls": f"WITH {_MEASURES} SELECT name, {_calls('IF')} AS n_if, {_calls('SUM')} AS n_sum, {_calls('FILTER')} AS n_filter FROM m",
+    "measure_refs": f"WITH {_MEASURES}, {_REFS} SELECT name, ref FROM r",
+    "line_count": r"SELECT doc_id, CAST(len(regexp_split_to_array(text, '\r?\n')) AS BIGINT) AS lines FROM documents",
+    "missing_dependency": f"WITH {_MEASURES}, {_REFS} SELECT name, ref FROM r WHERE ref NOT IN (SELECT name FROM m)",
+    "callers_index": f"WITH {_MEASURES}, {_REFS} SELECT ref, count(DISTINCT name) AS callers FROM r WHERE name <> ref AND ref IN (SELECT name FROM m) GROUP BY ref",
+    "unused_measures": f"WITH {_MEASURES}, {_REFS}, {_VISUALS} SELECT name FROM m WHERE name NOT IN (SELECT field FROM v) AND name NOT IN (SELECT ref FROM r WHERE name <> ref)",
+    "measures_not_on_page": f"WITH {_MEASURES}, {_VISUALS} SELECT name FROM m WHERE name NOT IN (SELECT field FROM v)",
+    "broken_fields": f"WITH {_MEASURES}, {_VISUALS} SELECT page, visual_id, field FROM v WHERE field NOT IN (SELECT name FROM m)",
+    "usage_lookup": f"WITH {_MEASURES}, {_VISUALS} SELECT field, count(DISTINCT page) AS pages, count(*) AS visuals FROM v WHERE field IN (SELECT name FROM m) GROUP BY field",
+    "crowded_pages": f"WITH {_VISUALS} SELECT page, count(*) AS visuals, CASE WHEN count(*) > 30 THEN 'high' ELSE 'medium' END AS severity FROM v GROUP BY page HAVING count(*) > 20",
+    "slicer_pages": f"WITH {_VISUALS} SELECT page, count(*) FILTER (WHERE type = 'slicer') AS slicers FROM v GROUP BY page HAVING count(*) FILTER (WHERE type = 'slicer') > 6",
+    "page_complexity": f"WITH {_VISUALS}, c AS (SELECT page, least(100, count(*) * 2 + count(*) FILTER (WHERE type = 'slicer') * 4 + count(DISTINCT field)) AS score FROM v GROUP BY page) SELECT page, CAST(score AS BIGINT) AS score, CASE WHEN score < 30 THEN 'simple' WHEN score < 60 THEN 'moderate' WHEN score < 80 THEN 'complex' ELSE 'very complex' END AS band FROM c",
+    "duplicate_type_pages": f"WITH {_VISUALS} SELECT page, field, count(*) AS n FROM v GROUP BY page, field HAVING count(*) >= 2",
+    "primary_host": f"WITH {_VISUALS}, c AS (SELECT page, type, count(*) AS n FROM v GROUP BY page, type), w AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY n DESC, type) AS rank, lead(n) OVER (PARTITION BY page ORDER BY n DESC, type) AS second FROM c) SELECT page, type, n, n * 2 >= coalesce(second, 0) * 3 AS clear FROM w WHERE rank = 1",
+    "self_loops": f"SELECT ord, a FROM ({duck('dv_relations')}) WHERE a = b",
+}
+for _r in QA:
+    if _r.id in _QA:
+        ORACLE_SQL[f"qa_{_r.id.lower().replace('-', '_')}"] = f"WITH {_MEASURES} SELECT '{_r.id}' AS rule_id, '{_r.category}' AS category, '{_r.severity}' AS severity, name AS target FROM m WHERE {_QA[_r.id]}"
+for _r in SQL:
+    ORACLE_SQL[f"sqlrule_{_r.id.lower()[4:].replace('-', '_')}"] = f"WITH {_STATEMENTS} SELECT '{_r.id}' AS rule_id, '{_r.category}' AS category, '{_r.severity}' AS severity, CAST(ord AS VARCHAR) AS target FROM s WHERE {_SQL[_r.id]}"
