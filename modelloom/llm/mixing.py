@@ -90,7 +90,8 @@ def mixed_documents(docs: DataFrame, weight: F.Column | None = None, seed: str =
     joined = docs.join(bounded(counted), F.expr("doc_id <=> mixed_id"))
     copies = joined.withColumn("copy", F.explode(F.expr("sequence(1, cast(epochs + if(part > 0, 1, 0) as int))")))
     cut = F.expr("copy > epochs AND part < size")
-    first = F.expr(r"regexp_substr(text, concat('^[\\x20\\x09-\\x0D]*+(?:[^\\x20\\x09-\\x0D]++[\\x20\\x09-\\x0D]*+){', part, '}'))")
+    # word by word: a counted group would recurse once a word
+    first = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++"), F.lit(0)), F.lit(1), F.col("part").cast("int")), "")
     out = copies.withColumn("text", F.when(cut, first).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(cut, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
