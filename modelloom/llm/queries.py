@@ -12,6 +12,7 @@ from .arc_warc import convert, pages_to_arc, read_warc
 from .exact_dedup import dedup
 from .jaccard import jaccard_components
 from .mixing import mix, quality
+from .oracle import ORACLE_SQL as ORACLE_SQL
 from .packing import pack
 from .span_dedup import remove_repeats
 from .token_output import read_checked, write_tokens
@@ -77,5 +78,3 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_sum_of_squares_packing, op2_weighted_mixing, op3_one_bit_neighbours, op4_toxic_segments, op5_ngram_jaccard_join, op6_language_centroids, op7_exact_dedup, op8_sentence_spans, op9_arc_to_warc, op10_token_output)}
-
-ORACLE_SQL = {}
