@@ -37,10 +37,14 @@ QA = [
 _sql = lambda pattern: F.col("masked").rlike(f"(?i){pattern}")
 _raw = lambda pattern: F.col("statement").rlike(f"(?i){pattern}")
 _limited = lambda: _sql(r"\b(TOP|LIMIT|FETCH|OFFSET|ROW_NUMBER)\b")
+#: Functions that keep a filtered column from its index, and the comparisons they stand before.
+FUNCTIONS = "UPPER|LOWER|LTRIM|RTRIM|TRIM|CONVERT|CAST|SUBSTRING|LEFT|RIGHT|ISNULL|COALESCE|DATEPART|MONTH|DAY"
+COMPARED = rf"\b({FUNCTIONS})\s*\([^)]*\)\s*(?:<>|!=|[=<>]=?|\bLIKE\b|\bIN\b)"
 SQL = [
     Rule("SQL-SELECT-STAR", "SQL", "medium", lambda: _sql(r"\bSELECT\s+(DISTINCT\s+|TOP\s+\d+\s+)*\*")),
     Rule("SQL-ORDER-BY", "SQL", "medium", lambda: _sql(r"\bORDER\s+BY\b[^)]*\z") & ~_limited()),
     Rule("SQL-NON-SARGABLE-YEAR", "SQL", "high", lambda: _sql(r"\bYEAR\s*\([^)]*\)\s*=\s*\d{4}")),
+    Rule("SQL-NON-SARGABLE-FUNCTION", "SQL", "medium", lambda: _sql(COMPARED)),
     Rule("SQL-LEADING-WILDCARD", "SQL", "medium", lambda: _raw(r"\bLIKE\s+'%") & _sql(r"\bLIKE\b")),
     Rule("SQL-REDUNDANT-DISTINCT", "SQL", "medium", lambda: _sql(r"\bDISTINCT\b") & _sql(r"\bGROUP\s+BY\b")),
     Rule("SQL-NO-FILTER", "SQL", "medium", lambda: _sql(r"\bFROM\b") & ~_sql(r"\bWHERE\b") & ~_limited()),

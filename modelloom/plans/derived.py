@@ -35,9 +35,15 @@ STATEMENTS = f"""SELECT s_suppkey AS ord, CASE s_suppkey%4 WHEN 0 THEN 'Sql.Data
    WHEN 10 THEN 'SELECT a {_FROM} WITH (NOLOCK) WHERE a > 1' WHEN 11 THEN 'SELECT a FROM (SELECT * {_FROM}) q WHERE a > 1 /* SELECT * */'
    ELSE 'SELECT a {_FROM} WHERE a > 1 AND note = ''SELECT * ORDER BY --''' END AS statement FROM {{supplier}}"""
 
-RELATIONS = "SELECT n_nationkey AS ord, 'T'||CAST(n_nationkey AS STRING) AS a, 'T'||CAST((n_nationkey*7+3)%25 AS STRING) AS b FROM {nation}"
+RELATIONS = """SELECT n_nationkey AS ord, 'T'||CAST(n_nationkey AS STRING) AS a, 'T'||CAST((n_nationkey*7+3)%25 AS STRING) AS b, n_nationkey%2=0 AS from_many,
+  n_nationkey%4=0 AS to_many, n_nationkey%5=0 AS both_directions, n_nationkey%7<>3 AS active FROM {nation}"""
 
-VIEWS = {"dv_measures": (MEASURES, ("part",)), "dv_visuals": (VISUALS, ("part", "events")), "dv_statements": (STATEMENTS, ("supplier",)), "dv_relations": (RELATIONS, ("nation",))}
+_TABLE = "CASE WHEN s_suppkey%23=0 THEN 'LocalDateTable_'||CAST(s_suppkey AS STRING) ELSE 'T'||CAST(s_suppkey AS STRING) END"
+TABLES = f"SELECT s_suppkey AS ord, {_TABLE} AS name, CASE WHEN s_suppkey%4=0 THEN '' WHEN s_suppkey%4=1 THEN NULL ELSE 'About it' END AS description, s_suppkey%9=0 AS is_hidden FROM {{supplier}}"
+COLUMNS = f"""SELECT s_suppkey AS ord, {_TABLE} AS tbl, CASE WHEN s_suppkey%10=0 THEN {_m('s_suppkey')} ELSE 'Key' END AS name, CASE WHEN s_suppkey%3=1 THEN 'string' ELSE 'int64' END AS data_type,
+  CASE WHEN s_suppkey%8=0 THEN 'calculated' ELSE 'data' END AS kind, CASE WHEN s_suppkey%6=0 THEN NULL ELSE s_nationkey*100000 END AS cardinality FROM {{supplier}}"""
+
+VIEWS = {"dv_measures": (MEASURES, ("part",)), "dv_visuals": (VISUALS, ("part", "events")), "dv_statements": (STATEMENTS, ("supplier",)), "dv_relations": (RELATIONS, ("nation",)), "dv_tables": (TABLES, ("supplier",)), "dv_columns": (COLUMNS, ("supplier",))}
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text
-from .operators.rules import QA, SQL, Rule, findings
+from .operators import model_rules
+from .operators.model_rules import Views
+from .operators.rules import COMPARED, QA, SQL, Rule, findings
 from .operators.scoring import category_scores
 from .plans.derived import duck, view
 
@@ -125,6 +127,13 @@ def self_loops(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (flagship, mask_dax, mask_sql, count_calls, measure_refs, line_count, missing_dependency, callers_index, unused_measures, measures_not_on_page, broken_fields, usage_lookup, crowded_pages, slicer_pages, page_complexity, duplicate_type_pages, severity_histogram, dax_score, primary_host, self_loops)}
 
 
+def _model_rule(name: str):
+    return lambda spark, sf_dir: model_rules.RULES[name](Views(spark, sf_dir))
+
+
+QUERIES |= {name: _model_rule(name) for name in model_rules.RULES}
+
+
 def _rule(rule: Rule, of: str):
     def run(spark, sf_dir):
         rows, key = (measures(spark, sf_dir), "name") if of == "qa" else (statements(spark, sf_dir).withColumn("key", F.col("ord").cast("string")), "key")
@@ -160,6 +169,7 @@ _SQL = {
     "SQL-SELECT-STAR": _has(r"\bSELECT\s+(DISTINCT\s+|TOP\s+\d+\s+)*\*"),
     "SQL-ORDER-BY": _has(r"\bORDER\s+BY\b[^)]*\z") + f" AND NOT {_LIMIT}",
     "SQL-NON-SARGABLE-YEAR": _has(r"\bYEAR\s*\([^)]*\)\s*=\s*\d{4}"),
+    "SQL-NON-SARGABLE-FUNCTION": _has(COMPARED),
     "SQL-LEADING-WILDCARD": _has(r"\bLIKE\s+''%", "statement") + " AND " + _has(r"\bLIKE\b"),
     "SQL-REDUNDANT-DISTINCT": _has(r"\bDISTINCT\b") + " AND " + _has(r"\bGROUP\s+BY\b"),
     "SQL-NO-FILTER": _has(r"\bFROM\b") + " AND NOT " + _has(r"\bWHERE\b") + f" AND NOT {_LIMIT}",
@@ -196,3 +206,6 @@ for _r in QA:
         ORACLE_SQL[f"qa_{_r.id.lower().replace('-', '_')}"] = f"WITH {_MEASURES} SELECT '{_r.id}' AS rule_id, '{_r.category}' AS category, '{_r.severity}' AS severity, name AS target FROM m WHERE {_QA[_r.id]}"
 for _r in SQL:
     ORACLE_SQL[f"sqlrule_{_r.id.lower()[4:].replace('-', '_')}"] = f"WITH {_STATEMENTS} SELECT '{_r.id}' AS rule_id, '{_r.category}' AS category, '{_r.severity}' AS severity, CAST(ord AS VARCHAR) AS target FROM s WHERE {_SQL[_r.id]}"
+
+_VIEWS = ", ".join(f"{x} AS ({duck(y)})" for x, y in (("v", "dv_visuals"), ("rel", "dv_relations"), ("tab", "dv_tables"), ("col", "dv_columns")))
+ORACLE_SQL |= {name: f"WITH {_MEASURES}, {_REFS}, {_VIEWS} {sql}" for name, sql in model_rules.SQL.items()}
