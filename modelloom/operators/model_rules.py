@@ -104,8 +104,8 @@ def _mismatches(v: Views) -> DataFrame:
     return v.get("dv_relations").join(a, "a").join(b, "b").where("type_a <> type_b")
 
 
-_add("DQ-RELATIONSHIP-TYPE-MISMATCH", "Data quality", "high", _ENDS, _mismatches, "FROM rel JOIN col x ON x.tbl = rel.a AND x.name = 'Key' JOIN col y ON y.tbl = rel.b AND y.name = 'Key' WHERE x.data_type <> y.data_type")
-_add("DQ-MEASURE-MISSING-DEPENDENCY", "Data quality", "critical", "name", lambda v: v.refs().join(v.get("dv_measures").select(F.col("name").alias("ref")), "ref", "left_anti").select("name").distinct(), "FROM (SELECT DISTINCT name FROM r WHERE ref NOT IN (SELECT name FROM m))")
+_add("DQ-RELATIONSHIP-TYPE-MISMATCH", "Data", "high", _ENDS, _mismatches, "FROM rel JOIN col x ON x.tbl = rel.a AND x.name = 'Key' JOIN col y ON y.tbl = rel.b AND y.name = 'Key' WHERE x.data_type <> y.data_type")
+_add("DQ-MEASURE-MISSING-DEPENDENCY", "Data", "critical", "name", lambda v: v.refs().join(v.get("dv_measures").select(F.col("name").alias("ref")), "ref", "left_anti").select("name").distinct(), "FROM (SELECT DISTINCT name FROM r WHERE ref NOT IN (SELECT name FROM m))")
 _add("REP-BROKEN-FIELD", "Report", "critical", "page || '/' || visual_id", lambda v: v.get("dv_visuals").join(v.get("dv_measures").select(F.col("name").alias("field")), "field", "left_anti"), "FROM v WHERE field NOT IN (SELECT name FROM m)")
 
 
@@ -153,3 +153,52 @@ _add("OPT-DAX-LONG-CHAIN", "DAX", "low", "name", _chains, f"FROM (WITH e AS (SEL
 
 _add("OPT-DAX-COMPLEX", "DAX", "medium", "name", lambda v: v.measures().where((F.octet_length(F.encode("expression", "UTF-16LE")) > 1800) | (text.line_count(F.col("expression")) > 25)), r"FROM m WHERE length(expression) > 900 OR len(regexp_split_to_array(expression, '\r?\n')) > 25")
 _add("OPT-DAX-FILTER-CALCULATE", "DAX", "medium", "name", lambda v: v.measures().where(text.count_calls(F.col("masked"), "FILTER") + text.count_calls(F.col("masked"), "CALCULATE") >= 5), r"FROM m WHERE len(regexp_extract_all(masked, '(?i)\bFILTER\s*\(')) + len(regexp_extract_all(masked, '(?i)\bCALCULATE\s*\(')) >= 5")
+
+_add("MOD-NO-DESCRIPTION", "Model", "low", "name", lambda v: v.get("dv_measures").where("trim(coalesce(description, '')) = '' AND NOT is_hidden"), "FROM m WHERE trim(coalesce(description, '')) = '' AND NOT is_hidden")
+
+
+def _same_names(v: Views) -> DataFrame:
+    """Every measure whose name another one has too."""
+    twice = v.get("dv_measures").groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return v.get("dv_measures").join(twice, "name", "left_semi")
+
+
+_add("DQ-DUPLICATE-MEASURE-NAME", "Data", "medium", "name", _same_names, "FROM m WHERE name IN (SELECT name FROM m GROUP BY name HAVING count(*) > 1)")
+
+#: Both engines read these: a quoted name, a call of FILTER whose first argument is a bare name, and a column after its table.
+QUOTED, WHOLE, QUALIFIED = r"'[^']*'?", r"(?i)\bFILTER\s*\(\s*([A-Za-z_]\w*)\s*,", r"(?:'[^']+'|[A-Za-z_]\w*)\[[^\]]+\]"
+_sql = lambda x: x.replace("'", "''")
+
+
+def _whole_tables(v: Views) -> DataFrame:
+    """Measures that filter a known table as a whole; quoted names do not count."""
+    bare = F.regexp_replace("masked", QUOTED, " ")
+    hosts = v.measures().select("name", F.explode(F.regexp_extract_all(bare, F.lit(WHOLE), F.lit(1))).alias("host"))
+    return hosts.join(v.get("dv_tables").select(F.col("name").alias("host")), "host", "left_semi").select("name").distinct()
+
+
+_add("DAX-FILTER-WHOLE-TABLE", "DAX", "medium", "name", _whole_tables, f"FROM (SELECT DISTINCT name FROM (SELECT name, unnest(regexp_extract_all(regexp_replace(masked, '{_sql(QUOTED)}', ' ', 'g'), '{WHOLE}', 1)) AS host FROM m) WHERE host IN (SELECT name FROM tab))")
+
+
+def _unused_columns(v: Views) -> DataFrame:
+    """Columns that no visual binds, no measure names after their table and no relation ends at."""
+    key = F.concat(F.col("tbl"), F.lit("["), F.col("name"), F.lit("]"))
+    columns = v.get("dv_columns").where(~_auto("tbl")).withColumn("key", key)
+    named = v.measures().select(F.explode(F.transform(F.regexp_extract_all("masked", F.lit(QUALIFIED), F.lit(0)), lambda x: F.regexp_replace(x, "^'([^']+)'", "$1"))).alias("key"))
+    rel = v.get("dv_relations")
+    ends = rel.select(F.concat("a", F.lit("[Key]")).alias("key")).union(rel.select(F.concat("b", F.lit("[Key]")).alias("key")))
+    bound = v.get("dv_visuals").select(F.col("field").alias("name"))
+    return columns.join(named.union(ends), "key", "left_anti").join(bound, "name", "left_anti")
+
+
+_add("OPT-MOD-UNUSED-COLUMN", "Model", "low", "tbl || '[' || name || ']'", _unused_columns, f"FROM (SELECT tbl, name, tbl || '[' || name || ']' AS key FROM col WHERE {_NOT_AUTO('tbl')}) WHERE key NOT IN (SELECT regexp_replace(unnest(regexp_extract_all(masked, '{_sql(QUALIFIED)}')), '^''([^'']+)''', '\\1') FROM m) AND key NOT IN (SELECT a || '[Key]' FROM rel UNION ALL SELECT b || '[Key]' FROM rel) AND name NOT IN (SELECT field FROM v)")
+
+
+def _repeated(v: Views) -> DataFrame:
+    """Pages where three visuals or more bind one measure of over 400 UTF-16 units or 12 lines."""
+    heavy = v.get("dv_measures").where((F.octet_length(F.encode("expression", "UTF-16LE")) > 800) | (text.line_count(F.col("expression")) > 12))
+    uses = v.get("dv_visuals").join(heavy.select(F.col("name").alias("field")), "field", "left_semi")
+    return uses.groupBy("page", "field").agg(F.count_distinct("visual_id").alias("n")).where("n >= 3").select("page").distinct()
+
+
+_add("OPT-VIS-REPEATED-MEASURE", "Visual", "medium", "page", _repeated, r"FROM (SELECT DISTINCT page FROM (SELECT page, field FROM v WHERE field IN (SELECT name FROM m WHERE length(expression) > 400 OR len(regexp_split_to_array(expression, '\r?\n')) > 12) GROUP BY page, field HAVING count(DISTINCT visual_id) >= 3))")

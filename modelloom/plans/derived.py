@@ -16,7 +16,8 @@ MEASURES = f"""SELECT p_partkey AS ord, 'Measures' AS tbl, {_m('p_partkey')} AS
        WHEN p_partkey%40 BETWEEN 22 AND 34 THEN '['||{_m('p_partkey-1')}||'] + SUM ( '||col||' )'
        WHEN p_partkey%40 IN (37,38) THEN 'IF ( a, 1, IF ( b, 2, IF ( c, 3, IF ( d, 4, IF ( e, 5, 6 ) ) ) ) )'
        ELSE 'SUM ( '||col||' )' END AS expression,
-  CASE WHEN p_size%4=0 THEN NULL ELSE '#,0.00' END AS format_string, p_partkey%19=0 AS is_hidden
+  CASE WHEN p_size%4=0 THEN NULL ELSE '#,0.00' END AS format_string, p_partkey%19=0 AS is_hidden,
+  CASE WHEN p_size%3=0 THEN ' ' WHEN p_size%3=1 THEN NULL ELSE 'About it' END AS description
 FROM (SELECT *, 'Fact_'||lpad(CAST(p_partkey%30 AS STRING),3,'0') AS host,
   'Fact_'||lpad(CAST(p_partkey%30 AS STRING),3,'0')||'[Col_'||lpad(CAST(p_partkey%25 AS STRING),2,'0')||']' AS col FROM {{part}}) x"""
 

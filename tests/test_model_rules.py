@@ -42,3 +42,21 @@ def test_chains_orphans_and_cycles(spark):
     assert targets("qa_rel_orphan_table", alone) == []
     assert targets("opt_mod_auto_date", frames) == ["LocalDateTable_9"]
     assert targets("opt_mod_auto_date", alone) == []
+
+
+def test_names_columns_and_repeats(spark):
+    long = "SUM ( 'T 1'[A] )" + " + 1" * 100
+    rows = [("a", long, None, False), ("a", "FILTER ( T2, T2[B] > 0 )", " ", True), ("b", "filter ( 'T2', 1 )", "", False), ("c", "FILTER ( None, T3[Key] ) // T4[D]", "x", False)]
+    frames = {
+        "dv_measures": spark.createDataFrame(rows, "name string, expression string, description string, is_hidden boolean"),
+        "dv_tables": spark.createDataFrame([("T2",), ("T3",)], "name string"),
+        "dv_columns": spark.createDataFrame([("T 1", "A"), ("T2", "B"), ("T2", "C"), ("T3", "Key"), ("T4", "D"), ("T5", "Key"), ("T6", "Key"), ("LocalDateTable_1", "E"), ("T7", "F")], "tbl string, name string"),
+        "dv_relations": spark.createDataFrame([("T5", "T9")], "a string, b string"),
+        "dv_visuals": spark.createDataFrame([("p", "1", "a"), ("p", "2", "a"), ("p", "3", "a"), ("q", "4", "a"), ("q", "4", "a"), ("q", "5", "F"), ("r", "6", "b"), ("r", "7", "b"), ("r", "8", "b")], "page string, visual_id string, field string"),
+    }
+    targets = lambda rule: sorted(r["target"] for r in model_rules.RULES[rule](Fixture(frames)).collect())
+    assert targets("qa_mod_no_description") == ["a", "b"]
+    assert targets("qa_dq_duplicate_measure_name") == ["a", "a"]
+    assert targets("qa_dax_filter_whole_table") == ["a"]
+    assert targets("opt_mod_unused_column") == ["T2[C]", "T4[D]", "T6[Key]"]
+    assert targets("opt_vis_repeated_measure") == ["p"]
