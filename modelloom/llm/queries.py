@@ -60,7 +60,7 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(table(spark, sf_dir, "documents"), k=2, least=20)
+    return remove_repeats(table(spark, sf_dir, "documents"), k=2, least=20, alone=50)
 
 
 def op9_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,10 @@
-"""Substring dedup by sliding sentence spans: every run of k consecutive sentences is hashed and joined over all documents,
-and sentences covered by a repeated span that isn't its first occurrence go.
+"""Substring dedup by sliding sentence spans: from every sentence on, the shortest run of k or more consecutive sentences that
+has enough words is hashed and joined over all documents, and so is a run of fewer sentences that is long by itself.
+Sentences covered by a repeated span that isn't its first occurrence go.
 
-A sentence ends after a word whose last byte is . ! or ?, and at a line end. Words are compared with A-Z as a-z, white
-space aside. The first occurrence is the one with the smallest (doc_id, position).
+A sentence ends after a word that ends in a sentence mark, of this or another script, with or without closing quotes and
+brackets after it, and at a line end. Words are compared with A-Z as a-z, white space aside. The first occurrence is the one
+with the smallest (doc_id, position).
 """
 
 from __future__ import annotations
@@ -16,8 +18,36 @@ from pyspark.sql import functions as F
 
 from .common import _BASE, _INVERSE, _SPACE, _power, bounded, mix, only, pieces, prepare, staged, text_buffers, word_hashes
 
-_END = np.zeros(256, bool)
-_END[[ord(c) for c in ".!?"]] = True
+#: What ends a sentence, and what may stand between that and the word's end.
+MARKS = ".!?\u2026\u203c\u2047\u2048\u2049\u3002\uff01\uff1f\uff0e\uff61\u061f\u06d4\u0589\u0964\u0965\u1362\u1367\u104b\u17d4"
+CLOSERS = "\"')]}\u00bb\u00ab\u203a\u2039\u201d\u201c\u2019\u2018\u300d\u300f\u3011\u300b\u3009\uff09*_"
+
+
+def _codes(signs: str) -> list[np.ndarray]:
+    """The signs' UTF-8 bytes as numbers, by length."""
+    return [np.array([int.from_bytes(c.encode(), "big") for c in signs if len(c.encode()) == n], np.int64) for n in (1, 2, 3)]
+
+
+_MARKS, _CLOSERS = _codes(MARKS), _codes(CLOSERS)
+
+
+def _last_sign(raw: np.ndarray, start: np.ndarray, end: np.ndarray, signs: list[np.ndarray]) -> np.ndarray:
+    """Bytes of the sign of `signs` that raw[start:end] ends in, 0 if in none."""
+    code, found = np.zeros(len(end), np.int64), np.zeros(len(end), np.int64)
+    for n, of in enumerate(signs, 1):
+        code += raw[np.maximum(end - n, 0)].astype(np.int64) << 8 * (n - 1)
+        found[(end - start >= n) & np.isin(code, of)] = n
+    return found
+
+
+def _ends(raw: np.ndarray, start: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Whether the words raw[start:last + 1] end a sentence."""
+    end, left = last + 1, np.flatnonzero((raw[last] >= 0x80) | np.isin(raw[last], _CLOSERS[0]))
+    while len(left):
+        n = _last_sign(raw, start[left], end[left], _CLOSERS)
+        end[left] -= n
+        left = left[n > 0]
+    return _last_sign(raw, start, end, _MARKS) > 0
 
 
 def sentences(off: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -33,14 +63,14 @@ def sentences(off: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     last = np.flatnonzero(word & (~np.concatenate([word[1:], [False]]) | cut[1:]))
     lines = np.concatenate([[0], np.cumsum(raw == 10)])
     new = np.ones(m, bool)
-    new[1:] = (doc[1:] != doc[:-1]) | _END[raw[last[:-1]]] | (lines[start[1:]] > lines[last[:-1]])
+    new[1:] = (doc[1:] != doc[:-1]) | _ends(raw, start, last)[:-1] | (lines[start[1:]] > lines[last[:-1]])
     first = np.flatnonzero(new)
     n = np.diff(np.concatenate([first, [m]]))
     total = np.concatenate([[np.uint64(0)], np.cumsum(h * _power(_BASE, m), dtype=np.uint64)])
     return start[first], doc[first], n, mix((total[first + n] - total[first]) * _power(_INVERSE, m)[first] + n.astype(np.uint64))
 
 
-def _spans(k: int, least: int):
+def _spans(k: int, least: int, alone: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy()
@@ -48,18 +78,20 @@ def _spans(k: int, least: int):
             for a, b in pieces(off):
                 part = off[a : b + 1]
                 _, doc, n, h = sentences(part, raw[part[0] : part[-1]])
-                m = len(h) - k + 1
-                if m < 1:
+                m = len(h)
+                if not m:
                     continue
-                span, words = h[:m], n[:m].copy()
-                for i in range(1, k):
-                    span = span * np.uint64(0x9FB21C651E98DF25) + h[i : m + i]
-                    words += n[i : m + i]
-                ok = (doc[:m] == doc[k - 1 :]) & (words >= least)
-                at = np.flatnonzero(ok)
-                place = at - np.searchsorted(doc, doc[at])
-                cols = [mix(span[at]).view(np.int64), ids[a + doc[at]], place.astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["span", "doc_id", "pos"])
+                at, words = np.arange(m), np.concatenate([[0], np.cumsum(n)])
+                stop, place = np.searchsorted(doc, doc, "right"), at - np.searchsorted(doc, doc)
+                total = np.concatenate([[np.uint64(0)], np.cumsum(h * _power(_BASE, m), dtype=np.uint64)])
+                many = np.maximum(at + k, np.searchsorted(words, words[:-1] + least))
+                few = np.searchsorted(words, words[:-1] + alone)
+                for end, ok in ((many, many <= stop), (few, (few < at + k) & (few <= stop))):
+                    i = np.flatnonzero(ok)
+                    e = end[i]
+                    span = mix((total[e] - total[i]) * _power(_INVERSE, m)[i] + (e - i).astype(np.uint64))
+                    cols = [span.view(np.int64), ids[a + doc[i]], place[i].astype(np.int32), (place[i] + e - i - 1).astype(np.int32)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["span", "doc_id", "pos", "last"])
 
     return run
 
@@ -84,30 +116,31 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(cols, [*names, "n_sentences", "n_removed", "words_removed", "kept_text"])
 
 
-def repeated_passages(docs: DataFrame, k: int = 3, least: int = 15) -> DataFrame:
+def repeated_passages(docs: DataFrame, k: int = 3, least: int = 15, alone: int = 50) -> DataFrame:
     """(doc_id, first_sentence, last_sentence, first_doc_id) of every passage of `docs` (doc_id, text, ...) to be removed.
 
-    A span has k sentences and at least `least` words. Passages are unions of overlapping or adjoining removed spans.
-    Rows that repeat an id count as one document. Null ids, null and empty texts and texts of fewer than k sentences have
-    no passages. Other columns are ignored; an empty table gives an empty result.
+    A span is, from each sentence on, the shortest run of at least k sentences and `least` words, and if fewer than k
+    sentences have `alone` words, their shortest such run. Passages are unions of overlapping or adjoining removed spans.
+    Rows that repeat an id count as one document. Null ids, null and empty texts and texts without a span have no passages. Other columns are ignored; an empty table gives an empty result.
     """
     prepare(docs.sparkSession)
     docs = only(docs, doc_id="bigint", text="string").where("doc_id IS NOT NULL")
-    spans = staged(docs.mapInArrow(_spans(k, least), "span long, doc_id long, pos int"), "spans")
+    spans = staged(docs.mapInArrow(_spans(k, least, alone), "span long, doc_id long, pos int, last int"), "spans")
     # combined before the shuffle: a span in a third of all documents costs a row per task
     repeated = spans.groupBy("span").agg(F.min(F.struct("doc_id", "pos")).alias("one"), F.max(F.struct("doc_id", "pos")).alias("other")).where("one <> other")
     repeated = staged(repeated.select("span", "one"), "repeated")
-    later = spans.join(repeated, "span").where("struct(doc_id, pos) <> one").groupBy("doc_id", "pos").agg(F.min("one.doc_id").alias("first_doc_id"))
+    later = spans.join(repeated, "span").where("struct(doc_id, pos) <> one").groupBy("doc_id", "pos").agg(F.max("last").alias("last"), F.min("one.doc_id").alias("first_doc_id"))
     order = Window.partitionBy("doc_id").orderBy("pos")
-    runs = later.withColumn("new", F.coalesce((F.col("pos") - F.lag("pos").over(order) > k).cast("int"), F.lit(1)))
+    before = F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    runs = later.withColumn("new", F.coalesce((F.col("pos") > before + 1).cast("int"), F.lit(1)))
     runs = runs.withColumn("run", F.sum("new").over(order))
-    return runs.groupBy("doc_id", "run").agg(F.min("pos").alias("first_sentence"), (F.max("pos") + (k - 1)).alias("last_sentence"), F.min("first_doc_id").alias("first_doc_id")).drop("run")
+    return runs.groupBy("doc_id", "run").agg(F.min("pos").alias("first_sentence"), F.max("last").alias("last_sentence"), F.min("first_doc_id").alias("first_doc_id")).drop("run")
 
 
-def remove_repeats(docs: DataFrame, k: int = 3, least: int = 15) -> DataFrame:
+def remove_repeats(docs: DataFrame, k: int = 3, least: int = 15, alone: int = 50) -> DataFrame:
     """A row for every document that loses sentences: doc_id, starts, ends (sentence numbers of its passages), first_doc_ids
     (where each came first), n_sentences, n_removed, words_removed and kept_text. Documents that lose nothing have no row."""
-    found = repeated_passages(docs, k, least).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("first_sentence", "last_sentence", "first_doc_id"))).alias("p"))
+    found = repeated_passages(docs, k, least, alone).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("first_sentence", "last_sentence", "first_doc_id"))).alias("p"))
     found = staged(found.select("doc_id", F.col("p.first_sentence").alias("starts"), F.col("p.last_sentence").alias("ends"), F.col("p.first_doc_id").alias("first_doc_ids")), "passages")
     rows = only(docs, doc_id="bigint", text="string").join(bounded(found), "doc_id").select("doc_id", "text", "starts", "ends", "first_doc_ids")
     return rows.mapInArrow(_cut, "doc_id long, starts array<int>, ends array<int>, first_doc_ids array<long>, n_sentences long, n_removed long, words_removed long, kept_text string")

@@ -151,6 +151,19 @@ def test_spans(spark):
     assert list(got) == [1] and got[1]["kept_text"] == "Other start here. Other end." and got[1]["first_doc_ids"] == [0]
 
 
+def test_spans_of_long_quoted_and_short_sentences(spark):
+    """With the query's parameters: a repeated run of 50 words with ragged ends loses the spans that lie inside it."""
+    w = lambda seed, n: " ".join(_words(seed, n, 9999))
+    inside = [f"{w(1, 55)}.", f'{w(2, 12)}." {w(3, 13)}?\u201d', f"{w(4, 12)}\u3002 {w(5, 12)}\u0964", " ".join(f"{w(10 + i, 6)}." for i in range(9)), f"{w(6, 9)}.) {w(7, 9)}!\u00bb {w(8, 9)}."]
+    texts, kept = [], []
+    for i, passage in enumerate(inside):
+        ragged = lambda j, x, i=i: f"{w(100 + 10 * i + j, 20)} {w(200 + i, 15)}. {x} {w(300 + i, 15)} {w(400 + 10 * i + j, 20)}."
+        texts += [ragged(0, passage), ragged(1, passage)]
+        kept.append(ragged(1, "@").replace("@ ", ""))
+    got = {r["doc_id"]: r["kept_text"] for r in remove_repeats(_docs(spark, texts), k=2, least=20, alone=50).collect()}
+    assert got == {2 * i + 1: t for i, t in enumerate(kept)}
+
+
 def test_language_and_rejection(spark):
     en, de = "the cat and the dog went to the house with this", "der hund und die katze gehen nicht in das haus"
     texts = [f"{en} {i}" for i in range(30)] + [f"{de} {i}" for i in range(30)] + [None, "", "123 !!"]
