@@ -54,6 +54,21 @@ def bounded(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if df.count() <= (BROADCAST_ROWS if rows is None else rows) else df
 
 
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """`docs` with a column `name` that tells its rows apart, the same at every reading: file and row number of a table read
+    from Parquet files, which are not copied; other frames are staged first."""
+    spark = docs.sparkSession
+    plan = docs._jdf.queryExecution().analyzed().toString().strip()
+    if not (plan.startswith("Relation [") and plan.endswith("] parquet")):
+        docs = staged(docs, "rows")
+    files = sorted(r[0] for r in docs.select("_metadata.file_path").distinct().collect())
+    numbers = spark.createDataFrame([(f, i) for i, f in enumerate(files)], "path_of_row string, number_of_file long")
+    # one row a file, so the side is broadcast
+    rows = docs.select("*", F.col("_metadata.file_path").alias("path_of_row"), F.col("_metadata.row_index").alias("index_of_row"))
+    rows = rows.join(F.broadcast(numbers), "path_of_row")
+    return rows.select(*docs.columns, (F.shiftleft("number_of_file", 40) + F.col("index_of_row")).alias(name))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded, only, prepare, staged
+from .common import bounded, numbered, only, prepare, staged
 
 BUCKETS = 4096
 REPEATS = 3
@@ -47,18 +47,23 @@ def targets(sources: DataFrame) -> DataFrame:
     return s.select("source", "source_size", F.when(F.col("full"), F.col("cap").cast("double")).otherwise((F.col("weight") * F.col("left")).cast("double") / F.col("among")).alias("target"))
 
 
-def mix(docs: DataFrame, weight: F.Column | None = None, seed: str = "0") -> DataFrame:
+def mix(docs: DataFrame, weight: F.Column | None = None, seed: str = "0", row: str | None = None) -> DataFrame:
     """doc_id, size, source_size, target, taken (words of the row that the mix takes), epochs and part of every row of `docs`.
 
     `docs` has doc_id, source and text; `weight` is a positive quality weight over its columns (1 if absent, 0.05 if null
     or less). taken = epochs * size + part. A null or empty text has size 0 and gives nothing. Sources go by code point,
     null last, and weigh 5, 2, 1, repeating. Ties in keys go by doc_id, nulls first; rows that repeat an id stand beside
     each other, each with its own `taken`. Other columns are ignored; an empty table gives an empty result.
+
+    `row` names a column of `docs` that tells rows apart. It then comes back too and breaks the ties that ids leave, and
+    rows without an id draw their number by text, so that they don't stand or fall together.
     """
     prepare(docs.sparkSession)
-    unit = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 13), 16, 10).cast("double")
+    name = F.col("doc_id").cast("string")
+    name = F.coalesce(name, F.concat(F.lit("text:"), F.coalesce("text", F.lit("")))) if row else F.coalesce(name, F.lit(""))
+    unit = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), name)), 1, 13), 16, 10).cast("double")
     w = F.greatest(F.lit(0.05), F.coalesce(weight.cast("double"), F.lit(0.05))) if weight is not None else F.lit(1.0)
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size"), (-F.log((unit + 0.5) / float(1 << 52)) / w).alias("key"), w.alias("weight"))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size"), (-F.log((unit + 0.5) / float(1 << 52)) / w).alias("key"), w.alias("weight"), *([F.col(row).alias("row")] if row else []))
     rows = staged(rows, "mix")
     sums = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.avg("weight").alias("mean"))
     sums = staged(sums, "sources")
@@ -73,10 +78,10 @@ def mix(docs: DataFrame, weight: F.Column | None = None, seed: str = "0") -> Dat
     edges = heaps.withColumn("before", F.coalesce(F.sum("words").over(running), F.lit(0))).where("before <= budget AND budget < before + words")
     edges = bounded(staged(edges.select(F.col("source").alias("at"), F.col("bucket").alias("edge"), "before"), "edges"))
     cut = placed.join(edges, F.expr("source <=> at"), "left")
-    shape = ["doc_id", "size", "source_size", "target", F.expr("epochs * size + part").alias("taken"), "epochs", "part", "source"]
+    shape = ["doc_id", "size", "source_size", "target", F.expr("epochs * size + part").alias("taken"), "epochs", "part", "source", *(["row"] if row else [])]
     # a budget that no bucket's end lies beyond takes everything
     whole = cut.where("edge IS NULL OR bucket <> edge").withColumn("part", F.when(F.expr("budget = 0"), 0).when(F.expr("edge IS NULL OR bucket < edge"), F.col("size")).otherwise(F.lit(0)).cast("long"))
-    within = Window.partitionBy("source").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("source").orderBy("key", "doc_id", *(["row"] if row else [])).rowsBetween(Window.unboundedPreceding, -1)
     sorted_rows = cut.where("bucket = edge").withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0))).withColumn("part", F.expr("least(size, greatest(0L, budget - before - inside))"))
     return whole.select(*shape).union(sorted_rows.select(*shape))
 
@@ -84,10 +89,12 @@ def mix(docs: DataFrame, weight: F.Column | None = None, seed: str = "0") -> Dat
 def mixed_documents(docs: DataFrame, weight: F.Column | None = None, seed: str = "0") -> DataFrame:
     """The mix itself: the rows of `docs` (with their columns) as often as taken, the one across the edge cut to its first words.
 
-    doc_id must be unique. n_chars, if there, is that of the text as it goes out.
+    Rows meet their counts by row, not by doc_id: ids may be null or repeated. n_chars, if there, is that of the text as it
+    goes out.
     """
-    counted = staged(mix(docs, weight, seed).select(F.col("doc_id").alias("mixed_id"), "size", "epochs", "part").where("epochs > 0 OR part > 0"), "taken")
-    joined = docs.join(bounded(counted), F.expr("doc_id <=> mixed_id"))
+    rows = numbered(docs, "row_of_docs")
+    counted = staged(mix(rows, weight, seed, "row_of_docs").select(F.col("row").alias("row_of_docs"), "size", "epochs", "part").where("epochs > 0 OR part > 0"), "taken")
+    joined = rows.join(bounded(counted), "row_of_docs")
     copies = joined.withColumn("copy", F.explode(F.expr("sequence(1, cast(epochs + if(part > 0, 1, 0) as int))")))
     cut = F.expr("copy > epochs AND part < size")
     # word by word: a counted group would recurse once a word

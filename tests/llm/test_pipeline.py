@@ -111,3 +111,25 @@ def test_stages_keep_the_columns_and_take_empty_tables(spark, tmp_path):
         out = stage(spark, docs, str(tmp_path))
         assert out.columns == docs.columns and out.count() == 0
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_rows_without_or_with_repeated_ids(spark, tmp_path):
+    r = random.Random(9)
+    text = lambda: " ".join(r.choice(EN) for _ in range(r.randrange(40, 90)))
+    rows = [(i, text(), "en", f"s{i % 2}") for i in range(12)]
+    lone = [(None, text(), "en", f"s{i % 2}") for i in range(12)]
+    rows += lone + [(None, lone[0][1], "en", "s0"), (None, f"{lone[1][1]} end", "en", "s1"), (None, f"{rows[2][1]} end", "en", "s0"), rows[3], rows[3], (5, text(), "en", "s1")]
+    docs = spark.createDataFrame([(*x, len(x[1])) for x in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    exact = corpus_pipeline.exact_dedup(spark, docs, "")
+    want = list({x[1]: x for x in sorted(rows, key=lambda x: (x[0] is None, x[0] or 0))}.values())
+    assert Counter((x["doc_id"], x["text"]) for x in exact.collect()) == Counter((x[0], x[1]) for x in want)
+    exact.write.parquet(f"{tmp_path}/exact")
+    near = corpus_pipeline.ngram_jaccard(spark, spark.read.parquet(f"{tmp_path}/exact"), "").collect()
+    left = Counter((x["doc_id"], x["source"]) for x in near)
+    assert left == Counter((x[0], x[3]) for x in _near(sorted(rows, key=lambda x: (x[0] is None, x[0] or 0))))
+    spark.createDataFrame(near, docs.schema).repartition(3).write.parquet(f"{tmp_path}/near")
+    mixed = corpus_pipeline.source_mixing(spark, spark.read.parquet(f"{tmp_path}/near"), "").collect()
+    named = lambda d, t: (d, t) if d is not None else (f"text:{t}", t)
+    brute = _mixed([(*named(x["doc_id"], x["text"]), None, x["source"]) for x in near])
+    assert Counter(x["text"] for x in mixed) == Counter(t for _, t in brute)
+    assert {(x["doc_id"], x["source"]) for x in mixed} <= set(left) and all(x["n_chars"] == len(x["text"]) for x in mixed)
