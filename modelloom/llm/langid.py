@@ -20,6 +20,8 @@ from .common import only, pieces, prepare, text_buffers
 PER_LANGUAGE, TOTAL = 400, 4000
 FEATURES = 1 << 13
 CENTROIDS = 4
+#: Classes of length, texts that a class needs for a bound of its own, and robust standard deviations that texts may stray.
+SIZES, FEW, SPREAD = 24, 20, 5.0
 
 
 @lru_cache(maxsize=1)
@@ -66,7 +68,7 @@ class Model:
     idf: np.ndarray
     centroids: np.ndarray
     of: np.ndarray
-    least: float
+    least: np.ndarray
 
     def vectors(self, counts: np.ndarray) -> np.ndarray:
         x = np.log1p(counts.astype(np.float32)) * self.idf
@@ -82,6 +84,57 @@ class Model:
         return best, top, top - by.max(axis=1)
 
 
+    def near(self, counts: np.ndarray, best: np.ndarray, top: np.ndarray) -> np.ndarray:
+        """Whether the cosines `top` with centroids of the languages `best` reach the bound for texts of that length."""
+        return top >= self.least[best, _size(counts)]
+
+
+def _size(counts: np.ndarray) -> np.ndarray:
+    """The class of a text's length: the logarithm of its number of n-grams, to base 2."""
+    return np.minimum(np.log2(np.maximum(counts.sum(axis=1), 1)).astype(int), SIZES - 1)
+
+
+def _shorter(counts: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """A text of each row's n-grams with about a fourth of them; none is left without any."""
+    some = rng.binomial(counts.astype(np.int64), 0.25).astype(np.float32)
+    return np.where(some.any(axis=1, keepdims=True), some, counts)
+
+
+def _bounds(model: Model, counts: np.ndarray, x: np.ndarray, lang: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """The least cosine for each language and class of length, from cosines of the sample with centroids that did not see it.
+
+    Every text stands by itself and in shorter ones drawn from it. A class's bound is its median less SPREAD robust standard
+    deviations (its median distance from the median, scaled; a tenth of the median at least): the few odd texts of a sample don't move it. A class with few
+    texts takes the bound of the next longer one that has enough, else of the next shorter, else half the median of all.
+    """
+    of_language: list[tuple[list, list]] = [([], []) for _ in model.languages]
+    for i, (found, sizes) in enumerate(of_language):
+        mine = np.flatnonzero(lang == i)
+        for f in (0, 1) if len(mine) > 1 else (0,):
+            seen = mine[1 - f :: 2] if len(mine) > 1 else mine
+            c = _clusters(x[seen], CENTROIDS, rng)
+            # a few rows at a time: dense arrays of the whole sample would fill the driver
+            for at in np.array_split(mine[f::2], -(-len(mine[f::2]) // 32)):
+                texts = counts[at]
+                for _ in range(3):
+                    found.append((model.vectors(texts) @ c.T).max(axis=1))
+                    sizes.append(_size(texts))
+                    texts = _shorter(texts, rng)
+    out = np.full((len(model.languages), SIZES), np.nan)
+    for i in range(len(model.languages)):
+        mine, size = (np.concatenate(v) for v in of_language[i])
+        for z in range(SIZES):
+            y = mine[size == z]
+            if len(y) >= FEW:
+                middle = float(np.median(y))
+                out[i, z] = max(middle / 4, middle - SPREAD * max(1.4826 * float(np.median(np.abs(y - middle))), middle / 10))
+        have = np.flatnonzero(~np.isnan(out[i]))
+        for z in np.flatnonzero(np.isnan(out[i])):
+            longer, shorter = have[have > z], have[have < z]
+            out[i, z] = out[i, longer[0]] * 2.0 ** -(longer[0] - z) if len(longer) else out[i, shorter[-1]] if len(shorter) else np.median(mine) / 2
+    return out
+
+
 def _clusters(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
     """Spherical k-means, ten rounds."""
     c = x[rng.choice(len(x), min(k, len(x)), replace=False)]
@@ -111,13 +164,12 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, total: int = TOTA
         row[np.frombuffer(slots, np.int16)] = np.frombuffer(n, np.float32)
     idf = np.log((1 + len(sample)) / (1 + (counted > 0).sum(axis=0))).astype(np.float32) + 1.0
     languages = sorted({r[0] for r in sample})
-    model = Model(languages, idf, np.zeros((0, FEATURES), np.float32), np.zeros(0, int), 0.0)
+    model = Model(languages, idf, np.zeros((0, FEATURES), np.float32), np.zeros(0, int), np.zeros((0, SIZES)))
     x, lang = model.vectors(counted), np.array([languages.index(r[0]) for r in sample])
     rng = np.random.Generator(np.random.PCG64(6))
     found = [_clusters(x[lang == i], CENTROIDS, rng) for i in range(len(languages))]
     model.centroids, model.of = np.concatenate(found).astype(np.float32), np.repeat(np.arange(len(languages)), [len(c) for c in found])
-    # farther from every centroid than half the cosine of the farthest thousandth of the sample: not a learned language
-    model.least = float(np.quantile(model.nearest(counted)[1], 0.001)) / 2
+    model.least = _bounds(model, counted, x, lang, rng)
     return model
 
 
@@ -126,7 +178,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
 
     lang_pred is a learned language, or `und` for null and empty texts, texts without a letter and where there is no model
     (score 0). score is the cosine's lead over the other languages as a share of the cosine, 0.5 at none. rejected: `und`,
-    or nearer to no centroid than model.least. Null and repeated ids are rows like others; other columns are ignored.
+    or farther from its language's centroids than texts of about that length are (`_bounds`). Null and repeated ids are rows like others; other columns are ignored.
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -148,14 +200,14 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
                     else:
                         best, top, lead = m.nearest(counts)
                     score = np.where(has, np.clip(0.5 + 0.5 * np.maximum(lead, 0) / np.maximum(top, 1e-12), 0.0, 1.0), 0.0)
-                    cols = [pa.array([m.languages[i] if ok else "und" for i, ok in zip(best, has, strict=True)], pa.string()), pa.array(score.astype(np.float64)), pa.array(np.where(has, top, 0.0).astype(np.float64)), pa.array(~has | (top < (m.least if m else 0.0)))]
+                    cols = [pa.array([m.languages[i] if ok else "und" for i, ok in zip(best, has, strict=True)], pa.string()), pa.array(score.astype(np.float64)), pa.array(np.where(has, top, 0.0).astype(np.float64)), pa.array(~has | ~m.near(counts, best, top) if m is not None else ~has)]
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, e - a), *cols], ["doc_id", "lang_pred", "score", "cosine", "rejected"])
 
     return only(docs, doc_id="bigint", text="string").mapInArrow(run, "doc_id long, lang_pred string, score double, cosine double, rejected boolean")
 
 
 def keep_identified(docs: DataFrame, model: Model | None) -> DataFrame:
-    """The rows of `docs` (its columns as they are) whose text `identify` would not reject."""
+    """The rows of `docs` (its columns as they are) whose text `identify` would not reject; where there is no model, those with a letter."""
     spark = docs.sparkSession
     prepare(spark)
     shared, at = spark.sparkContext.broadcast(model), docs.columns.index("text")
@@ -166,7 +218,7 @@ def keep_identified(docs: DataFrame, model: Model | None) -> DataFrame:
             for i in range(0, batch.num_rows, 64):
                 part = batch.slice(i, 64)
                 counts = ngram_counts([t or "" for t in part.column(at).to_pylist()])
-                keep = counts.any(axis=1) & (m.nearest(counts)[1] >= m.least if m is not None else False)
+                keep = counts.any(axis=1) & (m.near(counts, *m.nearest(counts)[:2]) if m is not None else True)
                 yield part.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

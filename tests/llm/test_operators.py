@@ -175,6 +175,29 @@ def test_language_and_rejection(spark):
     assert {r["lang_pred"] for r in langid.identify(docs, None).collect()} == {"und"}
 
 
+def test_texts_in_no_learned_language_go(spark):
+    r = random.Random(4)
+    en = "the and of to in that it is was for on are with as his they at be this from have or by one had not but what all were when your can said there use each which she how their will other about out many then them these some her would make like him into time has look two more write go see number no way could people my than first water been call who its now find long down day did get come made may part".split()
+    de = "der die und in den von zu das mit sich des auf ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei einer um am sind noch wie einem einen so zum war haben nur oder aber vor zur bis mehr durch man sein wurde sei prozent hatte kann gegen vom schon wenn habe seine mark ihre dann unter wir soll ich eines jahr zwei jahren diese dieser wieder keine uhr seiner worden".split()
+    clean = [(lang, " ".join(r.choice(of) for _ in range(n))) for lang, of in (("en", en), ("de", de)) for n in [15, 40, 80, 150] * 30]
+    docs = _docs(spark, [t for _, t in clean], lang=[x for x, _ in clean])
+    held_out = [" ".join(r.choice(of) for _ in range(n)) for of in (en, de) for n in [30, 90] * 10]
+    foreign = [
+        "Il governo ha deciso di aumentare le tasse sulla benzina e i cittadini non sono contenti della scelta fatta dal ministro",
+        "Hallitus on päättänyt nostaa polttoaineen veroa eivätkä kansalaiset ole tyytyväisiä ministerin tekemään valintaan",
+        "Hükümet benzin vergisini artırmaya karar verdi ve vatandaşlar bakanın yaptığı seçimden memnun değil",
+        "Rząd postanowił podnieść podatek na benzynę a obywatele nie są zadowoleni z wyboru dokonanego przez ministra",
+        " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(30)),
+    ]
+    model = langid.fit(docs)
+    got = [x["rejected"] for x in sorted(langid.identify(_docs(spark, held_out + foreign), model).collect())]
+    assert got == [False] * 40 + [True] * 5
+    assert langid.keep_identified(_docs(spark, held_out + foreign), model).count() == 40
+    one = langid.fit(docs.where("lang = 'en'"))
+    assert langid.keep_identified(docs, one).groupBy("lang").count().collect() == [("en", 120)]
+    assert langid.keep_identified(_docs(spark, ["a", "1 2", None]), None).count() == 1
+
+
 def test_segments_are_those_of_brute_force():
     r = random.Random(5)
     for _ in range(200):
