@@ -183,14 +183,12 @@ def _links(pairs: DataFrame, docs: DataFrame, profile: DataFrame, k: int, percen
     return staged(near.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(_check(percent), "a long, b long"), "links")
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of every row of `docs` (doc_id, text, ...).
+def _fits(percent: int) -> str:
+    return f"least({{x}}, {{y}}) * {100 + percent} >= ({{m}} + {{n}}) * {percent}"
 
-    Documents link when 100 |A and B| >= percent |A or B| for their sets of k-word shingles. Null or empty text and text
-    without words: n_shingles 0, linked with nothing. Fewer than k words: the whole sequence is one shingle. Rows with a
-    null doc_id take no part in links and come back with a null component. Repeated rows come back as often as given.
-    Other columns are ignored. An empty table gives an empty result.
-    """
+
+def _lists(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The documents, their profile with classes of equal sets, one document a class, and the shared tokens' lists."""
     if not 50 < percent <= 100:
         raise ValueError("percent must be over 50 and at most 100")
     spark = docs.sparkSession
@@ -209,10 +207,37 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     shared_tokens = staged(entries.groupBy("token").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x <> y").select("token"), "tokens")
     lists = entries.join(shared_tokens, "token", "left_semi").join(single.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["token", "doc_id"])
     lists = staged(lists, "lists")
+    return docs, profile, single, lists
+
+
+def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
+    """The whole join: all pairs (a, b), a < b, of different sets that reach the threshold, and members (doc_id, first_id, n_shingles).
+
+    Documents of equal sets form a class, told by its smallest doc_id: `first_id`, which `a` and `b` name. Two documents link
+    if their classes are one or a pair. Rows as in jaccard_components; those with a null doc_id or without words are in
+    neither table. Pairs of a near-copy group grow with its square.
+    """
+    docs, profile, single, lists = _lists(docs, k, percent)
+    a, b = (lists.select("token", F.col("doc_id").alias(x), *(F.col(c).alias(f"{c}{x}") for c in ("n", "rest", "l"))) for x in "ab")
+    meet = a.join(b, "token").where("a < b").where(_fits(percent).format(x="least(resta, restb) + least(la, lb) - 1", y="least(na, nb)", m="na", n="nb"))
+    meet = meet.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.min(F.least("la", "lb")).alias("l")).where("c >= l").select("a", "b")
+    members = profile.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", "first_id", F.col("n").alias("n_shingles"))
+    return _links(meet, docs, single, k, percent), members
+
+
+def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of every row of `docs` (doc_id, text, ...).
+
+    Documents link when 100 |A and B| >= percent |A or B| for their sets of k-word shingles. Null or empty text and text
+    without words: n_shingles 0, linked with nothing. Fewer than k words: the whole sequence is one shingle. Rows with a
+    null doc_id take no part in links and come back with a null component. Repeated rows come back as often as given.
+    Other columns are ignored. An empty table gives an empty result.
+    """
+    docs, profile, single, lists = _lists(docs, k, percent)
 
     # stars: the leader of a list has the most left after the token
     leaders = staged(lists.groupBy("token").agg(F.max(F.struct("rest", F.expr("-doc_id").alias("d"), "n")).alias("top"), F.count(F.lit(1)).alias("c")).where("c > 1").select("token", F.expr("-top.d").alias("leader"), F.col("top.n").alias("leader_n")), "leaders")
-    fits = f"least({{x}}, {{y}}) * {100 + percent} >= ({{m}} + {{n}}) * {percent}"
+    fits = _fits(percent)
     stars = lists.join(leaders, "token").where("doc_id <> leader").where(fits.format(x="n", y="leader_n", m="n", n="leader_n"))
     stars = staged(stars.groupBy("doc_id", "leader").agg(F.count(F.lit(1)).alias("c")), "stars")
     # first each member with the leader it meets most often, then with others that this has not put beside it

@@ -15,7 +15,7 @@ from modelloom.llm import arc_warc, langid, toxicity
 from modelloom.llm.ann import nearest
 from modelloom.llm.components import components
 from modelloom.llm.exact_dedup import DigestIndex, dedup
-from modelloom.llm.jaccard import jaccard_components
+from modelloom.llm.jaccard import jaccard_components, jaccard_join
 from modelloom.llm.mixing import mix, mixed_documents
 from modelloom.llm.packing import Packer, pack
 from modelloom.llm.span_dedup import remove_repeats
@@ -66,6 +66,21 @@ def test_jaccard_components(spark, k, percent):
     assert got == _groups(texts, k, percent)
 
 
+@pytest.mark.parametrize(("k", "percent"), [(3, 90), (5, 80)])
+def test_jaccard_join_has_every_link(spark, k, percent):
+    """Pairs and members give all links of brute force, those inside a near-copy group too, and the same components."""
+    texts = _texts()
+    pairs, members = jaccard_join(_docs(spark, texts), k, percent)
+    first = {r["doc_id"]: r["first_id"] for r in members.collect()}
+    linked = {(r["a"], r["b"]) for r in pairs.collect()}
+    got = {(x, y) for x, y in itertools.combinations(sorted(first), 2) if first[x] == first[y] or tuple(sorted((first[x], first[y]))) in linked}
+    want = {(x, y) for x, y in itertools.combinations(range(len(texts)), 2) if len(set(_groups([texts[x], texts[y]], k, percent)[i][1] for i in (0, 1))) == 1}
+    # more than a tree of links over the nodes: pairs beside the leaders' are there
+    assert got == want and len(linked) >= len({x for p in linked for x in p}) and pairs.count() == len(linked)
+    component = dict(components(pairs).collect())
+    assert {d: component.get(f, f) for d, f in first.items()} == {d: c for d, (n, c) in _groups(texts, k, percent).items() if n}
+
+
 def test_components_of_a_chain_and_a_hub(spark):
     links = [(i, i + 1) for i in range(20)] + [(100, 100 + i) for i in range(1, 30)] + [(5, 5), (None, 3)]
     got = dict(components(spark.createDataFrame(links, "a long, b long")).collect())
