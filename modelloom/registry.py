@@ -99,19 +99,40 @@ def duplicate_type_pages(spark, sf_dir):
     return view(spark, sf_dir, "dv_visuals").groupBy("page", "field").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
 
 
-def severity_histogram(spark, sf_dir):
+def qa_findings(views: Views) -> DataFrame:
+    """The findings of all QA rules built: those over one frame in one pass, and those that join or group frames."""
+    hits = findings(views.measures(), QA, "name")
+    for name, rule in model_rules.RULES.items():
+        if name.startswith("qa_"):
+            hits = hits.unionByName(rule(views))
+    return hits
+
+
+def severities(spark: SparkSession, hits: DataFrame) -> DataFrame:
     domain = spark.createDataFrame([("critical",), ("high",), ("medium",), ("low",)], "severity string")
-    n = findings(measures(spark, sf_dir), QA, "name").groupBy("severity").agg(F.count(F.lit(1)).alias("n"))
+    n = hits.groupBy("severity").agg(F.count(F.lit(1)).alias("n"))
     return domain.join(n, "severity", "left").select("severity", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def severity_histogram(spark, sf_dir):
+    return severities(spark, qa_findings(Views(spark, sf_dir)))
+
+
+def score_dax(views: Views) -> DataFrame:
+    population = views.measures().groupBy(F.lit("DAX").alias("category")).agg(F.count(F.lit(1)).alias("population"))
+    return category_scores(qa_findings(views).where("category = 'DAX'"), population)
+
+
 def dax_score(spark, sf_dir):
-    rows = measures(spark, sf_dir)
-    return category_scores(findings(rows, QA, "name"), rows.groupBy(F.lit("DAX").alias("category")).agg(F.count(F.lit(1)).alias("population")))
+    """The score of the DAX rules built, of whichever catalogue."""
+    return score_dax(Views(spark, sf_dir))
 
 
 def primary_host(spark, sf_dir):
-    """Leader against runner-up of the tables that a page's fields live in, by a window over each page."""
+    """The most frequent visual type of each page against the runner-up, by a window over each page.
+
+    Not the survey's A13, the primary table of each measure: that is not built.
+    """
     from pyspark.sql import Window
 
     v = view(spark, sf_dir, "dv_visuals").groupBy("page", "type").agg(F.count(F.lit(1)).alias("n"))

@@ -1,6 +1,7 @@
 """The rules that join or group the model's frames against DuckDB's answer, and on a fixture of their own."""
 
 import os
+from collections import Counter
 
 import duckdb
 import pytest
@@ -60,3 +61,29 @@ def test_names_columns_and_repeats(spark):
     assert targets("qa_dax_filter_whole_table") == ["a"]
     assert targets("opt_mod_unused_column") == ["T2[C]", "T4[D]", "T6[Key]"]
     assert targets("opt_vis_repeated_measure") == ["p"]
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
+def test_histogram_and_score_count_every_qa_rule(spark):
+    con = duckdb.connect()
+    for t in ("part", "events", "supplier", "nation"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    want = Counter()
+    for name in (x for x in registry.QUERIES if x.startswith("qa_")):
+        sql = registry.ORACLE_SQL.get(name)
+        hits = con.sql(f"SELECT severity FROM ({sql})").fetchall() if sql else registry.QUERIES[name](spark, SF).select("severity").collect()
+        want.update(x[0] for x in hits)
+    got = {r["severity"]: r["n"] for r in registry.QUERIES["severity_histogram"](spark, SF).collect()}
+    assert got == {x: want[x] for x in ("critical", "high", "medium", "low")} and got["critical"] > 0
+    print("HISTOGRAM", got)
+
+
+def test_score_has_the_dax_rule_that_joins(spark):
+    views = Fixture({
+        "dv_measures": spark.createDataFrame([("a", "FILTER ( T, T[B] > 0 )"), ("b", "SUM ( T[B] )")], "name string, expression string").selectExpr("*", "'0' AS format_string", "false AS is_hidden", "'x' AS description"),
+        "dv_tables": spark.createDataFrame([(1, "T", "x", False)], "ord long, name string, description string, is_hidden boolean"),
+        "dv_columns": spark.createDataFrame([("T", "Key", "int64")], "tbl string, name string, data_type string"),
+        "dv_relations": spark.createDataFrame([("T", "T", False, False, False, True)], "a string, b string, from_many boolean, to_many boolean, both_directions boolean, active boolean"),
+        "dv_visuals": spark.createDataFrame([("p", "1", "card", "a")], "page string, visual_id string, type string, field string"),
+    })
+    assert [tuple(r) for r in registry.score_dax(views).collect()] == [("DAX", 3, 2, 85)]
