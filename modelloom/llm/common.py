@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -14,8 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WHITE = r"[\x20\x09-\x0D]+"
-#: Rows a side may have to be broadcast: with a few longs a row, tens of MB. Beyond it the join shuffles.
-BROADCAST_ROWS = 1_000_000
+#: Rows, and bytes in files, that a side may have to be broadcast. Beyond either the join shuffles.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 8 << 20
 
 
 def prepare(spark: SparkSession) -> None:
@@ -24,13 +25,29 @@ def prepare(spark: SparkSession) -> None:
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+
+
+def lean(run):
+    """`run`, for mapInArrow, giving freed memory back to the system when a task ends: workers stay, and so would it."""
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc only
+        if trim:
+            trim(0)
+
+    return tidy
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors share; a temporary one only where that is unset (tests)."""
+    """The folder in spark.checkpoint.dir, which all executors share; a temporary one only where that is unset in a local session."""
     place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not place:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         place = "file://" + tempfile.mkdtemp(prefix="modelloom-")
         spark.conf.set("spark.checkpoint.dir", place)
     return place.rstrip("/")
@@ -49,9 +66,14 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def bounded(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """Marks a staged table for broadcast if it has few enough rows; else the join stays a shuffle join."""
-    return F.broadcast(df) if df.count() <= (BROADCAST_ROWS if rows is None else rows) else df
+def is_small(df: DataFrame) -> bool:
+    """Whether a staged table is within both bounds for a broadcast."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= BROADCAST_BYTES and df.count() <= BROADCAST_ROWS
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """Marks a staged table for broadcast if it is small enough; else the join stays a shuffle join."""
+    return F.broadcast(df) if is_small(df) else df
 
 
 def numbered(docs: DataFrame, name: str) -> DataFrame:
@@ -69,6 +91,14 @@ def numbered(docs: DataFrame, name: str) -> DataFrame:
     return rows.select(*docs.columns, (F.shiftleft("number_of_file", 40) + F.col("index_of_row")).alias(name))
 
 
+def partitions(df: DataFrame, size: int = 64 << 20) -> int:
+    """Into how many parts a shuffle of all of `df` should go: one for `size` bytes of what it is read from, and at least the session's number."""
+    of_session = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    known = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    # a plan without statistics claims the largest number there is
+    return of_session if known >= 1 << 62 else max(of_session, -(-known // size))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -95,7 +125,7 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return off - off[0], raw[off[0] : off[-1]]
 
 
-def pieces(off: np.ndarray, size: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def pieces(off: np.ndarray, size: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Ranges of documents of about `size` bytes each; a longer document stands alone."""
     i, n = 0, len(off) - 1
     while i < n:
@@ -126,9 +156,11 @@ _LETTERS = _letters()
 def _power(base: int, n: int) -> np.ndarray:
     have = _powers.get(base)
     if have is None or len(have) < n:
-        a = np.full(max(n, 1 << 20), base, np.uint64)
+        a = np.full(max(n, 1 << 18), base, np.uint64)
         a[0] = 1
-        have = _powers[base] = np.multiply.accumulate(a)
+        have = np.multiply.accumulate(a)
+        if n <= 1 << 20:  # those of a very long text aren't kept
+            _powers[base] = have
     return have[:n]
 
 

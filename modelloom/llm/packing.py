@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import only, prepare
-from .tokens import encoder
+from .common import lean, only, pieces, prepare, text_buffers
+from .tokens import SLICE, encoder
 
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
@@ -135,13 +135,15 @@ def pack(docs: DataFrame, tokenizer: str, split: str, end_id: int, size: int = 1
             return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols), pa.array(ids, pa.binary())], ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
 
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
-                rows = [r for d, ids in zip(part.column(0).to_pylist(), code.encode(part.column(1).to_pylist()), strict=True) for r in packer.put(d, ids + tail)]
-                if rows:
-                    yield out(rows)
+            for i, j in pieces(text_buffers(batch.column(1))[0], SLICE):
+                part = batch.slice(i, j - i)
+                begin, ids = code.encode(part.column(1))
+                own, at = memoryview(ids.view(np.uint8)), (4 * begin).tolist()
+                rows = [r for n, d in enumerate(part.column(0).to_pylist()) for r in packer.put(d, bytes(own[at[n] : at[n + 1]]) + tail)]
+                for n in range(0, len(rows), 1000):
+                    yield out(rows[n : n + 1000])
         rows = list(packer.end())
         for i in range(0, len(rows), 1000):
             yield out(rows[i : i + 1000])
 
-    return only(docs, doc_id="bigint", text="string").mapInArrow(run, SCHEMA)
+    return only(docs, doc_id="bigint", text="string").mapInArrow(lean(run), SCHEMA)

@@ -15,8 +15,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded, only, prepare
-from .tokens import encoder
+from .common import bounded, lean, only, partitions, pieces, prepare, text_buffers
+from .tokens import SLICE, encoder
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, split: str, end_id: int, encoding: str = "dictionary", row_group: int = 32 << 20, page: int = 64 << 10) -> None:
@@ -30,21 +30,19 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, split: str, end_id:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, at, part = encoder(tokenizer, split), 0, TaskContext.get().partitionId()
-        tail = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                rows = batch.slice(i, 256)
-                ids = [x + tail for x in code.encode(rows.column(1).to_pylist())]
-                n = np.array([len(x) // 4 for x in ids], np.int64)
-                ends = np.concatenate([[0], np.cumsum(n)])
-                values = pa.array(np.frombuffer(b"".join(ids), np.int32))
+            for i, j in pieces(text_buffers(batch.column(1))[0], SLICE):
+                rows = batch.slice(i, j - i)
+                begin, ids = code.encode(rows.column(1))
+                ends = begin + np.arange(len(begin))
+                values = pa.array(np.insert(ids, begin[1:], end_id).view(np.int32))
                 lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), values)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part, np.int32)), rows.column(0), pa.array(at + ends[:-1]), pa.array(n), lists], ["part", "doc_id", "start_in_part", "n_tokens", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), part, np.int32)), rows.column(0), pa.array(at + ends[:-1]), pa.array(np.diff(ends)), lists], ["part", "doc_id", "start_in_part", "n_tokens", "ids"])
                 at += int(ends[-1])
 
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = partitions(docs)
     rows = only(docs, doc_id="bigint", text="string").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
-    out = rows.mapInArrow(run, "part int, doc_id long, start_in_part long, n_tokens long, ids array<int>").write
+    out = rows.mapInArrow(lean(run), "part int, doc_id long, start_in_part long, n_tokens long, ids array<int>").write
     options = {"compression": "zstd", "parquet.block.size": row_group, "parquet.page.size": page, "parquet.enable.dictionary": str(encoding == "dictionary").lower()}
     if encoding == "delta":
         options["parquet.writer.version"] = "PARQUET_2_0"

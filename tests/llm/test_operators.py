@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from modelloom.llm import arc_warc, langid, toxicity
+from modelloom.llm import arc_warc, langid, tokens, toxicity
 from modelloom.llm.ann import nearest
 from modelloom.llm.components import components
 from modelloom.llm.exact_dedup import DigestIndex, dedup
@@ -81,6 +81,18 @@ def test_jaccard_join_has_every_link(spark, k, percent):
     assert {d: component.get(f, f) for d, f in first.items()} == {d: c for d, (n, c) in _groups(texts, k, percent).items() if n}
 
 
+def test_jaccard_groups_just_below_the_threshold(spark):
+    """Two large groups of near copies whose centres miss the threshold by a little, texts between them, and one link across."""
+    r = random.Random(11)
+    edited = lambda words, n: [f"e{r.random()}" if i in places else w for places in [set(r.sample(range(len(words)), n))] for i, w in enumerate(words)]
+    first = _words(90, 160, 9999)
+    second = [f"other{i}" if i < 22 else w for i, w in enumerate(first)]
+    texts = [" ".join(edited(of, n)) for of in (first, second) for n in [0] + [1] * 12 + [2] * 8 + [3] * 6 + [5] * 6]
+    texts += [" ".join(f"other{i}" if i < n else w for i, w in enumerate(first)) for n in (4, 19)]
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in jaccard_components(_docs(spark, texts), 5, 80).collect()}
+    assert got == _groups(texts, 5, 80) and len({c for _, c in got.values()}) > 3
+
+
 def test_components_of_a_chain_and_a_hub(spark):
     links = [(i, i + 1) for i in range(20)] + [(100, 100 + i) for i in range(1, 30)] + [(5, 5), (None, 3)]
     got = dict(components(spark.createDataFrame(links, "a long, b long")).collect())
@@ -132,22 +144,37 @@ def test_packer_fills_every_window():
     assert all(b"".join(x for _, x in sorted(of[i])) == np.arange(n, dtype="<u4").tobytes() for i, n in enumerate(sizes))
 
 
-TEXTS = ["a  b", "a \n b", " a ", "don't stop's", "ΣΑΣ İ", "é é", "foo.\nBar, baz!?", "12 34a", "<|endoftext|> hi", "x\0 y", "", "\n\nq"]
+TEXTS = ["a  b", "a \n b", " a ", "don't stop's", "ΣΑΣ İ", "é é", "foo.\nBar, baz!?", "12 34a", "<|endoftext|> hi", "x\0 y", "", "\n\nq", "a   b \n\n  c", "we'LL go 'Tis 1½ x²", "a\x1cb c", "ſ'ſ a\u200bb"]
+#: Ranges of signs: scripts, marks, digits of many kinds, punctuation, emoji, controls.
+RANGES = [(0x20, 0x7F), (0xA0, 0x250), (0x300, 0x370), (0x370, 0x530), (0x590, 0x700), (0x900, 0xA00), (0xE00, 0xE80), (0x1E00, 0x2070), (0x2070, 0x2200), (0x2460, 0x2500), (0x3000, 0x3100), (0x4E00, 0x5000), (0xA720, 0xA800), (0xAC00, 0xAD00), (0x1D400, 0x1D500), (0x1F300, 0x1F700), (0, 0x30), (0x180B, 0x1810)]
+
+
+def _random_texts(n):
+    r = random.Random(12)
+    out = []
+    for _ in range(n):
+        a, b = r.choice(RANGES), r.choice(RANGES)
+        out.append("".join(r.choice([chr(r.randrange(*a)), chr(r.randrange(*b)), " ", r.choice(TEXTS)]) for _ in range(r.randrange(1, 60))))
+    return out
 
 
-@pytest.mark.parametrize(("file", "split"), [("byte_bpe_50k.json", "before"), ("word_bpe_49k.json", "at")])
-def test_memoised_ids_are_the_library_s(file, split):
+@pytest.mark.parametrize(("file", "split"), [("byte_bpe_50k.json", "before"), ("word_bpe_49k.json", "at"), ("word_bpe_49k.json", "")])
+def test_ids_are_the_library_s(file, split, monkeypatch):
+    """Hard cases, random texts of each script, a text longer than a slice and than a part, and a memo that overflows."""
+    monkeypatch.setattr(tokens, "MEMO", 500)
     whole = Tokenizer.from_file(public_tokenizers.path(file))
     whole.encode_special_tokens = True
-    for t, ids in zip(TEXTS, Encoder(public_tokenizers.path(file), split).encode(TEXTS), strict=True):
-        assert np.frombuffer(ids, "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids, t
+    texts = [*TEXTS, *_random_texts(2000), None, " ".join(_words(3, 1 << 17, 5000)) + " ", "  ".join(_words(4, 20000)) + "\u0301 é", "x" * 30000]
+    begin, ids = Encoder(public_tokenizers.path(file), split).encode(texts)
+    for i, t in enumerate(texts):
+        assert ids[begin[i] : begin[i + 1]].tolist() == whole.encode(t or "", add_special_tokens=False).ids, t
 
 
 def test_pack_and_token_files(spark, tmp_path):
     docs = _docs(spark, [*TEXTS, None, "long " * 3000]).repartition(3)
     path = public_tokenizers.path("word_bpe_49k.json")
     coder = Encoder(path, "at")
-    want = {r["doc_id"]: coder.encode([r["text"]])[0] + (2).to_bytes(4, "little") for r in docs.collect()}
+    want = {r["doc_id"]: coder.encode([r["text"]])[1].tobytes() + (2).to_bytes(4, "little") for r in docs.collect()}
     pieces = pack(docs, path, "at", 2, 256).collect()
     for d, ids in want.items():
         assert b"".join(bytes(r["ids"]) for r in sorted((r for r in pieces if r["doc_id"] == d), key=lambda r: r["start"])) == ids
