@@ -24,27 +24,85 @@ def mask_sql(text: Column) -> Column:
     return _mask(text, SQL_TOKENS, r"^(--|/\*|')")
 
 
-def count_calls(masked: Column, name: str) -> Column:
-    return F.regexp_count(masked, F.lit(rf"(?i)(?<![A-Za-z0-9_]){name}\s*\(")).cast("bigint")
+#: Names in single quotes, which toggle and know no escape, and what stands between them.
+NAME_TOKENS = r"'[^']*'?|[^']+"
 
 
-def divides(masked: Column) -> Column:
+def blank_names(masked: Column) -> Column:
+    """A masked expression whose quoted names are blanked too: what calls, nesting and divisions are looked for in."""
+    return _mask(masked, NAME_TOKENS, r"^'")
+
+
+def count_calls(bare: Column, name: str) -> Column:
+    return F.regexp_count(bare, F.lit(rf"(?i)(?<![A-Za-z0-9_]){name}\s*\(")).cast("bigint")
+
+
+def divides(bare: Column) -> Column:
     """A division sign that is no comment's."""
-    return masked.rlike(r"(^|[^/*])/([^/*]|$)")
+    return bare.rlike(r"(?<![/*])/(?![/*])")
 
 
 def referenced_measures(masked: Column) -> Column:
     """Names in brackets that no table goes before, each once, in order."""
-    return F.array_distinct(F.regexp_extract_all(masked, F.lit(r"(^|[^A-Za-z0-9_'\]])\[([^\]]+)\]"), F.lit(2)))
+    return F.array_distinct(F.regexp_extract_all(masked, F.lit(r"(^|[^A-Za-z0-9_'\]])\[([^\]\r\n]+)\]"), F.lit(2)))
+
+
+def referenced_columns(masked: Column) -> Column:
+    """array<struct<tbl, name>> of the columns named after their table, each once, in order."""
+    found = F.regexp_extract_all(masked, F.lit(r"(?:'[^']+'|[A-Za-z0-9_]+)\[[^\]\r\n]+\]"), F.lit(0))
+    part = lambda x, group: F.regexp_extract(x, r"^(?:'([^']+)'|([A-Za-z0-9_]+))\[(.*)\]$", group)
+    return F.array_distinct(F.transform(found, lambda x: F.struct(F.concat(part(x, 1), part(x, 2)).alias("tbl"), part(x, 3).alias("name"))))
+
+
+#: Functions that need a date table.
+TIME_FUNCTIONS = ["SAMEPERIODLASTYEAR", "DATEADD", "DATESYTD", "DATESQTD", "DATESMTD", "TOTALYTD", "TOTALQTD", "TOTALMTD", "PARALLELPERIOD", "PREVIOUSMONTH", "PREVIOUSQUARTER", "PREVIOUSYEAR", "NEXTMONTH", "NEXTQUARTER", "NEXTYEAR", "DATESBETWEEN", "DATESINPERIOD"]
+
+
+def time_functions(bare: Column) -> Column:
+    """Those of TIME_FUNCTIONS that are called, in that order."""
+    return F.filter(F.array(*map(F.lit, TIME_FUNCTIONS)), lambda name: F.array_contains(F.transform(F.regexp_extract_all(bare, F.lit(r"([A-Za-z0-9_]+)\s*\("), F.lit(1)), lambda x: F.upper(x)), name))
+
+
+def table_mentions(masked: Column) -> Column:
+    """Every name that may be a table's, as often as it stands there: quoted names, and bare ones that no call follows and no VAR declares."""
+    tokens = F.regexp_extract_all(masked, F.lit(r"'[^']*(?:'|\z)|[A-Za-z_][A-Za-z0-9_]*+(?:\s*\()?"), F.lit(0))
+    own = F.regexp_extract_all(masked, F.lit(r"(?i)(?<![A-Za-z0-9_])VAR\s+([A-Za-z_][A-Za-z0-9_]*)"), F.lit(1))
+    bare = F.filter(tokens, lambda t: ~t.startswith("'") & ~t.endswith("(") & ~F.array_contains(own, t))
+    quoted = F.transform(F.filter(tokens, lambda t: t.rlike(r"^'[^']*'$")), lambda t: F.substring(t, F.lit(2), F.length(t) - 2))
+    return F.concat(bare, quoted)
+
+
+def squeezed(text: Column) -> Column:
+    """Each run of white space as one space, none at the ends: expressions that differ in layout only become equal."""
+    return F.trim(F.regexp_replace(text, r"\s+", " "))
+
+
+#: The SQL dialect that a connector speaks; any other is generic.
+DIALECTS = {"Sql.Database": "sqlserver", "Sql.Databases": "sqlserver", "PostgreSQL.Database": "postgres", "Snowflake.Databases": "snowflake", "GoogleBigQuery.Database": "bigquery", "Oracle.Database": "oracle", "MySQL.Database": "mysql", "AmazonRedshift.Database": "redshift"}
+
+
+def dialect(connector: Column) -> Column:
+    return F.coalesce(F.create_map(*(F.lit(x) for kv in DIALECTS.items() for x in kv))[connector], F.lit("generic"))
+
+
+def quoted_identifier(name: Column, spoken: Column) -> Column:
+    """As the dialect writes it; plain names stay bare."""
+    return (
+        F.when(name.rlike("^[A-Za-z_][A-Za-z0-9_]*$"), name)
+        .when(spoken == "sqlserver", F.concat(F.lit("["), name, F.lit("]")))
+        .when(spoken == "mysql", F.concat(F.lit("`"), name, F.lit("`")))
+        .otherwise(F.concat(F.lit('"'), name, F.lit('"')))
+    )
 
 
 def line_count(text: Column) -> Column:
     return F.size(F.split(text, r"\r?\n", -1)).cast("bigint")
 
 
-def nesting(masked: Column, name: str) -> Column:
-    """How deep calls of `name` stand within each other: a fold over calls and parentheses that keeps open ones in an array."""
-    parts = F.regexp_extract_all(masked, F.lit(rf"(?i)(?<![A-Za-z0-9_]){name}\s*\(|[()]"), F.lit(0))
+def nesting(bare: Column, name: str) -> Column:
+    """How deep calls of `name` (at most four spaces before the parenthesis) stand within each other: a fold over calls and
+    parentheses that keeps open ones in an array."""
+    parts = F.regexp_extract_all(bare, F.lit(rf"(?i)(?<![A-Za-z0-9_]){name}\s{{0,4}}\(|[()]"), F.lit(0))
     start = F.struct(F.array().cast("array<boolean>").alias("open"), F.lit(0).alias("now"), F.lit(0).alias("most"))
 
     def step(s: Column, t: Column) -> Column:

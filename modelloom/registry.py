@@ -2,231 +2,542 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text
-from .operators import model_rules
+from .operators import attribution, duplicates, edits, graph, lineage, model_rules, quality, search
 from .operators.model_rules import Views
-from .operators.rules import COMPARED, QA, SQL, Rule, findings
+from .operators.rules import QA, SQL, Rule, findings, sql_rewrites
 from .operators.scoring import category_scores
-from .plans.derived import duck, view
+from .plans.derived import duck
+from .sources import parts
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+# --- frames for DuckDB ----------------------------------------------------------
+
+_q = lambda x: x.replace("'", "''")
+
+
+def _duck_mask(column: str, tokens: str, noise: str) -> str:
+    return f"array_to_string(list_transform(regexp_extract_all({column}, '{_q(tokens)}'), lambda t: CASE WHEN regexp_matches(t, '{_q(noise)}') THEN regexp_replace(t, '[^\\n]', ' ', 'g') ELSE t END), '')"
+
+
+def _duck_nesting(name: str) -> str:
+    """ord, deepest: of the calls that are open at one place the most. A call is open until the parentheses fall back to where it began."""
+    return rf"""(WITH t AS (SELECT ord, unnest(x) AS tok, generate_subscripts(x, 1) AS i FROM (SELECT ord, regexp_extract_all(bare, '(?i)\b{name}\s{{0,4}}\(|[()]') AS x FROM m)),
+d AS (SELECT *, sum(CASE WHEN tok = ')' THEN -1 ELSE 1 END) OVER (PARTITION BY ord ORDER BY i) AS level FROM t),
+o AS (SELECT a.ord, a.i, (SELECT min(b.i) FROM d b WHERE b.ord = a.ord AND b.i > a.i AND b.level < a.level) AS closed FROM d a WHERE length(a.tok) > 1)
+SELECT ord, max(n) AS deepest FROM (SELECT a.ord, a.i, count(*) AS n FROM o a JOIN o b ON b.ord = a.ord AND b.i <= a.i AND coalesce(b.closed > a.i, true) GROUP BY a.ord, a.i) GROUP BY ord)"""
+
 
+_M = f"SELECT *, {_duck_mask('masked', text.NAME_TOKENS, '^' + chr(39))} AS bare FROM (SELECT *, {_duck_mask('expression', text.DAX_TOKENS, chr(94) + '(//|--|/\\*|' + chr(34) + ')')} AS masked FROM ({duck('dv_measures')}))"
+_masked_statement = f"{_duck_mask('statement', text.SQL_TOKENS, chr(94) + '(--|/\\*|' + chr(39) + ')')} AS masked"
+_REFS = r"SELECT DISTINCT name, unnest(regexp_extract_all(masked, '(^|[^A-Za-z0-9_\x27\]])\[([^\]\r\n]+)\]', 2)) AS ref FROM m"
+#: What each name in a query's SQL stands for. Only those that it names, or that these name, go in front of it.
+FRAMES = {
+    "m": _M, "r": _REFS, "s": f"SELECT *, {_masked_statement} FROM ({duck('dv_statements')})", "pt": f"SELECT *, {_masked_statement} FROM ({duck('dv_partitions')})",
+    **{x: duck(y) for x, y in (("v", "dv_visuals"), ("rf", "dv_refs"), ("pg", "dv_pages"), ("rel", "dv_relations"), ("tab", "dv_tables"), ("col", "dv_columns"), ("ch", "dv_changes"), ("pa", "dv_parts"))},
+    "nesting_if": _duck_nesting("IF"), "nesting_switch": _duck_nesting("SWITCH"), "nesting_calculate": _duck_nesting("CALCULATE"), "mentions": model_rules.MENTIONS_SQL,
+}
 
-def measures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return view(spark, sf_dir, "dv_measures").withColumn("masked", text.mask_dax(F.col("expression")))
 
+def _with(sql: str) -> str:
+    used, grown = sql, True
+    names: list[str] = []
+    while grown:
+        grown = False
+        for name, body in FRAMES.items():
+            if name not in names and re.search(rf"\b(?:FROM|JOIN)\s+{name}\b", used):
+                names.append(name)
+                used, grown = used + body, True
+    frames = [f"{n} AS MATERIALIZED ({FRAMES[n]})" for n in FRAMES if n in names]
+    return f"WITH {', '.join(frames)} {sql}" if frames else sql
 
-def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return view(spark, sf_dir, "dv_statements").withColumn("masked", text.mask_sql(F.col("statement")))
 
+def query(sql: str | None = None):
+    """Registers a function of the views, with the DuckDB SQL for its rows."""
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = measures(spark, sf_dir)
+    def add(f):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(Views(spark, sf_dir))
+        if sql:
+            ORACLE_SQL[f.__name__] = _with(sql)
+        return f
+
+    return add
+
+
+# --- text functions ---------------------------------------------------------------
+
+_calls = lambda f: rf"CAST(len(regexp_extract_all(bare, '(?i)\b{f}\s*\(')) AS BIGINT)"
+_QA = {
+    "DAX-DIVISION": "m WHERE regexp_matches(bare, '(^|[^/*])/([^/*]|$)')",
+    "DAX-NESTED-IF": "m WHERE ord IN (SELECT ord FROM nesting_if WHERE deepest >= 4)",
+    "DAX-NESTED-CALCULATE": "m WHERE ord IN (SELECT ord FROM nesting_calculate WHERE deepest >= 3)",
+    "DAX-IF-CHAIN": f"m WHERE {_calls('IF')} >= 5 AND {_calls('SWITCH')} = 0",
+    "DAX-COMPLEX-MEASURE": r"m WHERE length(expression) > 900 OR len(regexp_split_to_array(expression, '\r?\n')) > 25",
+    "DAX-NO-FORMAT": "m WHERE format_string IS NULL AND NOT is_hidden",
+}
+_DAX_SCORE = "CAST(least(100, greatest(0, floor(100.0::DOUBLE * (1.0::DOUBLE - affected / (population * 10.0::DOUBLE)) + 0.5))) AS BIGINT)"
+
+
+@query(f"SELECT 'DAX' AS category, affected, population, {_DAX_SCORE} AS score FROM (SELECT CAST(6 * count(DISTINCT name) AS BIGINT) AS affected FROM {_QA['DAX-DIVISION']}), (SELECT count(*) AS population FROM m)")
+def flagship(v: Views) -> DataFrame:
+    rows = v.measures()
     return category_scores(findings(rows, [QA[0]], "name"), rows.groupBy(F.lit("DAX").alias("category")).agg(F.count(F.lit(1)).alias("population")))
 
 
-def mask_dax(spark, sf_dir):
-    return measures(spark, sf_dir).select("name", "masked")
+@query("SELECT ord, name, masked FROM m")
+def mask_dax(v):
+    return v.measures().select("ord", "name", "masked")
 
 
-def mask_sql(spark, sf_dir):
-    return statements(spark, sf_dir).select("ord", "masked")
+@query("SELECT ord, bare FROM m")
+def blank_names(v):
+    return v.measures().select("ord", "bare")
 
 
-def count_calls(spark, sf_dir):
-    return measures(spark, sf_dir).select("name", text.count_calls(F.col("masked"), "IF").alias("n_if"), text.count_calls(F.col("masked"), "SUM").alias("n_sum"), text.count_calls(F.col("masked"), "FILTER").alias("n_filter"))
+def statements(v: Views) -> DataFrame:
+    return v.get("dv_statements").withColumn("masked", text.mask_sql(F.col("statement")))
 
 
-def measure_refs(spark, sf_dir):
-    return measures(spark, sf_dir).select("name", F.explode(text.referenced_measures(F.col("masked"))).alias("ref"))
+@query("SELECT ord, masked FROM s")
+def mask_sql(v):
+    return statements(v).select("ord", "masked")
 
 
-def line_count(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", text.line_count(F.col("text")).alias("lines"))
+@query(f"SELECT ord, {_calls('IF')} AS n_if, {_calls('SUM')} AS n_sum, {_calls('FILTER')} AS n_filter FROM m")
+def count_calls(v):
+    return v.measures().select("ord", *(text.count_calls(F.col("bare"), f).alias(f"n_{f.lower()}") for f in ("IF", "SUM", "FILTER")))
 
 
-def missing_dependency(spark, sf_dir):
-    """References to measures that no one defines: an anti-join on the name."""
-    return measure_refs(spark, sf_dir).join(measures(spark, sf_dir).select(F.col("name").alias("ref")), "ref", "left_anti").select("name", "ref")
+@query("SELECT m.ord, CAST(coalesce(a.deepest, 0) AS BIGINT) AS n_if, CAST(coalesce(b.deepest, 0) AS BIGINT) AS n_calculate FROM m LEFT JOIN nesting_if a ON a.ord = m.ord LEFT JOIN nesting_calculate b ON b.ord = m.ord")
+def nesting(v):
+    return v.measures().select("ord", text.nesting(F.col("bare"), "IF").alias("n_if"), text.nesting(F.col("bare"), "CALCULATE").alias("n_calculate"))
 
 
-def callers_index(spark, sf_dir):
-    known = measures(spark, sf_dir).select(F.col("name").alias("ref"))
-    return measure_refs(spark, sf_dir).where("name <> ref").join(known, "ref", "left_semi").groupBy("ref").agg(F.count_distinct("name").alias("callers"))
+@query("SELECT name, ref FROM r")
+def measure_refs(v):
+    return v.refs().distinct()
 
 
-def unused_measures(spark, sf_dir):
-    """Measures that no visual binds and no other measure calls."""
-    m = view(spark, sf_dir, "dv_measures").select("name")
-    used = view(spark, sf_dir, "dv_visuals").select(F.col("field").alias("name"))
-    called = measure_refs(spark, sf_dir).where("name <> ref").select(F.col("ref").alias("name"))
-    return m.join(used, "name", "left_anti").join(called, "name", "left_anti")
+@query(f"SELECT name, tbl, c AS col FROM {model_rules._CREFS}")
+def column_refs(v):
+    return v.column_refs().distinct()
 
 
-def measures_not_on_page(spark, sf_dir):
-    return view(spark, sf_dir, "dv_measures").select("name").join(view(spark, sf_dir, "dv_visuals").select(F.col("field").alias("name")), "name", "left_anti")
+@query("SELECT ord, name, tbl, n FROM mentions")
+def table_mentions(v):
+    return model_rules.mentions(v)
 
 
-def broken_fields(spark, sf_dir):
-    known = view(spark, sf_dir, "dv_measures").select(F.col("name").alias("field"))
-    return view(spark, sf_dir, "dv_visuals").join(known, "field", "left_anti").select("page", "visual_id", "field")
+@query(rf"SELECT ord, list_aggregate(list_sort(list_distinct(list_transform(regexp_extract_all(bare, '(?i)\b({'|'.join(text.TIME_FUNCTIONS)})\s*\(', 1), lambda x: upper(x)))), 'string_agg', ',') AS functions FROM m WHERE regexp_matches(bare, '(?i)\b({'|'.join(text.TIME_FUNCTIONS)})\s*\(')")
+def time_functions(v):
+    used = text.time_functions(F.col("bare"))
+    return v.measures().where(F.size(used) > 0).select("ord", F.array_join(F.array_sort(used), ",").alias("functions"))
 
 
-def usage_lookup(spark, sf_dir):
-    v = view(spark, sf_dir, "dv_visuals")
-    return v.join(view(spark, sf_dir, "dv_measures").select(F.col("name").alias("field")), "field").groupBy("field").agg(F.count_distinct("page").alias("pages"), F.count(F.lit(1)).alias("visuals"))
+QUERIES["line_count"] = lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", text.line_count(F.col("text")).alias("lines"))
+ORACLE_SQL["line_count"] = r"SELECT doc_id, CAST(len(regexp_split_to_array(text, '\r?\n')) AS BIGINT) AS lines FROM documents"
 
 
-def crowded_pages(spark, sf_dir):
-    n = view(spark, sf_dir, "dv_visuals").groupBy("page").agg(F.count(F.lit(1)).alias("visuals"))
-    return n.where("visuals > 20").select("page", "visuals", F.when(F.col("visuals") > 30, "high").otherwise("medium").alias("severity"))
+@query("SELECT ord, trim(regexp_replace(expression, '\\s+', ' ', 'g')) AS plain FROM m")
+def normalised_expressions(v):
+    return v.get("dv_measures").select("ord", text.squeezed(F.col("expression")).alias("plain"))
 
 
-def slicer_pages(spark, sf_dir):
-    return view(spark, sf_dir, "dv_visuals").groupBy("page").agg(F.count_if(F.col("type") == "slicer").alias("slicers")).where("slicers > 6")
+@query("SELECT ord, CASE connector WHEN 'Sql.Database' THEN 'sqlserver' WHEN 'Sql.Databases' THEN 'sqlserver' WHEN 'PostgreSQL.Database' THEN 'postgres' WHEN 'Snowflake.Databases' THEN 'snowflake' WHEN 'GoogleBigQuery.Database' THEN 'bigquery' ELSE 'generic' END AS dialect FROM s")
+def dialects(v):
+    return v.get("dv_statements").select("ord", text.dialect(F.col("connector")).alias("dialect"))
 
 
-def page_complexity(spark, sf_dir):
-    """Points of visuals, slicers and distinct fields, clamped, with a band."""
-    v = view(spark, sf_dir, "dv_visuals").groupBy("page").agg((F.count(F.lit(1)) * 2 + F.count_if(F.col("type") == "slicer") * 4 + F.count_distinct("field")).alias("points"))
-    score = F.least(F.lit(100), "points").cast("bigint")
-    band = F.when(score < 30, "simple").when(score < 60, "moderate").when(score < 80, "complex").otherwise("very complex")
-    return v.select("page", score.alias("score"), band.alias("band"))
+# --- rules --------------------------------------------------------------------------
 
+_has = lambda p, c="masked": f"regexp_matches({c}, '(?i){p}')"
+_LIMIT = _has(r"\bTOP\s*\(?\s*\d|\bLIMIT\b|\bFETCH\s+(FIRST|NEXT)|\bOFFSET\b|\bROW_NUMBER\s*\(")
+_AFTER = r"regexp_extract(masked, '(?is)\bORDER\s+BY\b.*')"
+_STAR = r"\bSELECT\s+((DISTINCT|TOP\s*\(?\s*\d+\s*\)?)\s+)*\*"
+_YEAR = r"\bYEAR\s*\(\s*([A-Za-z_][\w.]*)\s*\)\s*=\s*(\d{4})\b"
+_COMPARED = r"\b(COALESCE|ISNULL|UPPER|LOWER|LTRIM|RTRIM|TRIM|LEFT|RIGHT|SUBSTRING|CAST|CONVERT|DATEPART|DAY|MONTH)\s*\([^)]*\)\s*(<>|!=|[<>]=?|=|(LIKE|IN)\b)"
+_SQL = {
+    "SQL-SELECT-STAR": _has(_STAR),
+    "SQL-ORDER-BY": f"{_AFTER} <> '' AND NOT contains({_AFTER}, ')') AND NOT {_LIMIT}",
+    "SQL-NON-SARGABLE-YEAR": _has(_YEAR),
+    "SQL-NON-SARGABLE-FUNCTION": _has(_COMPARED),
+    "SQL-LEADING-WILDCARD": _has(r"\bLIKE\s*''%", "statement") + " AND " + _has(r"\bLIKE\b"),
+    "SQL-REDUNDANT-DISTINCT": _has(r"\bSELECT\s+DISTINCT\b") + " AND " + _has(r"\bGROUP\s+BY\b"),
+    "SQL-NO-FILTER": _has(r"\bFROM\b") + " AND NOT " + _has(r"\bWHERE\b") + f" AND NOT {_LIMIT}",
+    "SQL-IMPLICIT-CONVERSION": r"regexp_matches(statement, '\b[A-Za-z_][\w.]*\s*=\s*''\d+''')",
+    "SQL-CORRELATED-SUBQUERY": _has(r"\b(EXISTS|IN)\s*\(\s*SELECT\b"),
+    "SQL-MANY-JOINS": r"len(regexp_extract_all(masked, '(?i)\bJOIN\b')) >= 5",
+    "SQL-NOLOCK": _has(r"\bNOLOCK\b") + " AND connector IN ('Sql.Database', 'Sql.Databases')",
+    "SQL-NESTED-SELECT-STAR": _has(r"\(\s*SELECT\s+\*"),
+}
 
-def duplicate_type_pages(spark, sf_dir):
-    return view(spark, sf_dir, "dv_visuals").groupBy("page", "field").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
 
+def _named(rule: Rule) -> str:
+    return f"sqlrule_{rule.id.lower()[4:].replace('-', '_')}" if rule.category == "SQL" else f"qa_{rule.id.lower().replace('-', '_')}"
 
-def qa_findings(views: Views) -> DataFrame:
-    """The findings of all QA rules built: those over one frame in one pass, and those that join or group frames."""
-    hits = findings(views.measures(), QA, "name")
-    for name, rule in model_rules.RULES.items():
-        if name.startswith("qa_"):
-            hits = hits.unionByName(rule(views))
-    return hits
 
+def _rule(rule: Rule):
+    def run(spark, sf_dir):
+        v = Views(spark, sf_dir)
+        return findings(statements(v).withColumn("key", F.col("ord").cast("string")), [rule], "key") if rule.category == "SQL" else findings(v.measures(), [rule], "name")
 
-def severities(spark: SparkSession, hits: DataFrame) -> DataFrame:
-    domain = spark.createDataFrame([("critical",), ("high",), ("medium",), ("low",)], "severity string")
-    n = hits.groupBy("severity").agg(F.count(F.lit(1)).alias("n"))
-    return domain.join(n, "severity", "left").select("severity", F.coalesce("n", F.lit(0)).alias("n"))
+    return run
 
 
-def severity_histogram(spark, sf_dir):
-    return severities(spark, qa_findings(Views(spark, sf_dir)))
+for _r in QA + SQL:
+    QUERIES[_named(_r)] = _rule(_r)
+    _level = f"'{_r.severity}'" if isinstance(_r.severity, str) else "CASE WHEN connector IN ('Snowflake.Databases', 'GoogleBigQuery.Database', 'AmazonRedshift.Database') THEN 'high' ELSE 'medium' END"
+    ORACLE_SQL[_named(_r)] = _with(f"SELECT '{_r.id}' AS rule_id, '{_r.category}' AS category, {_level} AS severity, " + (f"CAST(ord AS VARCHAR) AS target FROM s WHERE {_SQL[_r.id]}" if _r.category == "SQL" else f"name AS target FROM {_QA[_r.id]}"))
+for _name, _f in model_rules.RULES.items():
+    QUERIES[_name] = (lambda f: lambda spark, sf_dir: f(Views(spark, sf_dir)))(_f)
+    ORACLE_SQL[_name] = _with(model_rules.SQL[_name])
 
+_quoted_names = "CASE WHEN connector IN ('Sql.Database', 'Sql.Databases') THEN 'Id, [Net Amount]' ELSE 'Id, \"Net Amount\"' END"
 
-def score_dax(views: Views) -> DataFrame:
-    population = views.measures().groupBy(F.lit("DAX").alias("category")).agg(F.count(F.lit(1)).alias("population"))
-    return category_scores(qa_findings(views).where("category = 'DAX'"), population)
 
+@query(rf"""SELECT CAST(ord AS VARCHAR) AS target, rule_id, confidence, suggested FROM (
+SELECT ord, 'SQL-SELECT-STAR' AS rule_id, 'high' AS confidence, regexp_replace(statement, '(?i)(\bSELECT\s+(?:DISTINCT\s+)?(?:TOP\s*\(?\s*\d+\s*\)?\s+)?)\*', '\1' || {_quoted_names}) AS suggested FROM s WHERE {_SQL['SQL-SELECT-STAR']} AND loaded <> '' AND len(regexp_extract_all(masked, '\*')) = 1
+UNION ALL SELECT ord, 'SQL-ORDER-BY', 'high', rtrim(statement[:length(statement) - length({_AFTER})]) FROM s WHERE {_SQL['SQL-ORDER-BY']}
+UNION ALL SELECT ord, 'SQL-NON-SARGABLE-YEAR', 'medium', regexp_replace(statement, '(?i){_YEAR}', '\1 >= ''\2-01-01'' AND \1 < ''' || CAST(CAST(regexp_extract(masked, '(?i){_YEAR}', 2) AS INT) + 1 AS VARCHAR) || '-01-01''') FROM s WHERE {_SQL['SQL-NON-SARGABLE-YEAR']}
+UNION ALL SELECT ord, 'SQL-REDUNDANT-DISTINCT', 'high', regexp_replace(statement, '(?i)(\bSELECT\s+)DISTINCT\s+', '\1') FROM s WHERE {_SQL['SQL-REDUNDANT-DISTINCT']})""")
+def sql_rewritten(v):
+    rows = statements(v).withColumns({"key": F.col("ord").cast("string"), "loaded": F.filter(F.split("loaded", ","), lambda x: x != "")})
+    return sql_rewrites(rows, "key")
 
-def dax_score(spark, sf_dir):
-    """The score of the DAX rules built, of whichever catalogue."""
-    return score_dax(Views(spark, sf_dir))
 
+# --- joins over the model -------------------------------------------------------------
 
-def primary_host(spark, sf_dir):
-    """The most frequent visual type of each page against the runner-up, by a window over each page.
 
-    Not the survey's A13, the primary table of each measure: that is not built.
-    """
-    from pyspark.sql import Window
+@query(f"SELECT name, ref FROM {model_rules.MISSING_SQL}")
+def missing_dependency(v):
+    return model_rules.missing_dependencies(v).distinct()
 
-    v = view(spark, sf_dir, "dv_visuals").groupBy("page", "type").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("page").orderBy(F.desc("n"), "type")
-    top = v.withColumns({"rank": F.row_number().over(w), "second": F.lead("n").over(w)}).where("rank = 1")
-    return top.select("page", "type", "n", (F.col("n") * 2 >= F.coalesce("second", F.lit(0)) * 3).alias("clear"))
 
+@query("SELECT name, CAST(count(DISTINCT by_name) AS BIGINT) AS callers FROM (SELECT name AS by_name, unnest(regexp_extract_all(expression, '\\[([^\\]\\r\\n]+)\\]', 1)) AS name FROM m) WHERE by_name <> name AND name IN (SELECT name FROM m) GROUP BY name")
+def callers_index(v):
+    return attribution.callers(v)
 
-def self_loops(spark, sf_dir):
-    return view(spark, sf_dir, "dv_relations").where("a = b").select("ord", "a")
 
+@query("SELECT name FROM m WHERE name NOT IN (SELECT field FROM rf WHERE kind = 'measure') AND name NOT IN (SELECT ref FROM r WHERE name <> ref)")
+def unused_measures(v):
+    return model_rules.unused_measures(v).select("name")
 
-QUERIES = {f.__name__: f for f in (flagship, mask_dax, mask_sql, count_calls, measure_refs, line_count, missing_dependency, callers_index, unused_measures, measures_not_on_page, broken_fields, usage_lookup, crowded_pages, slicer_pages, page_complexity, duplicate_type_pages, severity_histogram, dax_score, primary_host, self_loops)}
 
+@query("SELECT name FROM m WHERE name NOT IN (SELECT field FROM rf WHERE kind = 'measure')")
+def measures_not_on_page(v):
+    return v.get("dv_measures").select("name").join(v.get("dv_refs").where("kind = 'measure'").select(F.col("field").alias("name")), "name", "left_anti")
 
-def _model_rule(name: str):
-    return lambda spark, sf_dir: model_rules.RULES[name](Views(spark, sf_dir))
 
+@query(f"SELECT page, visual_id, kind, tbl, field FROM {model_rules.BROKEN_SQL}")
+def broken_fields(v):
+    return model_rules.broken_fields(v).select("page", "visual_id", "kind", "tbl", "field")
 
-QUERIES |= {name: _model_rule(name) for name in model_rules.RULES}
 
+for _kind, _of in (("measure", "m"), ("column", "col")):
 
-def _rule(rule: Rule, of: str):
-    def run(spark, sf_dir):
-        rows, key = (measures(spark, sf_dir), "name") if of == "qa" else (statements(spark, sf_dir).withColumn("key", F.col("ord").cast("string")), "key")
-        return findings(rows, [rule], key)
+    def _usage(v, kind=_kind):
+        return attribution.usage(v, kind)
 
-    return run
+    _usage.__name__ = f"{_kind}_usage"
+    query(f"SELECT o.tbl, o.name, count(DISTINCT page) AS pages, count(DISTINCT visual_id) AS visuals FROM (SELECT DISTINCT tbl, name FROM {_of}) o JOIN rf ON rf.field = o.name AND kind = '{_kind}' AND (rf.tbl IS NULL OR o.tbl IS NULL OR rf.tbl = o.tbl) GROUP BY o.tbl, o.name")(_usage)
 
 
-QUERIES |= {f"qa_{r.id.lower().replace('-', '_')}": _rule(r, "qa") for r in QA}
-QUERIES |= {f"sqlrule_{r.id.lower()[4:].replace('-', '_')}": _rule(r, "sql") for r in SQL}
+@query("SELECT page, field, arg_min(coalesce(tbl, '-'), ord * 100 + ref_ord) AS tbl, field IN (SELECT name FROM m) AS in_model FROM rf WHERE kind = 'measure' GROUP BY page, field")
+def page_measures(v):
+    return attribution.page_measures(v).withColumn("tbl", F.coalesce("tbl", F.lit("-")))
 
-# --- SQL for DuckDB ----------------------------------------------------------
 
-def _duck_mask(column: str, tokens: str, noise: str) -> str:
-    q = lambda x: x.replace("'", "''")
-    return f"array_to_string(list_transform(regexp_extract_all({column}, '{q(tokens)}'), lambda t: CASE WHEN regexp_matches(t, '{q(noise)}') THEN regexp_replace(t, '[^\\n]', ' ', 'g') ELSE t END), '')"
+@query("SELECT name, arg_max(tbl, ord) AS column_table FROM col WHERE name IN (SELECT name FROM m) GROUP BY name")
+def name_collision_tables(v):
+    return model_rules.name_collisions(v).select("name", "column_table").distinct()
 
 
-_MEASURES = f"m AS (SELECT *, {_duck_mask('expression', text.DAX_TOKENS, chr(94) + '(//|--|/\\*|' + chr(34) + ')')} AS masked FROM ({duck('dv_measures')}))"
-_STATEMENTS = f"s AS (SELECT *, {_duck_mask('statement', text.SQL_TOKENS, chr(94) + '(--|/\\*|' + chr(39) + ')')} AS masked FROM ({duck('dv_statements')}))"
-_VISUALS = f"v AS ({duck('dv_visuals')})"
-_REFS = r"r AS (SELECT DISTINCT name, unnest(regexp_extract_all(masked, '(^|[^A-Za-z0-9_''\]])\[([^\]]+)\]', 2)) AS ref FROM m)"
-_calls = lambda f: rf"CAST(len(regexp_extract_all(masked, '(?i)\b{f}\s*\(')) AS BIGINT)"
-_QA = {
-    "DAX-DIVISION": "regexp_matches(masked, '(^|[^/*])/([^/*]|$)')",
-    "DAX-IF-CHAIN": f"{_calls('IF')} >= 5 AND {_calls('SWITCH')} = 0",
-    "DAX-COMPLEX-MEASURE": "length(expression) > 900",
-    "DAX-NO-FORMAT": "format_string IS NULL AND NOT is_hidden",
-}
-_has = lambda p, c="masked": f"regexp_matches({c}, '(?i){p}')"
-_LIMIT = _has(r"\b(TOP|LIMIT|FETCH|OFFSET|ROW_NUMBER)\b")
-_SQL = {
-    "SQL-SELECT-STAR": _has(r"\bSELECT\s+(DISTINCT\s+|TOP\s+\d+\s+)*\*"),
-    "SQL-ORDER-BY": _has(r"\bORDER\s+BY\b[^)]*\z") + f" AND NOT {_LIMIT}",
-    "SQL-NON-SARGABLE-YEAR": _has(r"\bYEAR\s*\([^)]*\)\s*=\s*\d{4}"),
-    "SQL-NON-SARGABLE-FUNCTION": _has(COMPARED),
-    "SQL-LEADING-WILDCARD": _has(r"\bLIKE\s+''%", "statement") + " AND " + _has(r"\bLIKE\b"),
-    "SQL-REDUNDANT-DISTINCT": _has(r"\bDISTINCT\b") + " AND " + _has(r"\bGROUP\s+BY\b"),
-    "SQL-NO-FILTER": _has(r"\bFROM\b") + " AND NOT " + _has(r"\bWHERE\b") + f" AND NOT {_LIMIT}",
-    "SQL-IMPLICIT-CONVERSION": _has(r"[A-Za-z0-9_\]]\s*=\s*''\d+''", "statement"),
-    "SQL-CORRELATED-SUBQUERY": _has(r"\b(EXISTS|IN)\s*\(\s*SELECT\b"),
-    "SQL-MANY-JOINS": r"len(regexp_extract_all(masked, '(?i)\bJOIN\b')) >= 5",
-    "SQL-NOLOCK": _has(r"\bNOLOCK\b") + " AND connector = 'Sql.Database'",
-    "SQL-NESTED-SELECT-STAR": _has(r"\(\s*SELECT\s+\*"),
-}
-_DIVISIONS = f"SELECT count(*) FROM m WHERE {_QA['DAX-DIVISION']}"
-
-ORACLE_SQL = {
-    "flagship": f"WITH {_MEASURES}, a AS (SELECT CAST(6 * count(*) AS BIGINT) AS affected FROM m WHERE {_QA['DAX-DIVISION']}), p AS (SELECT count(*) AS population FROM m) SELECT 'DAX' AS category, affected, population, CAST(least(100, greatest(0, floor(100.0::DOUBLE * (1.0::DOUBLE - affected / (population * 10.0::DOUBLE)) + 0.5))) AS BIGINT) AS score FROM a, p",
-    "mask_dax": f"WITH {_MEASURES} SELECT name, masked FROM m",
-    "mask_sql": f"WITH {_STATEMENTS} SELECT ord, masked FROM s",
-    "count_calls": f"WITH {_MEASURES} SELECT name, {_calls('IF')} AS n_if, {_calls('SUM')} AS n_sum, {_calls('FILTER')} AS n_filter FROM m",
-    "measure_refs": f"WITH {_MEASURES}, {_REFS} SELECT name, ref FROM r",
-    "line_count": r"SELECT doc_id, CAST(len(regexp_split_to_array(text, '\r?\n')) AS BIGINT) AS lines FROM documents",
-    "missing_dependency": f"WITH {_MEASURES}, {_REFS} SELECT name, ref FROM r WHERE ref NOT IN (SELECT name FROM m)",
-    "callers_index": f"WITH {_MEASURES}, {_REFS} SELECT ref, count(DISTINCT name) AS callers FROM r WHERE name <> ref AND ref IN (SELECT name FROM m) GROUP BY ref",
-    "unused_measures": f"WITH {_MEASURES}, {_REFS}, {_VISUALS} SELECT name FROM m WHERE name NOT IN (SELECT field FROM v) AND name NOT IN (SELECT ref FROM r WHERE name <> ref)",
-    "measures_not_on_page": f"WITH {_MEASURES}, {_VISUALS} SELECT name FROM m WHERE name NOT IN (SELECT field FROM v)",
-    "broken_fields": f"WITH {_MEASURES}, {_VISUALS} SELECT page, visual_id, field FROM v WHERE field NOT IN (SELECT name FROM m)",
-    "usage_lookup": f"WITH {_MEASURES}, {_VISUALS} SELECT field, count(DISTINCT page) AS pages, count(*) AS visuals FROM v WHERE field IN (SELECT name FROM m) GROUP BY field",
-    "crowded_pages": f"WITH {_VISUALS} SELECT page, count(*) AS visuals, CASE WHEN count(*) > 30 THEN 'high' ELSE 'medium' END AS severity FROM v GROUP BY page HAVING count(*) > 20",
-    "slicer_pages": f"WITH {_VISUALS} SELECT page, count(*) FILTER (WHERE type = 'slicer') AS slicers FROM v GROUP BY page HAVING count(*) FILTER (WHERE type = 'slicer') > 6",
-    "page_complexity": f"WITH {_VISUALS}, c AS (SELECT page, least(100, count(*) * 2 + count(*) FILTER (WHERE type = 'slicer') * 4 + count(DISTINCT field)) AS score FROM v GROUP BY page) SELECT page, CAST(score AS BIGINT) AS score, CASE WHEN score < 30 THEN 'simple' WHEN score < 60 THEN 'moderate' WHEN score < 80 THEN 'complex' ELSE 'very complex' END AS band FROM c",
-    "duplicate_type_pages": f"WITH {_VISUALS} SELECT page, field, count(*) AS n FROM v GROUP BY page, field HAVING count(*) >= 2",
-    "primary_host": f"WITH {_VISUALS}, c AS (SELECT page, type, count(*) AS n FROM v GROUP BY page, type), w AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY n DESC, type) AS rank, lead(n) OVER (PARTITION BY page ORDER BY n DESC, type) AS second FROM c) SELECT page, type, n, n * 2 >= coalesce(second, 0) * 3 AS clear FROM w WHERE rank = 1",
-    "self_loops": f"SELECT ord, a FROM ({duck('dv_relations')}) WHERE a = b",
-}
-for _r in QA:
-    if _r.id in _QA:
-        ORACLE_SQL[f"qa_{_r.id.lower().replace('-', '_')}"] = f"WITH {_MEASURES} SELECT '{_r.id}' AS rule_id, '{_r.category}' AS category, '{_r.severity}' AS severity, name AS target FROM m WHERE {_QA[_r.id]}"
-for _r in SQL:
-    ORACLE_SQL[f"sqlrule_{_r.id.lower()[4:].replace('-', '_')}"] = f"WITH {_STATEMENTS} SELECT '{_r.id}' AS rule_id, '{_r.category}' AS category, '{_r.severity}' AS severity, CAST(ord AS VARCHAR) AS target FROM s WHERE {_SQL[_r.id]}"
-
-_VIEWS = ", ".join(f"{x} AS ({duck(y)})" for x, y in (("v", "dv_visuals"), ("rel", "dv_relations"), ("tab", "dv_tables"), ("col", "dv_columns")))
-ORACLE_SQL |= {name: f"WITH {_MEASURES}, {_REFS}, {_VIEWS} {sql}" for name, sql in model_rules.SQL.items()}
+@query(f"SELECT page, is_hidden, visuals, slicers, fields, grids, repeated, score, band FROM {model_rules.PAGES_SQL}")
+def page_complexity(v):
+    return model_rules.page_complexity(v)
+
+
+@query("SELECT name, list_aggregate(list(tbl ORDER BY tbl), 'string_agg', ' and ') AS tables FROM m GROUP BY name HAVING count(*) > 1")
+def duplicate_names(v):
+    return v.get("dv_measures").groupBy("name").agg(F.array_join(F.array_sort(F.collect_list("tbl")), " and ").alias("tables"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+
+
+@query("SELECT ord, a FROM rel WHERE a = b")
+def self_loops(v):
+    return v.get("dv_relations").where("a = b").select("ord", "a")
+
+
+# --- graphs -----------------------------------------------------------------------------
+
+
+@query(f"SELECT name, depth FROM {graph.DEPTHS_SQL}")
+def dependency_depth(v):
+    return graph.depths(v.calls())
+
+
+@query(f"SELECT name, reached FROM {graph.CLOSURE_SQL}")
+def call_closure(v):
+    return graph.closure(v.calls())
+
+
+@query(f"SELECT ord, a, b FROM {graph.CLOSING_SQL}")
+def loop_closing_relations(v):
+    return graph.closing_edges(v.get("dv_relations").where("active").select("ord", "a", "b"))
+
+
+@query(f"SELECT ord, name, tbl, n FROM {attribution.closure_sql('mentions')}")
+def closure_table_counts(v):
+    return attribution.closure_mentions(v)
+
+
+@query(f"SELECT ord, name, home, primary_table, confidence, n, second FROM {attribution.primary_sql('mentions')}")
+def primary_table(v):
+    return attribution.primary_tables(v)
+
+
+@query(f"SELECT coalesce(primary_table, home) AS tbl, count(*) AS measures, count(*) FILTER (WHERE coalesce(primary_table, home) <> home) AS moved_in FROM {attribution.primary_sql('mentions')} GROUP BY 1")
+def measures_by_source_table(v):
+    return attribution.table_groups(v)
+
+
+@query(f"SELECT visual_id, page, field, tbl, label, source, distance FROM {attribution.KPI_SQL}")
+def kpi_names(v):
+    return attribution.kpi_names(v).drop("ord")
+
+
+@query(f"SELECT tbl, field, label, source FROM {attribution.KPI_SQL} QUALIFY row_number() OVER (PARTITION BY tbl, field ORDER BY CASE source WHEN 'visual-title' THEN 0 WHEN 'caption-near' THEN 2 ELSE 1 END, coalesce(distance, 0), ord) = 1")
+def best_kpi_names(v):
+    return attribution.best_kpi_names(v)
+
+
+@query("SELECT page, type, count(*) AS n FROM v WHERE type IN ('slicer', 'textbox') OR visual_id NOT IN (SELECT visual_id FROM rf WHERE kind = 'measure') GROUP BY page, type")
+def excluded_visuals(v):
+    return attribution.excluded_visuals(v)
+
+
+@query(f"SELECT least(name, ref) AS a, greatest(name, ref) AS b, count(DISTINCT x.page) AS pages FROM {graph.CALLS_SQL} c JOIN rf x ON x.field = c.name AND x.kind = 'measure' JOIN rf y ON y.field = c.ref AND y.kind = 'measure' AND y.page = x.page GROUP BY 1, 2")
+def related_kpis(v):
+    return attribution.related_kpis(v)
+
+
+@query(f"SELECT src, dst, kind FROM {lineage.EDGES_SQL}")
+def lineage_edges(v):
+    return lineage.edges(v)
+
+
+@query(lineage.PAGE_SQL)
+def lineage_of_a_page(v):
+    return lineage.below(lineage.edges(v), "page:s0_3")
+
+
+@query("SELECT kind, count(*) AS n FROM (SELECT DISTINCT split_part(x, ':', 1) AS kind, x FROM (SELECT src AS x FROM " + lineage.EDGES_SQL + " UNION ALL SELECT dst FROM " + lineage.EDGES_SQL + ")) GROUP BY kind")
+def lineage_nodes(v):
+    return lineage.node_counts(lineage.edges(v))
+
+
+# --- findings as a whole ------------------------------------------------------------------
+
+_ALL_QA = " UNION ALL ".join([f"SELECT '{r.id}' AS rule_id, '{r.category}' AS category, '{r.severity}' AS severity, name AS target FROM {_QA[r.id]}" for r in QA] + [s for n, s in model_rules.SQL.items() if n.startswith("qa_")])
+_RANK = "CASE severity WHEN 'critical' THEN 1 WHEN 'high' THEN 2 WHEN 'medium' THEN 3 ELSE 4 END"
+_TENTHS = "CASE severity WHEN 'critical' THEN 10 WHEN 'high' THEN 6 WHEN 'medium' THEN 3 ELSE 1 END"
+_POPULATION = "(SELECT unnest(['DAX', 'Model', 'Relationship', 'Report', 'Data']) AS category, unnest([a, a + b, c, d, a + c]) AS population FROM (SELECT (SELECT count(*) FROM m) AS a, (SELECT count(*) FROM tab) AS b, (SELECT count(*) FROM rel) AS c, (SELECT count(*) FROM pg) AS d))"
+_SCORES = f"(SELECT category, coalesce(CAST(affected AS BIGINT), 0) AS affected, population, CASE WHEN population > 0 THEN CAST(least(100, greatest(0, floor(100.0::DOUBLE * (1.0::DOUBLE - coalesce(affected, 0) / (population * 10.0::DOUBLE)) + 0.5))) AS BIGINT) END AS score FROM {_POPULATION} LEFT JOIN (SELECT category, sum(t) AS affected FROM (SELECT category, target, max({_TENTHS}) AS t FROM ({_ALL_QA}) GROUP BY ALL) GROUP BY category) USING (category))"
+_IDS = f"(SELECT *, rule_id || '#' || target || '#' || CAST(row_number() OVER (PARTITION BY rule_id, target ORDER BY severity) - 1 AS VARCHAR) AS finding_id FROM ({_ALL_QA}))"
+
+
+@query(f"SELECT * FROM ({_ALL_QA})")
+def qa_findings(v):
+    return quality.qa_findings(v)
+
+
+@query(f"SELECT rule_id, category, severity, target, finding_id FROM {_IDS}")
+def qa_finding_ids(v):
+    return quality.identified(quality.qa_findings(v))
+
+
+@query(f"SELECT x.severity, count(q.severity) AS n FROM (SELECT unnest(['critical', 'high', 'medium', 'low']) AS severity) x LEFT JOIN ({_ALL_QA}) q USING (severity) GROUP BY x.severity")
+def severity_histogram(v):
+    return quality.severities(quality.qa_findings(v))
+
+
+@query(f"SELECT rule_id, category, severity, target, {_RANK} AS severity_rank FROM ({_ALL_QA}) ORDER BY severity_rank, category, target, rule_id LIMIT 5")
+def qa_top_problems(v):
+    return quality.top_problems(v)
+
+
+@query(f"SELECT * FROM {_SCORES}")
+def qa_scores(v):
+    return quality.scores(v)
+
+
+@query(f"SELECT CAST(floor(avg(score) + 0.5) AS BIGINT) AS overall FROM {_SCORES}")
+def qa_overall_score(v):
+    return quality.overall(v)
+
+
+@query(f"SELECT * FROM {_SCORES} WHERE category = 'DAX'")
+def dax_score(v):
+    return quality.scores(v).where("category = 'DAX'")
+
+
+def _capabilities(v: Views) -> DataFrame:
+    """As of a file whose report can't be read."""
+    return v.get("dv_measures").sparkSession.createDataFrame([("model", True, None), ("report", False, "No report part.")], "capability string, available boolean, reason string")
+
+
+@query("SELECT * FROM (VALUES ('DAX', 7, 0, NULL), ('Model', 4, 0, NULL), ('Relationship', 4, 0, NULL), ('Report', 0, 4, 'No report part.'), ('Data', 4, 0, NULL)) x(category, rules_run, rules_skipped, reason)")
+def rules_run_and_skipped(v):
+    return quality.rules_run(v, _capabilities(v))
+
+
+_DECISIONS = "(SELECT finding_id, CASE length(finding_id) % 4 WHEN 0 THEN 'flagged' WHEN 1 THEN 'resolved' ELSE 'ignored' END AS state FROM {0} WHERE length(finding_id) % 4 < 3)".format
+
+
+@query(f"SELECT x.severity, count(*) FILTER (WHERE q.severity IS NOT NULL AND coalesce(state, 'open') IN ('open', 'flagged')) AS outstanding, count(*) FILTER (WHERE state = 'flagged') AS flagged, count(*) FILTER (WHERE state = 'resolved') AS resolved, count(*) FILTER (WHERE state = 'ignored') AS ignored FROM (SELECT unnest(['critical', 'high', 'medium', 'low']) AS severity) x LEFT JOIN {_IDS} q USING (severity) LEFT JOIN {_DECISIONS(_IDS)} d USING (finding_id) GROUP BY x.severity")
+def inbox_counts(v):
+    hits = quality.identified(quality.qa_findings(v))
+    triage = hits.where("length(finding_id) % 4 < 3").select("finding_id", F.expr("CASE length(finding_id) % 4 WHEN 0 THEN 'flagged' WHEN 1 THEN 'resolved' ELSE 'ignored' END").alias("state"))
+    return quality.inbox(hits, triage)
+
+
+# --- duplicates, edits, audits, versions ------------------------------------------------------
+
+
+@query(f"SELECT * FROM {duplicates.GROUPS_SQL}")
+def duplicate_sources(v):
+    return duplicates.duplicate_groups(v.get("dv_partitions"))
+
+
+@query("SELECT change_id, 'measure' AS clash FROM ch WHERE field = 'name' AND target_type = 'measure' AND EXISTS (SELECT 1 FROM m WHERE m.name = ch.after AND NOT (m.name = ch.name AND m.tbl = ch.tbl)) UNION ALL SELECT change_id, 'table' FROM ch WHERE field = 'name' AND target_type = 'table' AND after IN (SELECT name FROM tab) UNION ALL SELECT change_id, 'column' FROM ch WHERE field = 'name' AND target_type = 'column' AND EXISTS (SELECT 1 FROM col WHERE col.tbl = ch.tbl AND col.name = ch.after)")
+def rename_collisions(v):
+    return edits.collisions(v)
+
+
+@query("WITH u AS (SELECT field, count(DISTINCT page) AS pages, count(DISTINCT visual_id) AS visuals FROM rf WHERE kind = 'measure' GROUP BY field), c AS (SELECT x, count(DISTINCT name || '|' || ord) AS n FROM (SELECT ord, name, unnest(regexp_extract_all(expression, '\\[([^\\]\\r\\n]+)\\]', 1)) AS x FROM m) WHERE x <> name GROUP BY x) SELECT change_id, coalesce(pages, 0) AS pages, coalesce(visuals, 0) AS visuals, coalesce(n, 0) AS measures FROM ch LEFT JOIN u ON u.field = ch.name LEFT JOIN c ON c.x = ch.name WHERE ch.field = 'name' AND target_type = 'measure'".replace("WITH u AS", "SELECT * FROM (WITH u AS") + ")")
+def rename_previews(v):
+    return edits.previews(v)
+
+
+@query("SELECT file, target_type, tbl, name, field, max(seq) AS seq, arg_max(change_id, seq) AS change_id, arg_max(after, seq) AS after, count(*) AS changes FROM ch GROUP BY file, target_type, tbl, name, field")
+def latest_changes(v):
+    return edits.latest_per_target(v)
+
+
+def _exported(v: Views, name: str) -> DataFrame:
+    """A frame as a faulty export would hold it: rows lost, changed and added."""
+    rows = v.get(name).where("ord % 17 <> 0")
+    changed = {"dv_columns": ("data_type", "CASE WHEN ord % 19 = 0 THEN 'other' ELSE data_type END"), "dv_measures": ("expression", "CASE WHEN ord % 19 = 0 THEN expression || ' + 0' ELSE replace(expression, ' ', '   ') END"), "dv_relations": ("active", "CASE WHEN ord % 19 = 2 THEN NOT active ELSE active END")}
+    column, how = changed[name]
+    return rows.withColumn(column, F.expr(how))
+
+
+@query("SELECT tbl, name, CASE WHEN ord % 17 = 0 THEN 'missing' ELSE 'differs' END AS problem FROM col WHERE ord % 17 = 0 OR ord % 19 = 0")
+def audit_columns(v):
+    return edits.audit(v.get("dv_columns"), _exported(v, "dv_columns"), ["tbl", "name"], ["data_type"])
+
+
+@query("SELECT tbl, name, CASE WHEN ord % 17 = 0 THEN 'missing' ELSE 'differs' END AS problem FROM m WHERE name NOT IN (SELECT name FROM m GROUP BY name HAVING count(*) > 1) AND (ord % 17 = 0 OR ord % 19 = 0)")
+def audit_measures(v):
+    once = model_rules.same_names(v).select("name").distinct()
+    return edits.measure_audit(*(df.join(once, "name", "left_anti") for df in (v.get("dv_measures"), _exported(v, "dv_measures"))))
+
+
+@query("SELECT ord, CASE WHEN ord % 17 = 0 THEN 'missing' ELSE 'differs' END AS problem FROM rel WHERE ord % 17 = 0 OR ord % 19 = 2")
+def audit_relations(v):
+    return edits.audit(v.get("dv_relations"), _exported(v, "dv_relations"), ["ord"], ["active", "from_many", "to_many", "both_directions"])
+
+
+@query("SELECT rule_id, target FROM (SELECT 'DQ-MEASURE-MISSING-DEPENDENCY' AS rule_id, name AS target FROM r WHERE ref LIKE '%7' AND ref IN (SELECT name FROM m) AND name NOT LIKE '%7' AND name NOT IN (SELECT name FROM " + model_rules.MISSING_SQL + ") UNION SELECT 'REP-BROKEN-FIELD', page || '/' || visual_id FROM rf WHERE kind = 'measure' AND field LIKE '%7' AND field IN (SELECT name FROM m) AND visual_id NOT IN (SELECT visual_id FROM " + model_rules.BROKEN_SQL + "))")
+def export_regressions(v):
+    class Later(Views):
+        def __init__(self):
+            self.get = lambda name: v.get(name).where("name NOT LIKE '%7'") if name == "dv_measures" else v.get(name)
+
+    of = lambda x: quality.identified(x.get and model_rules.RULES["qa_dq_measure_missing_dependency"](x).union(model_rules.RULES["qa_rep_broken_field"](x)))
+    return quality.regressions(of(v), of(Later())).select("rule_id", "target").join(of(v).select("rule_id", "target"), ["rule_id", "target"], "left_anti").distinct()
+
+
+@query("SELECT * FROM (SELECT 'f' || CAST(file AS VARCHAR) || '_' || CAST(seq % 40 AS VARCHAR) AS sha256, max(seq) AS created FROM ch GROUP BY 1) ORDER BY created DESC, sha256 LIMIT 25")
+def version_history(v):
+    return edits.versions(v.get("dv_changes").select(F.concat(F.lit("f"), F.col("file").cast("string"), F.lit("_"), (F.col("seq") % 40).cast("string")).alias("sha256"), F.col("seq").alias("created")))
+
+
+# --- search and lists ------------------------------------------------------------------------------
+
+
+@query("SELECT kind, label FROM (SELECT 1 AS k, 'table' AS kind, name AS label, ord FROM tab UNION ALL SELECT 2, 'measure', name, ord FROM m UNION ALL SELECT 3, 'page', display_name, ord FROM pg) WHERE contains(lower(label), 't1') OR contains(lower(label), '_0000') ORDER BY k, ord LIMIT 12")
+def search_model(v):
+    return search.found(v, ["t1", "_0000"])
+
+
+@query("SELECT m.ord, m.name FROM m LEFT JOIN (SELECT tbl, field, label FROM " + attribution.KPI_SQL + " QUALIFY row_number() OVER (PARTITION BY tbl, field ORDER BY CASE source WHEN 'visual-title' THEN 0 WHEN 'caption-near' THEN 2 ELSE 1 END, coalesce(distance, 0), ord) = 1) k ON k.field = m.name AND k.tbl = m.tbl WHERE contains(lower(m.name || ' ' || m.tbl || ' ' || expression || ' ' || coalesce(label, '')), 'caption 1') OR contains(lower(expression), 'divide')")
+def measure_list(v):
+    return search.measures_with(v, ["caption 1", "divide"])
+
+
+@query("SELECT tbl, name, CASE WHEN connector = 'Odbc.DataSource' THEN 'folded' ELSE 'native' END AS kind FROM pt")
+def query_list(v):
+    return search.query_list(v)
+
+
+@query(f"SELECT name, CASE WHEN primary_table IS NOT NULL THEN 'table' WHEN confidence = 'low' THEN 'several tables' ELSE 'unmapped' END AS section FROM {attribution.primary_sql('mentions')}")
+def document_sections(v):
+    return search.sections(v)
+
+
+@query("SELECT DISTINCT a AS tbl, b AS depends_on FROM rel UNION SELECT b, a FROM rel")
+def table_dependencies(v):
+    rel = v.get("dv_relations")
+    return rel.select(F.col("a").alias("tbl"), F.col("b").alias("depends_on")).union(rel.select("b", "a")).distinct()
+
+
+# --- parts of project files ---------------------------------------------------------------------------
+
+
+def _parts(v: Views) -> DataFrame:
+    """Parts with their bytes: every third one UTF-16LE, some with a byte order mark."""
+    rows = v.get("dv_parts")
+    return rows.withColumn("bytes", parts.encoded(F.col("doc"), F.col("place") % 3 == 0, F.col("place") % 2 == 0)).drop("doc")
+
+
+@query("SELECT * FROM (SELECT file, CASE WHEN schema IS NOT NULL THEN 'pbit' WHEN coalesce(bim, tmdl, report) IS NOT NULL THEN 'pbip' WHEN binary_model THEN 'pbix' END AS format, CASE WHEN schema IS NOT NULL THEN schema ELSE bim END AS model_part, CASE WHEN schema IS NULL AND coalesce(bim, tmdl, report) IS NOT NULL THEN report ELSE layout END AS layout_part FROM (SELECT file, arg_min(part, place) FILTER (WHERE lower(ltrim(part, '/')) = 'datamodelschema') AS schema, arg_min(part, place) FILTER (WHERE part = 'model.bim' OR part LIKE '%.SemanticModel/model.bim') AS bim, arg_min(part, place) FILTER (WHERE part LIKE '%.SemanticModel/definition/%.tmdl') AS tmdl, coalesce(arg_min(part, place) FILTER (WHERE part LIKE '%.Report/report.json'), arg_min(part, place) FILTER (WHERE part = 'report.json')) AS report, bool_or(lower(ltrim(part, '/')) = 'datamodel') AS binary_model, arg_min(part, place) FILTER (WHERE lower(ltrim(part, '/')) = 'report/layout') AS layout FROM pa GROUP BY file)) WHERE format IS NOT NULL")
+def detect_formats(v):
+    return parts.detected(_parts(v))
+
+
+@query("SELECT file, part, place, CASE WHEN json_valid(doc) THEN doc END AS text, CASE WHEN json_valid(doc) THEN CASE WHEN place % 3 = 0 THEN 'utf-16le' ELSE 'utf-8' END END AS encoding, CASE WHEN json_valid(doc) THEN place % 2 = 0 END AS bom FROM pa")
+def decode_parts(v):
+    return parts.decoded(_parts(v)).drop("bytes")
+
+
+_MODELS = "(SELECT file, unnest(CAST(coalesce(json_extract(doc, '$.model.tables'), json_extract(doc, '$.tables')) AS JSON[])) AS t FROM pa WHERE json_valid(doc))"
+
+
+@query(f"SELECT file, json_extract_string(t, '$.name') AS tbl, json_extract_string(x, '$.name') AS name, CASE WHEN json_type(x, '$.expression') = 'ARRAY' THEN array_to_string(json_extract_string(x, '$.expression[*]'), chr(10)) ELSE json_extract_string(x, '$.expression') END AS expression, coalesce(json_extract_string(x, '$.isHidden') = 'true', false) AS is_hidden FROM (SELECT file, t, unnest(CAST(json_extract(t, '$.measures') AS JSON[])) AS x FROM {_MODELS})")
+def parse_measures(v):
+    return parts.measures(parts.models(parts.decoded(_parts(v)))).drop("ord")
+
+
+@query(f"SELECT file, json_extract_string(t, '$.name') AS tbl, json_extract_string(x, '$.name') AS name, coalesce(json_extract_string(x, '$.dataType'), 'unknown') AS data_type FROM (SELECT file, t, unnest(CAST(json_extract(t, '$.columns') AS JSON[])) AS x FROM {_MODELS})")
+def parse_columns(v):
+    return parts.columns(parts.models(parts.decoded(_parts(v)))).drop("ord")
+
+
+@query(f"SELECT kind, property, count(*) AS n FROM (SELECT 'table' AS kind, unnest(json_keys(t)) AS property FROM {_MODELS} UNION ALL SELECT 'column', unnest(json_keys(x)) FROM (SELECT unnest(CAST(json_extract(t, '$.columns') AS JSON[])) AS x FROM {_MODELS}) UNION ALL SELECT 'measure', unnest(json_keys(x)) FROM (SELECT unnest(CAST(json_extract(t, '$.measures') AS JSON[])) AS x FROM {_MODELS})) GROUP BY kind, property")
+def model_coverage(v):
+    return parts.coverage(parts.decoded(_parts(v)))
+
+
+@query("SELECT ord, replace(replace(replace(replace(expression, '#', '#(#)'), chr(10), '#(lf)'), chr(9), '#(tab)'), '\"', '\"\"') AS written, expression AS read FROM m")
+def m_strings(v):
+    written = parts.encode_m(F.col("expression"))
+    return v.get("dv_measures").select("ord", written.alias("written"), parts.decode_m(written).alias("read"))
+
