@@ -10,8 +10,10 @@
 4. Stars: in each list the set with the most left after the shingle leads; members are verified against leaders only,
    first against the one they meet most often, then against those still in other components. Components follow.
 5. Rest: lists that hold two or more components are paired component by component first (by bounds on sizes and
-   positions), then member by member, for pairs in different components only. Those with enough shared prefix shingles
-   pass a bitmap bound and are verified. What is left out cannot link or is linked already, so components are exact.
+   positions). Where a component has several members, the count of shingles that a document shares with all of them
+   bounds what it shares with any; only documents that this leaves open are paired, member by member, for pairs in
+   different components only. Those with enough shared prefix shingles pass a bitmap bound and are verified. What is left
+   out cannot link or is linked already, so components are exact.
 """
 
 from __future__ import annotations
@@ -25,20 +27,24 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, bounded, only, prepare, shingle_sets, staged, text_buffers
+from .common import bounded, is_small, lean, only, prepare, shingle_sets, staged, text_buffers
 from .components import components, groups
 
 MAX_L = 4
+#: Members of a component that may share a shingle for it to be tried first.
+SHORT = 64
 VERIFY = 8.0
 #: log2 of the sketch's counters and of its slices.
 COUNTERS, SLICES = 24, 6
+#: What a task's counter stops at; a batch adds less than the rest. Only the order of magnitude of counts is used.
+MOST = 60_000
 
 
 def _profile(k: int):
     """Per document its size and digests, and per task the counters it touched, in slices."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << COUNTERS, np.uint32)
+        counts = np.zeros(1 << COUNTERS, np.uint16)
         names = ["doc_id", "n", "hi", "lo", "bits", "slice", "part", "counts"]
         types = [pa.int64()] * 4 + [pa.binary(), pa.int64(), pa.int64(), pa.binary()]
         for batch in batches:
@@ -52,13 +58,14 @@ def _profile(k: int):
                 wide = max(256, 1 << (len(s) - 1).bit_length() if len(s) else 0)
                 bits.append(np.packbits((np.bincount((s & np.uint64(wide - 1)).astype(np.int64), minlength=wide) & 1).astype(np.uint8)).tobytes())
                 np.add.at(counts, (s >> np.uint64(64 - COUNTERS)).astype(np.int64), 1)
+            np.minimum(counts, MOST, out=counts)
             none = pa.nulls(len(ids), pa.int64())
             cols = [ids, pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(bits, pa.binary()), none, none, pa.nulls(len(ids), pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, names)
         part = TaskContext.get().partitionId()
         for i, x in enumerate(np.split(counts, 1 << SLICES)):
             if x.any():
-                row = [None] * 5 + [i, part, zlib.compress(x.tobytes(), 1)]
+                row = [None] * 5 + [i, part, zlib.compress(x.astype(np.uint32).tobytes(), 1)]
                 yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], names)
 
     return run
@@ -173,14 +180,78 @@ def _links(pairs: DataFrame, docs: DataFrame, profile: DataFrame, k: int, percen
     bits = profile.select("doc_id", "n", "bits")
     for side in ("a", "b"):
         pairs = pairs.join(bits.select(F.col("doc_id").alias(side), *(F.col(c).alias(f"{c}{side}") for c in bits.columns[1:])), side)
-    near = pairs.select("a", "b", "na", "nb", "bitsa", "bitsb").mapInArrow(_near(percent), "a long, b long")
+    near = pairs.select("a", "b", "na", "nb", "bitsa", "bitsb").mapInArrow(lean(_near(percent)), "a long, b long")
     near = staged(near, "near")
     wanted = staged(near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct(), "wanted")
-    few = wanted.count() <= BROADCAST_ROWS
-    sets = docs.join(F.broadcast(wanted) if few else wanted.hint("shuffle_hash"), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets(k), "doc_id long, shingles binary")
+    few = is_small(wanted)
+    sets = docs.join(F.broadcast(wanted) if few else wanted.hint("shuffle_hash"), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(lean(_sets(k)), "doc_id long, shingles binary")
     sets = staged(sets, "sets")
     a, b = (sets.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
-    return staged(near.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(_check(percent), "a long, b long"), "links")
+    return staged(near.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(lean(_check(percent)), "a long, b long"), "links")
+
+
+def _marked(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs of components, and whether both have one document each."""
+    several = staged(labels.select("component").distinct(), "of_several")
+    for x in "ab":
+        pairs = pairs.join(bounded(several.select(F.col("component").alias(f"component{x}"), F.lit(True).alias(f"has{x}"))), f"component{x}", "left")
+    return pairs.select("componenta", "componentb", F.expr("hasa IS NULL AND hasb IS NULL").alias("alone"))
+
+
+def _tokens(k: int):
+    """All shingles of each document: (token, component, doc_id, n)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of, ids = (batch.column(c).to_numpy() for c in ("component", "doc_id"))
+            for d, c, s in zip(ids, of, shingle_sets(*text_buffers(batch.column("text")), k), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(np.full(len(s), c)), pa.array(np.full(len(s), d)), pa.array(np.full(len(s), len(s)))], ["token", "component", "doc_id", "n"])
+
+    return run
+
+
+def _members_apart(pairs: DataFrame, joined: DataFrame, links: DataFrame, docs: DataFrame, single: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links, and pairs (a, b) that may be further ones, of documents of different components, for pairs of components of which one has several members.
+
+    Every shingle that two documents of different components share lies in two of the components here. A document's count
+    of such shingles thus bounds what it shares with any of them, and its count of shingles that a component holds what it
+    shares with any member: a document beside a large group that has too many shingles of its own to link with a member is
+    told by these two counts and not once for each member.
+    """
+    sides = pairs.select(F.col("componenta").alias("component")).union(pairs.select("componentb")).distinct()
+    members = staged(joined.join(bounded(staged(sides, "sides")), "component", "left_semi").select("doc_id", "component").distinct(), "members")
+    tokens = staged(docs.join(bounded(members), "doc_id").select("doc_id", "component", "text").mapInArrow(lean(_tokens(k)), "token long, component long, doc_id long, n long"), "shingles")
+    held = tokens.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("token")
+    held = bounded(staged(held, "held"))
+    common = staged(tokens.join(held, "token", "left_semi").groupBy("component", "doc_id", "n").agg(F.count(F.lit(1)).alias("common")), "common")
+    most = common.groupBy("component").agg(F.max("common").alias("common"), F.min("n").alias("n"), F.count(F.lit(1)).alias("docs"))
+    for x in "ab":
+        pairs = pairs.join(most.select(F.col("component").alias(f"component{x}"), *(F.col(c).alias(f"{c}{x}") for c in ("common", "n", "docs"))), f"component{x}")
+    pairs = pairs.where(f"least(commona, commonb) * {100 + percent} >= (na + nb) * {percent}")
+    # of each pair the component with fewer documents is told how many shingles each of them has in the other as a whole
+    fewer = F.col("docsa") <= F.col("docsb")
+    sides = pairs.select(F.when(fewer, F.col("componenta")).otherwise(F.col("componentb")).alias("component"), F.when(fewer, F.col("componentb")).otherwise(F.col("componenta")).alias("other"), F.when(fewer, F.col("nb")).otherwise(F.col("na")).alias("other_n"))
+    sides = staged(sides, "pairs_near")
+    own = staged(tokens.join(held, "token", "left_semi").join(bounded(staged(sides.select("component").distinct(), "fewer")), "component", "left_semi"), "own")
+    whole = staged(tokens.join(held, "token", "left_semi").select("token", F.col("component").alias("other")).distinct(), "whole")
+    cover = own.join(bounded(sides), "component").join(whole, ["token", "other"]).groupBy("doc_id", "n", "other", "other_n").agg(F.count(F.lit(1)).alias("both"))
+    open_pairs = staged(cover.where(f"both * {100 + percent} >= (n + other_n) * {percent}").select("doc_id", "other"), "open")
+    entries = staged(joined.join(bounded(members.select("doc_id")), "doc_id", "left_semi"), "entries_apart")
+    b = entries.select("token", F.col("component").alias("other"), F.col("doc_id").alias("y"), *(F.col(c).alias(f"{c}b") for c in ("n", "rest", "l")))
+
+    def met(pairs: DataFrame, b: DataFrame) -> DataFrame:
+        a = entries.drop("component").join(bounded(pairs), "doc_id").select("token", "other", F.col("doc_id").alias("x"), *(F.col(c).alias(f"{c}a") for c in ("n", "rest", "l")))
+        cross = a.join(b, ["token", "other"]).where(_fits(percent).format(x="least(resta, restb) + least(la, lb) - 1", y="least(na, nb)", m="na", n="nb"))
+        return cross.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.min(F.least("la", "lb")).alias("l"))
+
+    # what links is mostly found by shingles that few members have; the rest is paired in full only where this linked nothing
+    short = staged(b.groupBy("token", "other").agg(F.count(F.lit(1)).alias("held")).where(f"held <= {SHORT}").drop("held"), "short")
+    found = _links(met(open_pairs, b.join(short, ["token", "other"], "left_semi")).select("a", "b"), docs, single, k, percent)
+    labels = bounded(components(links.union(found)))
+    for c in ("doc_id", "other"):
+        open_pairs = open_pairs.join(labels.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in")), c, "left").withColumn(f"{c}_in", F.coalesce(f"{c}_in", c))
+    apart = staged(open_pairs.where("doc_id_in <> other_in").select("doc_id", "other"), "still_open")
+    return found, met(apart, b).where("c >= l").select("a", "b")
 
 
 def _fits(percent: int) -> str:
@@ -195,14 +266,14 @@ def _lists(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame,
     prepare(spark)
     docs = only(docs, doc_id="bigint", text="string")
     shape = "doc_id long, n long, hi long, lo long, bits binary, slice long, part long, counts binary"
-    gathered = staged(docs.mapInArrow(_profile(k), shape), "profile")
+    gathered = staged(docs.mapInArrow(lean(_profile(k)), shape), "profile")
     shared = spark.sparkContext.broadcast(_frequencies(gathered.where("slice IS NOT NULL")))
     rows = gathered.where("slice IS NULL").drop("slice", "part", "counts")
     profile = staged(groups(rows, ["n", "hi", "lo"], "doc_id"), "classes")
     single = profile.where("n > 0 AND doc_id = first_id").dropDuplicates(["doc_id"])
 
     # lists of two or more entries, of one document for each class
-    entries = docs.where("doc_id IS NOT NULL").mapInArrow(_prefixes(k, percent, shared), "token long, doc_id long, n int, rest int, l int")
+    entries = docs.where("doc_id IS NOT NULL").mapInArrow(lean(_prefixes(k, percent, shared)), "token long, doc_id long, n int, rest int, l int")
     entries = staged(entries, "entries")
     shared_tokens = staged(entries.groupBy("token").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x <> y").select("token"), "tokens")
     lists = entries.join(shared_tokens, "token", "left_semi").join(single.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["token", "doc_id"])
@@ -263,13 +334,11 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     meet = p.join(q, "token").where("componenta < componentb").where(fits.format(x="resta", y="restb", m="na", n="nb")).select("token", "componenta", "componentb", F.least("la", "lb").alias("l"))
     meet = staged(meet, "meet")
     enough = meet.groupBy("componenta", "componentb").agg(F.count(F.lit(1)).alias("c"), F.min("l").alias("least")).where("c >= least")
-    meet = staged(meet.drop("l").join(enough.select("componenta", "componentb"), ["componenta", "componentb"], "left_semi"), "enough")
-    a, b = (joined.select("token", F.col("component").alias(f"component{x}"), F.col("doc_id").alias(x), *(F.col(c).alias(f"{c}{x}") for c in ("n", "rest", "l"))) for x in "ab")
-    cross = meet.join(a, ["token", "componenta"]).join(b, ["token", "componentb"])
-    cross = cross.where(fits.format(x="least(resta, restb) + least(la, lb) - 1", y="least(na, nb)", m="na", n="nb"))
-    cross = cross.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.min(F.least("la", "lb")).alias("l")).where("c >= l").select("a", "b")
+    pairs = staged(_marked(enough.select("componenta", "componentb"), labels), "pairs")
+    lone = pairs.where("alone").select(F.col("componenta").alias("a"), F.col("componentb").alias("b"))
+    found, cross = _members_apart(pairs.where("NOT alone").drop("alone"), joined, links, docs, single, k, percent)
+    links, cross = links.union(found), lone.union(cross)
     more = _links(cross, docs, single, k, percent)
-    if not more.isEmpty():
-        labels = components(links.union(more))
+    labels = components(links.union(more))
     named = bounded(labels.select(F.col("node").alias("first_id"), "component"))
     return profile.where("n > 0").join(named, "first_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "first_id").alias("component_id")).union(profile.where("n = 0").select("doc_id", "n", "doc_id"))
