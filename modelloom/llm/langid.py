@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import only, pieces, prepare, text_buffers
+from .common import lean, only, pieces, prepare, text_buffers
 
 PER_LANGUAGE, TOTAL = 400, 4000
 FEATURES = 1 << 13
@@ -71,8 +71,11 @@ class Model:
     least: np.ndarray
 
     def vectors(self, counts: np.ndarray) -> np.ndarray:
-        x = np.log1p(counts.astype(np.float32)) * self.idf
-        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+        out = np.empty(counts.shape, np.float32)
+        for i in range(0, len(counts), 64):  # a few rows at a time need little beside the result
+            x = np.log1p(counts[i : i + 64].astype(np.float32)) * self.idf
+            out[i : i + 64] = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+        return out
 
     def nearest(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each row the language's number, the cosine with its nearest centroid, and its lead over other languages."""
@@ -148,15 +151,16 @@ def _clusters(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
 def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, total: int = TOTAL) -> Model | None:
     """A model from `labelled` (doc_id, text, lang); None without a labelled text that has a letter."""
     rows = only(labelled, doc_id="bigint", text="string", lang="string").where("lang IS NOT NULL AND doc_id IS NOT NULL")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(total).collect()}
+    place = F.xxhash64("doc_id", F.lit(6)).bitwiseAND(F.lit((1 << 52) - 1)) / float(1 << 52)
+    counts = {r["lang"]: r for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).collect()}
     if not counts:
         return None
     want = max(1, min(per_language, total // len(counts)))
-    # rows under a bound of their hash: no order over all rows; Poisson about `want` a language
-    share = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, want / n))))
-    draw = (F.xxhash64("doc_id", F.lit(6)).bitwiseAND(F.lit((1 << 52) - 1)) / float(1 << 52)) < share[F.col("lang")]
+    # rows under a bound of their hash: no order over all rows; about `want` a language, its first row by hash at least
+    share = F.create_map(*(F.lit(x) for lang, r in counts.items() for x in (lang, max(r["first"], min(1.0, want / r["n"])))))
+    draw = place <= share[F.col("lang")]
     drawn = rows.where(draw).select("lang", "doc_id", "text").mapInArrow(_sparse, "lang string, doc_id long, slots binary, counts binary")
-    sample = sorted((r["lang"], r["doc_id"], r["slots"], r["counts"]) for r in drawn.limit(4 * total).collect())
+    sample = sorted((r["lang"], r["doc_id"], r["slots"], r["counts"]) for r in drawn.collect())
     if not sample:
         return None
     counted = np.zeros((len(sample), FEATURES), np.float32)
@@ -189,7 +193,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
         for batch in batches:
             off, _ = text_buffers(batch.column(1))
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            for first, end in pieces(off, 1 << 18):
+            for first, end in pieces(off):
                 for a in range(first, end, 64):
                     e = min(a + 64, end)
                     counts = ngram_counts(texts[a:e])
@@ -215,10 +219,11 @@ def keep_identified(docs: DataFrame, model: Model | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            for i in range(0, batch.num_rows, 64):
-                part = batch.slice(i, 64)
-                counts = ngram_counts([t or "" for t in part.column(at).to_pylist()])
-                keep = counts.any(axis=1) & (m.near(counts, *m.nearest(counts)[:2]) if m is not None else True)
-                yield part.filter(pa.array(keep, pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+            for first, end in pieces(text_buffers(batch.column(at))[0]):
+                for i in range(first, end, 64):
+                    part = batch.slice(i, min(64, end - i))
+                    counts = ngram_counts([t or "" for t in part.column(at).to_pylist()])
+                    keep = counts.any(axis=1) & (m.near(counts, *m.nearest(counts)[:2]) if m is not None else True)
+                    yield part.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(lean(run), docs.schema)
