@@ -19,6 +19,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,7 +31,7 @@ NAMES = {1: "URL IP-address Archive-date Content-type Archive-length", 2: "URL I
 PAGE_ID, PAYLOAD_LENGTH, REFERS_TO = "X-Page-Id", "X-Payload-Length", "X-Refers-To-Page-Id"
 RECORD = "record_id string, kind string, uri string, ip string, date string, mime string, page_id long, http binary, payload binary, payload_digest string, payload_bytes long, error string"
 RESULT = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
-RECORDS_A_FILE = 5_000
+RECORDS_A_FILE, FILE_BYTES = 5_000, 1 << 30
 
 
 def arc_archive(name: str, version: int, pages: list[tuple[int | None, str | None, str | None]], date: str = "20240101000000") -> bytes:
@@ -73,9 +74,20 @@ def number(text: str | None) -> int | None:
         return None
 
 
+def _header(line: str, version: int) -> dict | None:
+    """The fields of a header line of the version; None if it isn't one."""
+    names = FIELDS.get(version, ())
+    values = line.rsplit(" ", len(names)) if names else []
+    length = number(values[-1]) if len(values) == len(names) + 1 else None
+    field = {"uri": values[0], **dict(zip(names, values[1:], strict=True)), "length": length} if length is not None and length >= 0 else {}
+    return field if field.get("date", "").isdigit() else None
+
+
 def arc_records(data: bytes) -> Iterator[dict]:
-    """The archive's records; a line that can't be read or a length beyond the end gives one with `error` and ends it."""
-    at, version = 0, 0
+    """The archive's records. Bytes where no header line stands give one `unreadable` record up to the next line that reads
+    as one; a length beyond the end gives a record with `error`. Identifiers are made from the archive's name, the place in
+    it and what is there, so rows that repeat differ and a second reading gives the same."""
+    at, version, name = 0, 0, ""
     while at < len(data):
         if data[at] in (10, 13):
             at += 1
@@ -84,39 +96,45 @@ def arc_records(data: bytes) -> Iterator[dict]:
         line = data[at : end if end >= 0 else len(data)].rstrip(b"\r").decode("utf-8", "replace")
         if not version and line.startswith("filedesc://"):
             version = 2 if data[end + 1 : end + 2] == b"2" else 1
-        names = FIELDS.get(version, ())
-        values = line.rsplit(" ", len(names)) if names else []
-        length = number(values[-1]) if len(values) == len(names) + 1 else None
-        if length is None or length < 0 or end < 0:
-            yield {"kind": "unreadable", "uri": line[:2000], "error": "not an ARC header line", "record_id": f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, line)}"}
-            return
-        field = dict(zip(names, values[1:], strict=True))
+        field = _header(line, version) if end >= 0 else None
+        if field is None:
+            start = at
+            while 0 <= end < len(data) - 1:
+                at, end = end + 1, data.find(b"\n", end + 1)
+                if _header(data[at : end if end >= 0 else len(data)].rstrip(b"\r").decode("utf-8", "replace"), version):
+                    break
+            else:
+                at = len(data)
+            yield {"kind": "unreadable", "uri": line[:2000], "payload_bytes": at - start, "error": "not an ARC header line", "record_id": f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{name} {start} {line}')}"}
+            continue
+        length = field["length"]
         content = data[end + 1 : end + 1 + length]
-        uri, date = values[0], iso(field["date"])
+        uri, date = field["uri"], iso(field["date"])
         http, payload, kind = b"", content, "resource"
         if uri.startswith("filedesc://"):
-            kind = "warcinfo"
+            kind, name = "warcinfo", uri
         elif content.startswith(b"HTTP/"):
             head, mark, body = content.partition(b"\r\n\r\n")
             http, payload, kind = head + b"\r\n\r\n", body if mark else b"", "response"
         known = digest(payload)
         page = number(headers(http).get(PAGE_ID.lower())) if http else None
         yield {
-            "record_id": f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{uri} {date} {page} {known}')}", "kind": kind, "uri": uri, "ip": field["ip"], "date": date, "mime": field["mime"], "page_id": page,
+            "record_id": f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{name} {at} {uri} {date} {page} {known}')}", "kind": kind, "uri": uri, "ip": field["ip"], "date": date, "mime": field["mime"], "page_id": page,
             "http": http, "payload": payload, "payload_digest": known, "payload_bytes": len(payload), "error": None if len(content) == length else "shorter than declared",
         }
         at = end + 1 + length
 
 
-def warc_record(r: dict, refers_to: int | None) -> bytes:
-    """The WARC record of an ARC record; with refers_to, a revisit without the payload."""
+def warc_record(r: dict, refers_to: dict | None) -> bytes:
+    """The WARC record of an ARC record; with refers_to (record_id, uri, date, page_id), a revisit of that without the payload.
+    What an archive says of itself is no list of WARC fields and stays plain text."""
     kind = r["kind"] if r["kind"] in ("response", "warcinfo") else "resource"
     revisit = refers_to is not None
     block = (r["http"] or b"") + (b"" if revisit else r["payload"] or b"")
-    mime = "application/http; msgtype=response" if kind == "response" else "application/warc-fields" if kind == "warcinfo" else r["mime"] or "application/octet-stream"
+    mime = "application/http; msgtype=response" if kind == "response" else "text/plain" if kind == "warcinfo" else r["mime"] or "application/octet-stream"
     head = [("WARC-Type", "revisit" if revisit else kind), ("WARC-Record-ID", f"<{r['record_id']}>"), ("WARC-Date", r["date"] or iso("")), ("WARC-Target-URI", r["uri"]), ("WARC-IP-Address", r["ip"]), ("Content-Type", mime), ("WARC-Payload-Digest", f"sha1:{r['payload_digest']}"), ("WARC-Block-Digest", f"sha1:{digest(block)}"), (PAYLOAD_LENGTH, r["payload_bytes"]), (PAGE_ID, r["page_id"])]
     if revisit:
-        head += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), (REFERS_TO, refers_to)]
+        head += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<{refers_to['record_id']}>"), ("WARC-Refers-To-Target-URI", refers_to["uri"]), ("WARC-Refers-To-Date", refers_to["date"]), (REFERS_TO, refers_to["page_id"])]
     if r["error"]:
         head.append(("WARC-Truncated", "length"))
     lines = "".join(f"{k}: {v}\r\n" for k, v in [*head, ("Content-Length", len(block))] if v is not None)
@@ -173,11 +191,12 @@ def pages_to_arc(pages: DataFrame, records: int = 100) -> DataFrame:
     """(name, archive) with about `records` pages an archive, versions 1 and 2 by turns. Null urls become about:blank, null html is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = 0
         for batch in batches:
             for i in range(0, batch.num_rows, records):
                 part = batch.slice(i, records)
-                name = f"pages-{i // records:05d}.arc"
-                data = arc_archive(name, 1 + i // records % 2, list(zip(*(c.to_pylist() for c in part.columns), strict=True)))
+                name, n = f"pages-{TaskContext.get().partitionId():06d}-{n:06d}.arc", n + 1
+                data = arc_archive(name, 1 + n % 2, list(zip(*(c.to_pylist() for c in part.columns), strict=True)))
                 yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([data], pa.binary())], ["name", "archive"])
 
     prepare(pages.sparkSession)
@@ -215,11 +234,15 @@ def convert(archives: DataFrame, path: str, least: int = 0) -> None:
 
     Of records with equal payloads of at least `least` bytes, that with the largest page_id is a response and the others
     revisit it; rows that repeat both are responses all. Without any page_id among them all are responses. Records without
-    HTTP headers become resources. Archives are parsed twice, so that payloads need no shuffle unless very many repeat.
+    HTTP headers become resources; bytes that can't be read are told by `arc_table` and not written. Archives are parsed
+    twice, so that payloads need no shuffle unless very many repeat. Files hold so many records that they stay under
+    FILE_BYTES even if all were as long as the longest, for a file is read as one value. An empty table gives an empty file set.
     """
-    records = arc_table(archives)
-    keys = records.where(F.col("kind").isin("response", "resource") & (F.col("payload_bytes") >= least)).select("payload_digest", "page_id")
-    many = keys.groupBy("payload_digest").agg(F.max("page_id").alias("latest"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    records = arc_table(archives).where("kind <> 'unreadable'")
+    keys = staged(records.select("payload_digest", "payload_bytes", "page_id", "record_id", "uri", "date", "kind"), "keys")
+    longest = keys.agg(F.max("payload_bytes")).first()[0] or 0
+    several = keys.where(F.col("kind").isin("response", "resource") & (F.col("payload_bytes") >= least)).groupBy("payload_digest")
+    many = several.agg(F.max_by(F.struct("record_id", "uri", "date", "page_id"), F.struct("page_id", "record_id")).alias("latest"), F.count(F.lit(1)).alias("n")).where("n > 1 AND latest.page_id IS NOT NULL").drop("n")
     many = bounded(staged(many, "repeated"))
     schema = pa.schema([("member", pa.binary())])
 
@@ -229,13 +252,13 @@ def convert(archives: DataFrame, path: str, least: int = 0) -> None:
                 rows = batch.slice(i, 100).to_pylist()
                 out = []
                 for r in rows:
-                    other = r["kind"] in ("response", "resource") and r["payload_bytes"] >= least and r["latest"] is not None and r["page_id"] != r["latest"]
+                    other = r["kind"] in ("response", "resource") and r["payload_bytes"] >= least and r["latest"] is not None and r["page_id"] != r["latest"]["page_id"]
                     out.append(member(warc_record(r, r["latest"] if other else None)))
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], schema=schema)
 
     joined = records.join(many, "payload_digest", "left").select(*(x.split()[0] for x in RECORD.split(", ")), "latest")
     built = joined.mapInArrow(run, "member binary")
-    built.select(F.col("member").cast("string")).write.option("lineSep", "\0").option("maxRecordsPerFile", RECORDS_A_FILE).text(path)
+    built.select(F.col("member").cast("string")).write.option("lineSep", "\0").option("maxRecordsPerFile", max(1, min(RECORDS_A_FILE, FILE_BYTES // (longest + 4096)))).text(path)
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
