@@ -76,6 +76,14 @@ def bounded(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if is_small(df) else df
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """`name`, with a sign more for each column that is called so already, whatever the case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def numbered(docs: DataFrame, name: str) -> DataFrame:
     """`docs` with a column `name` that tells its rows apart, the same at every reading: file and row number of a table read
     from Parquet files, which are not copied; other frames are staged first."""
@@ -84,11 +92,12 @@ def numbered(docs: DataFrame, name: str) -> DataFrame:
     if not (plan.startswith("Relation [") and plan.endswith("] parquet")):
         docs = staged(docs, "rows")
     files = sorted(r[0] for r in docs.select("_metadata.file_path").distinct().collect())
-    numbers = spark.createDataFrame([(f, i) for i, f in enumerate(files)], "path_of_row string, number_of_file long")
+    path, number, index = (unused(x, docs.columns) for x in ("path_of_row", "number_of_file", "index_of_row"))
+    numbers = spark.createDataFrame([(f, i) for i, f in enumerate(files)], f"{path} string, {number} long")
     # one row a file, so the side is broadcast
-    rows = docs.select("*", F.col("_metadata.file_path").alias("path_of_row"), F.col("_metadata.row_index").alias("index_of_row"))
-    rows = rows.join(F.broadcast(numbers), "path_of_row")
-    return rows.select(*docs.columns, (F.shiftleft("number_of_file", 40) + F.col("index_of_row")).alias(name))
+    rows = docs.select("*", F.col("_metadata.file_path").alias(path), F.col("_metadata.row_index").alias(index))
+    rows = rows.join(F.broadcast(numbers), path)
+    return rows.select(*docs.columns, (F.shiftleft(number, 40) + F.col(index)).alias(name))
 
 
 def partitions(df: DataFrame, size: int = 64 << 20) -> int:

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WHITE, bounded, new_path, only, prepare, staged
+from .common import WHITE, bounded, new_path, only, partitions, prepare, staged
 
 
 def normalised(text: Column) -> Column:
@@ -18,13 +18,16 @@ def normalised(text: Column) -> Column:
 class DigestIndex:
     """Rows (digest, first_id) in a Parquet table bucketed and sorted by digest.
 
-    The folder outlives the session: opened again with the same number of buckets it is the same index. As both sides are
-    hashed alike, looking a batch up shuffles the batch only, never the index.
+    The folder outlives the session: the number of buckets is kept beside it, so opened again it is the same index. As
+    both sides are hashed alike, looking a batch up shuffles the batch only, never the index. `buckets` counts for a new
+    index: choose it for the digests that it will hold in the end.
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = 32):
-        self.spark, self.buckets = spark, buckets
+        self.spark = spark
         self.path = path or new_path(spark, "digests")
+        spark.createDataFrame([(buckets,)], "buckets int").write.mode("ignore").parquet(f"{self.path}-buckets")
+        self.buckets = buckets = spark.read.parquet(f"{self.path}-buckets").first()["buckets"]
         self.name = f"digests_{uuid.uuid5(uuid.NAMESPACE_URL, self.path).hex}"
         spark.sql(f"CREATE TABLE IF NOT EXISTS {self.name} (digest BINARY, first_id BIGINT) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{self.path}'")
 
@@ -47,7 +50,7 @@ def dedup(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     """
     spark = docs.sparkSession
     prepare(spark)
-    index = index or DigestIndex(spark)
+    index = index or DigestIndex(spark, buckets=max(32, partitions(docs)))
     docs = only(docs, doc_id="bigint", text="string")
     digests = staged(docs.select("doc_id", F.unhex(F.sha2(normalised(F.col("text")), 256)).alias("digest")), "digests")
     found = staged(digests.groupBy("digest").agg(F.min("doc_id").alias("min_id"), F.count(F.lit(1)).alias("n")), "found")

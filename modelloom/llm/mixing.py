@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded, numbered, only, prepare, staged
+from .common import bounded, numbered, only, prepare, staged, unused
 
 BUCKETS = 4096
 REPEATS = 3
@@ -52,8 +52,8 @@ def mix(docs: DataFrame, weight: F.Column | None = None, seed: str = "0", row: s
 
     `docs` has doc_id, source and text; `weight` is a positive quality weight over its columns (1 if absent, 0.05 if null
     or less). taken = epochs * size + part. A null or empty text has size 0 and gives nothing. Sources go by code point,
-    null last, and weigh 5, 2, 1, repeating. Ties in keys go by doc_id, nulls first; rows that repeat an id stand beside
-    each other, each with its own `taken`. Other columns are ignored; an empty table gives an empty result.
+    null last, and weigh 5, 2, 1, repeating. Ties in keys go by doc_id, nulls first, then by size and a hash of the text; rows
+    that repeat an id stand beside each other, each with its own `taken`, and only equal rows are interchangeable. Other columns are ignored; an empty table gives an empty result.
 
     `row` names a column of `docs` that tells rows apart. It then comes back too and breaks the ties that ids leave, and
     rows without an id draw their number by text, so that they don't stand or fall together.
@@ -63,7 +63,7 @@ def mix(docs: DataFrame, weight: F.Column | None = None, seed: str = "0", row: s
     name = F.coalesce(name, F.concat(F.lit("text:"), F.coalesce("text", F.lit("")))) if row else F.coalesce(name, F.lit(""))
     unit = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), name)), 1, 13), 16, 10).cast("double")
     w = F.greatest(F.lit(0.05), F.coalesce(weight.cast("double"), F.lit(0.05))) if weight is not None else F.lit(1.0)
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size"), (-F.log((unit + 0.5) / float(1 << 52)) / w).alias("key"), w.alias("weight"), *([F.col(row).alias("row")] if row else []))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size"), (-F.log((unit + 0.5) / float(1 << 52)) / w).alias("key"), w.alias("weight"), F.xxhash64("text").alias("tie"), *([F.col(row).alias("row")] if row else []))
     rows = staged(rows, "mix")
     sums = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.avg("weight").alias("mean"))
     sums = staged(sums, "sources")
@@ -81,7 +81,7 @@ def mix(docs: DataFrame, weight: F.Column | None = None, seed: str = "0", row: s
     shape = ["doc_id", "size", "source_size", "target", F.expr("epochs * size + part").alias("taken"), "epochs", "part", "source", *(["row"] if row else [])]
     # a budget that no bucket's end lies beyond takes everything
     whole = cut.where("edge IS NULL OR bucket <> edge").withColumn("part", F.when(F.expr("budget = 0"), 0).when(F.expr("edge IS NULL OR bucket < edge"), F.col("size")).otherwise(F.lit(0)).cast("long"))
-    within = Window.partitionBy("source").orderBy("key", "doc_id", *(["row"] if row else [])).rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("source").orderBy("key", "doc_id", "size", "tie", *(["row"] if row else [])).rowsBetween(Window.unboundedPreceding, -1)
     sorted_rows = cut.where("bucket = edge").withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0))).withColumn("part", F.expr("least(size, greatest(0L, budget - before - inside))"))
     return whole.select(*shape).union(sorted_rows.select(*shape))
 
@@ -90,16 +90,19 @@ def mixed_documents(docs: DataFrame, weight: F.Column | None = None, seed: str =
     """The mix itself: the rows of `docs` (with their columns) as often as taken, the one across the edge cut to its first words.
 
     Rows meet their counts by row, not by doc_id: ids may be null or repeated. n_chars, if there, is that of the text as it
-    goes out.
+    goes out. Other columns, whatever their names, go out as they are. An empty table gives an empty result.
     """
-    rows = numbered(docs, "row_of_docs")
-    counted = staged(mix(rows, weight, seed, "row_of_docs").select(F.col("row").alias("row_of_docs"), "size", "epochs", "part").where("epochs > 0 OR part > 0"), "taken")
-    joined = rows.join(bounded(counted), "row_of_docs")
-    copies = joined.withColumn("copy", F.explode(F.expr("sequence(1, cast(epochs + if(part > 0, 1, 0) as int))")))
+    number = unused("row_of_docs", docs.columns)
+    rows = numbered(docs, number)
+    counted = staged(mix(rows, weight, seed, number).select("row", "size", "epochs", "part").where("epochs > 0 OR part > 0"), "taken")
+    # a document's own columns stand in a struct, so that none of their names meets those of the counts
+    held = rows.select(F.col(number).alias("row"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))
+    copies = held.join(bounded(counted), "row").withColumn("copy", F.explode(F.expr("sequence(1, cast(epochs + if(part > 0, 1, 0) as int))")))
     cut = F.expr("copy > epochs AND part < size")
     # word by word: a counted group would recurse once a word
-    first = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++"), F.lit(0)), F.lit(1), F.col("part").cast("int")), "")
-    out = copies.withColumn("text", F.when(cut, first).otherwise(F.col("text")))
+    first = F.array_join(F.slice(F.regexp_extract_all("doc.text", F.lit(r"[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++"), F.lit(0)), F.lit(1), F.col("part").cast("int")), "")
+    copies = copies.withColumn("cut", F.when(cut, first))
+    new = {"text": F.coalesce("cut", "doc.text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(cut, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.coalesce(F.length("cut").cast(docs.schema["n_chars"].dataType), "doc.n_chars")
+    return copies.select(*(new.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns))

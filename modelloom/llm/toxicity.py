@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from .common import mix, only, prepare, shingle_sets, staged, text_buffers
 
-#: The classifier is fitted on about so many labelled rows, and keeps so many tokens.
-SAMPLE, TOKENS = 20_000, 20_000
+#: The classifier is fitted on about so many labelled rows.
+SAMPLE = 20_000
 PRIOR, Z, SIGNIFICANT = 50.0, 4.0, 0.05
 EDGE = ".,;:!?\"'()[]{}<>*#$%&-_/\\|~`^+=«»“”‘’…"
 MEMO = 500_000
@@ -40,23 +40,25 @@ def tokens_of(chunk: str) -> list[str]:
 
 
 def segments(scores: list[float]) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments (first, last + 1, score) in one pass."""
-    found: list[tuple[int, int, float, float]] = []  # first, end, sum before, sum at the end
+    """All maximal scoring segments (first, last + 1, score) in one pass.
+
+    Each holds the place of the last one before it with a smaller sum before, so the walks back are linear in all."""
+    found: list[tuple[int, int, float, float, int]] = []  # first, end, sum before, sum at the end, place of the last with less before
     total = 0.0
     for i, s in enumerate(scores):
         if s > 0:
-            item = (i, i + 1, total, total + s)
-            while found:
+            first, left, right = i, total, total + s
+            while True:
                 j = len(found) - 1
-                while j >= 0 and found[j][2] >= item[2]:
-                    j -= 1
-                if j < 0 or found[j][3] >= item[3]:
+                while j >= 0 and found[j][2] >= left:
+                    j = found[j][4]
+                if j < 0 or found[j][3] >= right:
                     break
-                item = (found[j][0], item[1], found[j][2], item[3])
+                first, left = found[j][0], found[j][2]
                 del found[j:]
-            found.append(item)
+            found.append((first, i + 1, left, right, j))
         total += s
-    return [(a, b, r - left) for a, b, left, r in found]
+    return [(a, b, r - left) for a, b, left, r, _ in found]
 
 
 @dataclass
@@ -139,7 +141,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     delta = odds("y", n1) - odds("x", n0)
     scored = counted.where(f"y > 2 AND y * {n0} > x * {n1}").withColumn("delta", delta).withColumn("z", delta / F.sqrt(1.0 / (F.col("y") + a) + 1.0 / (F.col("x") + a)))
     raw = (F.log((F.col("y") + 0.5) / (F.lit(float(n1)) + 1.0)) - F.log((F.col("x") + 0.5) / (F.lit(float(n0)) + 1.0)))
-    kept = scored.where(F.col("z") > Z).select("token", F.least("delta", raw).alias("score"), "z").orderBy(F.desc("z"), "token").limit(TOKENS).collect()
+    kept = scored.where(F.col("z") > Z).select("token", F.least("delta", raw).alias("score")).collect()  # of a bounded sample of texts
     model.scores = {r["token"]: float(r["score"]) for r in kept if r["score"] > 0}
     scan = _evidence(model, texts)
     total = scan.agg(F.sum(F.expr("if(toxic = 1, words, 0)")).alias("w1"), F.sum(F.expr("if(toxic = 0, words, 0)")).alias("w0"), F.sum(F.expr("if(toxic = 1, hits, 0)")).alias("h1"), F.sum(F.expr("if(toxic = 0, hits, 0)")).alias("h0")).first()
