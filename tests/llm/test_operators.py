@@ -3,12 +3,14 @@
 import gzip
 import hashlib
 import itertools
+import pathlib
 import random
 import re
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -21,7 +23,7 @@ from modelloom.llm.jaccard import jaccard_components, jaccard_join
 from modelloom.llm.mixing import mix, mixed_documents
 from modelloom.llm.packing import Packer, pack
 from modelloom.llm.span_dedup import deduplicated, remove_repeats
-from modelloom.llm.token_output import read_checked, write_tokens
+from modelloom.llm.token_output import read_checked, read_metadata, write_tokens
 from modelloom.llm.tokens import Encoder
 
 DOCS = "doc_id long, text string, lang string, source string, n long, component string"
@@ -215,6 +217,38 @@ def test_pack_and_token_files(spark, tmp_path):
             start += r["n_tokens"]
 
 
+def test_token_files_can_be_read_in_parts(spark, tmp_path):
+    """Encodings, row groups of the chosen size, page indexes of every column, and a read of metadata that leaves the ids out."""
+    docs = _docs(spark, [" ".join(_words(i, 200, 9000)) for i in range(2400)])
+    for encoding, name in (("dictionary", "DICTIONARY"), ("delta", "DELTA_BINARY_PACKED")):
+        path = f"{tmp_path}/{encoding}"
+        write_tokens(docs, path, public_tokenizers.path("word_bpe_49k.json"), "at", 2, encoding, row_group=64 << 10, page=4 << 10)
+        groups = 0
+        for file in sorted(pathlib.Path(path).glob("*.parquet")):
+            meta = pq.ParquetFile(file).metadata
+            groups += meta.num_row_groups
+            for g in range(meta.num_row_groups):
+                columns = [meta.row_group(g).column(c) for c in range(meta.num_columns)]
+                ids = next(c for c in columns if c.path_in_schema.startswith("ids"))
+                assert any(name in e for e in ids.encodings) and all(c.has_offset_index for c in columns)
+                doc = next(c for c in columns if c.path_in_schema == "doc_id")
+                assert doc.has_column_index and doc.statistics.min <= doc.statistics.max
+        assert groups > len(list(pathlib.Path(path).glob("*.parquet")))
+        plan = read_metadata(spark, path)._jdf.queryExecution().executedPlan().toString()
+        assert "n_tokens" in plan and "ids" not in plan.partition("ReadSchema: ")[2].partition(">")[0]
+        assert read_metadata(spark, path).agg(F.sum("n_tokens"), F.max("start")).first()[0] > 2400 * 200
+    assert read_checked(spark, path).where("doc_id = 7").count() == 1
+    write_tokens(docs.where("false"), f"{tmp_path}/none", public_tokenizers.path("word_bpe_49k.json"), "at", 2)
+    assert read_checked(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_every_language_is_learned(spark):
+    """More languages than the sample has rows for: each gives its first row at least."""
+    texts = [f"{chr(97 + i) * 5} {chr(97 + i) * 3}{chr(98 + i)} text{chr(97 + i)}" for i in range(12) for _ in range(3)]
+    model = langid.fit(_docs(spark, texts, lang=[f"l{i // 3:02d}" for i in range(36)]), per_language=2, total=6)
+    assert model.languages == [f"l{i:02d}" for i in range(12)]
+
+
 def test_spans(spark):
     passage = "Here one two three four five. Then six seven eight nine ten eleven. At last twelve thirteen fourteen."
     texts = [f"First own words. {passage} Own end.", f"Other start here. {passage} Other end.", "Clean text. Nothing in it repeats. At all.", None, ""]
