@@ -393,7 +393,7 @@ def _capabilities(v: Views) -> DataFrame:
     return v.get("dv_measures").sparkSession.createDataFrame([("model", True, None), ("report", False, "No report part.")], "capability string, available boolean, reason string")
 
 
-@query("SELECT * FROM (VALUES ('DAX', 7, 0, NULL), ('Model', 4, 0, NULL), ('Relationship', 4, 0, NULL), ('Report', 0, 4, 'No report part.'), ('Data', 4, 0, NULL)) x(category, rules_run, rules_skipped, reason)")
+@query("SELECT category, CAST(rules_run AS BIGINT) AS rules_run, CAST(rules_skipped AS BIGINT) AS rules_skipped, reason FROM (VALUES ('DAX', 7, 0, NULL), ('Model', 4, 0, NULL), ('Relationship', 4, 0, NULL), ('Report', 0, 4, 'No report part.'), ('Data', 4, 0, NULL)) x(category, rules_run, rules_skipped, reason)")
 def rules_run_and_skipped(v):
     return quality.rules_run(v, _capabilities(v))
 
