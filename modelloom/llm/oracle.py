@@ -53,4 +53,25 @@ m AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS latest FROM d)
 SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, b AS payload_digest, CASE WHEN page_id = latest THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> latest THEN latest END AS refers_to FROM m
 """
 
-ORACLE_SQL = {"op2_weighted_mixing": MIXING, "op5_ngram_jaccard_join": JACCARD, "op7_exact_dedup": EXACT, "op9_arc_to_warc": WARC}
+#: The polynomial of crc32, eight steps for each value of a byte; ids are decimal, so of ASCII signs.
+_CRC_STEP = "CASE WHEN {0} & 1 = 1 THEN xor({0} >> 1, 3988292384) ELSE {0} >> 1 END"
+_CRC = f"""t AS (SELECT list(c ORDER BY b) AS crc_of FROM (WITH RECURSIVE s AS (SELECT b, CAST(b AS BIGINT) AS c, 0 AS k FROM range(256) x(b) UNION ALL SELECT b, {_CRC_STEP.format('c')}, k + 1 FROM s WHERE k < 8) SELECT b, c FROM s WHERE k = 8))"""
+_CRC_OF = "xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(string_split(CAST({0} AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda c, b: xor(c >> 8, crc_of[CAST((xor(c, b) & 255) + 1 AS BIGINT)])), 4294967295)".format
+
+#: Every pair of equal words at most a third of the words apart; pairs of one distance that follow each other are a run.
+PERIODIC = rf"""
+WITH {_CRC},
+d AS (SELECT doc_id, w, len(w) AS n, h, h // 10 AS g FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w, {_CRC_OF('doc_id')} AS h FROM documents, t)),
+p AS (SELECT *, g % n AS a, 1 + (n - g % n) // (3 + g % 8) AS p FROM d WHERE n > 0),
+x AS (SELECT doc_id, n, i, w[CAST(1 + CASE WHEN h % 10 = 0 AND i >= a THEN a + (i - a) % p ELSE i END AS BIGINT)] AS w FROM (SELECT *, unnest(range(n)) AS i FROM p)),
+e AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM x JOIN x y ON y.doc_id = x.doc_id AND y.w = x.w AND y.i > x.i AND 3 * (y.i - x.i) <= x.n),
+s AS (SELECT doc_id, q, min(i) AS start, count(*) + q AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM e) GROUP BY doc_id, q, island HAVING count(*) + q >= greatest(24, 3 * q)),
+r AS (SELECT doc_id, start, length, min(q) AS q FROM s GROUP BY doc_id, start, length),
+b AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || q || chr(10), '' ORDER BY start, q) AS told FROM r GROUP BY doc_id),
+f AS (SELECT doc_id, start, length, q FROM r QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY CAST(floor(1000 * length / q) AS BIGINT) DESC, CAST(length % q AS DOUBLE) / q DESC, start, q) = 1),
+k AS (SELECT x.doc_id, string_agg(x.w, ' ' ORDER BY x.i) AS kept FROM x WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.doc_id = x.doc_id AND x.i >= r.start + r.q AND x.i < r.start + r.length) GROUP BY x.doc_id)
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, start, length, q AS period, 1000 * length // q AS exponent_milli, sha256(coalesce(told, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM d LEFT JOIN b USING (doc_id) LEFT JOIN f USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
+
+ORACLE_SQL = {"op13_periodic_runs": PERIODIC, "op2_weighted_mixing": MIXING, "op5_ngram_jaccard_join": JACCARD, "op7_exact_dedup": EXACT, "op9_arc_to_warc": WARC}
