@@ -104,8 +104,8 @@ def partitions(df: DataFrame, size: int = 64 << 20) -> int:
     """Into how many parts a shuffle of all of `df` should go: one for `size` bytes of what it is read from, and at least the session's number."""
     of_session = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     known = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    # a plan without statistics claims the largest number there is
-    return of_session if known >= 1 << 62 else max(of_session, -(-known // size))
+    # a plan without statistics claims the largest number there is, or the share of it that its columns make up
+    return of_session if known >= 1 << 55 else max(of_session, -(-known // size))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -74,4 +74,21 @@ SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, start, length, q AS period, 1000
 FROM d LEFT JOIN b USING (doc_id) LEFT JOIN f USING (doc_id) LEFT JOIN k USING (doc_id)
 """
 
-ORACLE_SQL = {"op13_periodic_runs": PERIODIC, "op2_weighted_mixing": MIXING, "op5_ngram_jaccard_join": JACCARD, "op7_exact_dedup": EXACT, "op9_arc_to_warc": WARC}
+DIVERGENCE = rf"""
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents),
+w AS (SELECT lang, source, id, unnest(t) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS n FROM w GROUP BY lang, term HAVING count(DISTINCT id) >= 3),
+g AS (SELECT DISTINCT lang, source FROM d),
+l AS (SELECT lang, sum(n) AS words, count(*) AS v FROM k GROUP BY lang),
+c AS (SELECT w.lang, w.source, w.term, count(*) AS n FROM w JOIN k USING (lang, term) GROUP BY ALL),
+s AS (SELECT lang, source, sum(n) AS words FROM c GROUP BY lang, source),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + CAST(1000000000 AS HUGEINT) * (coalesce(c.n, 0) + 1) // (coalesce(s.words, 0) + l.v) AS p, 1 + CAST(1000000000 AS HUGEINT) * (k.n + 1) // (l.words + l.v) AS q
+  FROM g JOIN k ON k.lang = g.lang JOIN l ON l.lang = g.lang LEFT JOIN s ON s.lang = g.lang AND s.source = g.source LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+f AS (SELECT x.lang, x.source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // y.p) AS value FROM p x JOIN p y ON y.lang = x.lang AND y.term = x.term AND y.source <> x.source GROUP BY ALL),
+r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0) AS value FROM g a JOIN g b ON b.lang = a.lang AND b.source <> a.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM p WHERE n > 0 AND p > q),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM r)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INT) AS rank FROM o WHERE part = 'pair' OR rank <= 200
+"""
+
+ORACLE_SQL = {"op12_source_divergence": DIVERGENCE, "op13_periodic_runs": PERIODIC, "op2_weighted_mixing": MIXING, "op5_ngram_jaccard_join": JACCARD, "op7_exact_dedup": EXACT, "op9_arc_to_warc": WARC}

@@ -9,6 +9,7 @@ from .common import new_path, prepare, table
 from . import langid, toxicity
 from .ann import nearest
 from .arc_warc import convert, pages_to_arc, read_warc
+from .divergence import divergence
 from .exact_dedup import dedup
 from .jaccard import jaccard_components
 from .mixing import mix, quality
@@ -78,9 +79,13 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_checked(spark, path)
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence(table(spark, sf_dir, "documents"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = periodic_runs(table(spark, sf_dir, "documents"), looped)
     return found.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_sum_of_squares_packing, op2_weighted_mixing, op3_one_bit_neighbours, op4_toxic_segments, op5_ngram_jaccard_join, op6_language_centroids, op7_exact_dedup, op8_sentence_spans, op9_arc_to_warc, op10_token_output, op13_periodic_runs)}
+QUERIES = {f.__name__: f for f in (op1_sum_of_squares_packing, op2_weighted_mixing, op3_one_bit_neighbours, op4_toxic_segments, op5_ngram_jaccard_join, op6_language_centroids, op7_exact_dedup, op8_sentence_spans, op9_arc_to_warc, op10_token_output, op12_source_divergence, op13_periodic_runs)}
