@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import string
 
+from .secret_scan import BASE, RULES
+
 _SPACE = r"[\x20\x09-\x0D]+"
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -91,4 +93,23 @@ o AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY valu
 SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INT) AS rank FROM o WHERE part = 'pair' OR rank <= 200
 """
 
-ORACLE_SQL = {"op12_source_divergence": DIVERGENCE, "op13_periodic_runs": PERIODIC, "op2_weighted_mixing": MIXING, "op5_ngram_jaccard_join": JACCARD, "op7_exact_dedup": EXACT, "op9_arc_to_warc": WARC}
+
+
+def _secrets() -> str:
+    """The patterns as they are, over all texts; a text is cut at its matches, so a match begins where what lies before it ends."""
+    quoted = lambda r: r.pattern.replace("'", "''")
+    found = " UNION ALL ".join(f"SELECT id, {i} AS place, string_split_regex(x, '{quoted(r)}') AS gaps, regexp_extract_all(x, '{quoted(r)}') AS hits, regexp_extract_all(x, '{quoted(r)}', {r.group}) AS parts, {r.least} AS least FROM d" for i, r in enumerate(RULES))
+    kinds = ", ".join(f"'{r.kind}'" for r in RULES)
+    counts = ", ".join(f"count(*) FILTER (WHERE place = {i}) AS n_{r.kind}" for i, r in enumerate(BASE))
+    given = ", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in BASE)
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS x FROM documents),
+f AS (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM ({found}) WHERE len(hits) > 0),
+e AS (SELECT id, place, length(hits[i]) AS n, length(parts[i]) >= least AS long, sum(length(gaps[i]) + length(hits[i])) OVER (PARTITION BY id, place ORDER BY i) AS stop FROM f),
+s AS (SELECT id, place, stop - n AS start, ([{kinds}])[place + 1] || ':' || CAST(stop - n AS BIGINT) || ':' || CAST(stop AS BIGINT) AS told FROM e WHERE long),
+g AS (SELECT id, {counts}, string_agg(told, ',' ORDER BY start, place) FILTER (WHERE place < {len(BASE)}) AS base, string_agg(told, ',' ORDER BY start, place) AS spans FROM s GROUP BY id)
+SELECT doc_id, {given}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (id)
+"""
+
+
+ORACLE_SQL = {"op11_secret_index": _secrets(), "op12_source_divergence": DIVERGENCE, "op13_periodic_runs": PERIODIC, "op2_weighted_mixing": MIXING, "op5_ngram_jaccard_join": JACCARD, "op7_exact_dedup": EXACT, "op9_arc_to_warc": WARC}

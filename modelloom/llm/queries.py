@@ -16,6 +16,7 @@ from .mixing import mix, quality
 from .oracle import ORACLE_SQL as ORACLE_SQL
 from .packing import pack
 from .periodic import looped, periodic_runs
+from .secret_scan import scan
 from .span_dedup import remove_repeats
 from .token_output import read_checked, write_tokens
 
@@ -79,6 +80,10 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_checked(spark, path)
 
 
+def op11_secret_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence(table(spark, sf_dir, "documents"))
 
@@ -88,4 +93,4 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_sum_of_squares_packing, op2_weighted_mixing, op3_one_bit_neighbours, op4_toxic_segments, op5_ngram_jaccard_join, op6_language_centroids, op7_exact_dedup, op8_sentence_spans, op9_arc_to_warc, op10_token_output, op12_source_divergence, op13_periodic_runs)}
+QUERIES = {f.__name__: f for f in (op1_sum_of_squares_packing, op2_weighted_mixing, op3_one_bit_neighbours, op4_toxic_segments, op5_ngram_jaccard_join, op6_language_centroids, op7_exact_dedup, op8_sentence_spans, op9_arc_to_warc, op10_token_output, op11_secret_index, op12_source_divergence, op13_periodic_runs)}
