@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from modelloom.llm import langid
 from modelloom.llm.common import bounded, new_path, numbered, staged, table
 from modelloom.llm.exact_dedup import dedup
-from modelloom.llm.jaccard import jaccard_components
+from modelloom.llm.jaccard import row_components
 from modelloom.llm.mixing import mixed_documents, quality
 from modelloom.llm.packing import pack
 
@@ -49,7 +49,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Stays: of documents linked by a similarity of 0.8 of five-word shingles the one with the smallest doc_id; without ids the first row."""
     rows = numbered(docs, ROW)
-    labelled = staged(jaccard_components(_by_row(rows), k=5, percent=80).select(F.col("doc_id").alias("row"), F.col("component_id").alias("group")), "labelled_rows")
+    labelled = staged(row_components(_by_row(rows), k=5, percent=80).select(F.col("doc_id").alias("row"), F.col("component_id").alias("group")), "labelled_rows")
     several = staged(labelled.where("row <> group").select("group").distinct(), "linked")
     return _firsts(rows, labelled.join(bounded(several), "group", "left_semi"), "near_copies")
 

@@ -11,7 +11,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 WHITE = r"[\x20\x09-\x0D]+"
@@ -91,12 +91,12 @@ def numbered(docs: DataFrame, name: str) -> DataFrame:
     plan = docs._jdf.queryExecution().analyzed().toString().strip()
     if not (plan.startswith("Relation [") and plan.endswith("] parquet")):
         docs = staged(docs, "rows")
-    files = sorted(r[0] for r in docs.select("_metadata.file_path").distinct().collect())
     path, number, index = (unused(x, docs.columns) for x in ("path_of_row", "number_of_file", "index_of_row"))
-    numbers = spark.createDataFrame([(f, i) for i, f in enumerate(files)], f"{path} string, {number} long")
-    # one row a file, so the side is broadcast
+    # a row a file: as many as the table has files, not rows
+    files = docs.select(F.col("_metadata.file_path").alias(path)).distinct()
+    files = staged(files.withColumn(number, F.row_number().over(Window.orderBy(path)).cast("long")), "files")
     rows = docs.select("*", F.col("_metadata.file_path").alias(path), F.col("_metadata.row_index").alias(index))
-    rows = rows.join(F.broadcast(numbers), path)
+    rows = rows.join(bounded(files), path)
     return rows.select(*docs.columns, (F.shiftleft(number, 40) + F.col(index)).alias(name))
 
 

@@ -1,11 +1,13 @@
 """N-gram Jaccard join by adaptive multi-match prefixes, with star links first so that no large group is paired out.
 
 1. Each document becomes the set of its k-word shingles. Equal sets form a class; one member stands for it.
-2. A sketch counts shingles over all documents (a fixed table of counters, summed slice by slice). Its frequency
-   classes give one global order of shingles, rare ones first.
+2. One global order of shingles, rare ones first: by hash, but shingles that are common come last, by how common they are.
+   Common are those that stand in the prefixes (by hash) of over COMMON documents; documents that have one in their prefix
+   have all their shingles counted, which tells further common ones, and take their prefix anew. All counts are exact,
+   of shingles by key, and none is held by one task or the driver.
 3. A set of n shingles has a base prefix of n - ceil(t n) + 1 of its first shingles. Two sets that reach the threshold
    share at least l shingles of the prefixes lengthened by l - 1. Each set picks its own l in 1..MAX_L: the one of least
-   estimated cost, sum(frequency) for reading lists + VERIFY * sum(frequency) / l for the pairs that can reach l matches.
+   cost, sum(list lengths) for reading lists + VERIFY * sum(list lengths) / l for the pairs that can reach l matches.
    A pair needs the smaller l of the two.
 4. Stars: in each list the set with the most left after the shingle leads; members are verified against leaders only,
    first against the one they meet most often, then against those still in other components. Components follow.
@@ -18,37 +20,29 @@
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded, is_small, lean, only, prepare, shingle_sets, staged, text_buffers
+from .common import bounded, is_small, lean, numbered, only, prepare, shingle_sets, staged, text_buffers, unused
 from .components import components, groups
 
 MAX_L = 4
 #: Members of a component that may share a shingle for it to be tried first.
 SHORT = 64
 VERIFY = 8.0
-#: log2 of the sketch's counters and of its slices.
-COUNTERS, SLICES = 24, 6
-#: What a task's counter stops at; a batch adds less than the rest. Only the order of magnitude of counts is used.
-MOST = 60_000
+#: A shingle is common if more documents than this have it in their prefix.
+COMMON = 64
 
 
 def _profile(k: int):
-    """Per document its size and digests, and per task the counters it touched, in slices."""
+    """Per document its size, digests of its set and a parity bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << COUNTERS, np.uint16)
-        names = ["doc_id", "n", "hi", "lo", "bits", "slice", "part", "counts"]
-        types = [pa.int64()] * 4 + [pa.binary(), pa.int64(), pa.int64(), pa.binary()]
         for batch in batches:
-            ids = batch.column(0)
             n, hi, lo, bits = [], [], [], []
             for s in shingle_sets(*text_buffers(batch.column(1)), k):
                 n.append(len(s))
@@ -57,80 +51,85 @@ def _profile(k: int):
                     lo.append(int(((s ^ (s >> np.uint64(31))) * np.uint64(0xC2B2AE3D27D4EB4F)).sum(dtype=np.uint64).view(np.int64)))
                 wide = max(256, 1 << (len(s) - 1).bit_length() if len(s) else 0)
                 bits.append(np.packbits((np.bincount((s & np.uint64(wide - 1)).astype(np.int64), minlength=wide) & 1).astype(np.uint8)).tobytes())
-                np.add.at(counts, (s >> np.uint64(64 - COUNTERS)).astype(np.int64), 1)
-            np.minimum(counts, MOST, out=counts)
-            none = pa.nulls(len(ids), pa.int64())
-            cols = [ids, pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(bits, pa.binary()), none, none, pa.nulls(len(ids), pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, names)
-        part = TaskContext.get().partitionId()
-        for i, x in enumerate(np.split(counts, 1 << SLICES)):
-            if x.any():
-                row = [None] * 5 + [i, part, zlib.compress(x.astype(np.uint32).tobytes(), 1)]
-                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (n, hi, lo)), pa.array(bits, pa.binary())], ["doc_id", "n", "hi", "lo", "bits"])
 
     return run
 
 
-def _sum_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    totals: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for i, blob in zip(batch.column("slice").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-            x = np.frombuffer(zlib.decompress(blob), np.uint32).astype(np.uint64)
-            x += totals.get(i, np.uint64(0))
-            totals[i] = np.minimum(x, np.uint64(0xFFFFFFFF))
-    for i, x in totals.items():
-        yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([zlib.compress(x.astype(np.uint32).tobytes(), 1)], pa.binary())], ["slice", "counts"])
+def _longest(n, percent: int):
+    """Shingles in the longest prefix of a set of n."""
+    return n - -(-percent * n // 100) + MAX_L
 
 
-def _frequencies(slices: DataFrame) -> tuple[np.ndarray, float]:
-    """Frequency classes, 16 MB whatever the input, and their unit: class c has about (2^c - 1) units beyond what chance
-    puts into a counter. Summed in two steps, so that no task reads every task's slice."""
-    shape = "slice long, counts binary"
-    first = slices.repartition(F.col("slice"), F.col("part") % 16).select("slice", "counts").mapInArrow(_sum_slices, shape)
-    summed = staged(first.repartition("slice").mapInArrow(_sum_slices, shape), "counters")
-    classes = np.zeros((1 << SLICES, 1 << (COUNTERS - SLICES)), np.uint8)
-    noise = sum(float(np.frombuffer(zlib.decompress(r["counts"]), np.uint32).sum(dtype=np.float64)) for r in summed.toLocalIterator()) / classes.size
-    unit = 3.0 * noise + 1.0
-    for r in summed.toLocalIterator():
-        over = np.maximum(np.frombuffer(zlib.decompress(r["counts"]), np.uint32).astype(np.float32) - noise, 0.0)
-        classes[r["slice"]] = np.log2(1.0 + over / unit)
-    return classes.reshape(-1), unit
-
-
-def _prefixes(k: int, percent: int, frequencies):
-    """Rows (token, doc_id, n, rest, l): rest is n less the token's position in the document's order."""
+def _shingles(k: int, percent: int | None):
+    """(token, doc_id, n, place): the longest prefix by hash of each set, or with no percent all of it; place counts from 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f, unit = frequencies.value
-        weight = (np.exp2(np.arange(64)) - 1.0) * unit
         for batch in batches:
-            ids = batch.column(0).to_numpy()
-            out: list[list[np.ndarray]] = [[], [], [], [], []]
-            for d, s in zip(ids, shingle_sets(*text_buffers(batch.column(1)), k), strict=True):
+            ids = batch.column("doc_id").to_numpy()
+            out: list[list[np.ndarray]] = [[], [], [], []]
+            held = 0
+
+            def given() -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["token", "doc_id", "n", "place"])  # noqa: B023
+
+            for d, s in zip(ids, shingle_sets(*text_buffers(batch.column("text")), k), strict=True):
                 n = len(s)
-                if not n:
+                m = n if percent is None else min(n, _longest(n, percent))
+                if not m:
                     continue
-                base = n - -(-percent * n // 100) + 1
-                level = f[(s >> np.uint64(64 - COUNTERS)).astype(np.int64)]
-                # few sets need their tail in order: rare ones come by hash, and only the prefix is taken
-                order = np.lexsort((s, level))[: base + MAX_L - 1]
-                reads = np.cumsum(weight[level[order]])
-                last = np.minimum(np.arange(base, base + MAX_L), len(order)) - 1
-                ls = np.arange(1, MAX_L + 1)
-                best = int(np.argmin(reads[last] * (1.0 + VERIFY / ls)))
-                best = min(best, n - base)
-                m = base + best
-                out[0].append(s[order[:m]].view(np.int64))
+                out[0].append(s[:m].view(np.int64))
                 out[1].append(np.full(m, d, np.int64))
                 out[2].append(np.full(m, n, np.int32))
-                out[3].append(np.arange(n, n - m, -1, dtype=np.int32))
-                out[4].append(np.full(m, best + 1, np.int32))
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["token", "doc_id", "n", "rest", "l"])
+                out[3].append(np.arange(m, dtype=np.int32))
+                held += m
+                if held > 1 << 17:
+                    yield given()
+                    out, held = [[], [], [], []], 0
+            if held:
+                yield given()
 
     return run
 
 
+def _prefixes(docs: DataFrame, single: DataFrame, k: int, percent: int) -> DataFrame:
+    """(token, doc_id, n, place) of the longest prefix of every document of `single`, in the one order that all share."""
+    shape = "token long, doc_id long, n int, place int"
+    docs = docs.join(bounded(staged(single.select("doc_id"), "single")), "doc_id", "left_semi")
+    by_hash = staged(docs.mapInArrow(lean(_shingles(k, percent)), shape), "entries")
+    many = lambda rows: rows.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > COMMON)
+
+    def whole(common: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The documents that have one of `common` in their prefix, and all their shingles."""
+        touched = staged(by_hash.join(bounded(common), "token", "left_semi").select("doc_id").distinct(), "touched")
+        return touched, staged(docs.join(bounded(touched), "doc_id", "left_semi").mapInArrow(lean(_shingles(k, None)), shape), "whole_sets")
+
+    common = staged(many(by_hash).select("token"), "common")
+    if common.isEmpty():
+        return by_hash
+    _, tokens = whole(common)
+    common = staged(common.union(many(tokens).select("token")).distinct(), "common")
+    # the order is fixed from here on: whoever has a common shingle in the prefix by hash finds its prefix anew
+    touched, tokens = whole(common)
+    counts = staged(tokens.join(bounded(common), "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("c")), "common_counts")
+    ranked = tokens.drop("place").join(bounded(counts), "token", "left").withColumn("c", F.coalesce("c", F.lit(0)))
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("c", F.col("token").bitwiseXOR(F.lit(-(1 << 63)))))
+    anew = ranked.withColumn("place", place - 1).where(f"place < n - ({percent}L * n + 99) DIV 100 + {MAX_L}").select("token", "doc_id", "n", "place")
+    return staged(by_hash.join(bounded(touched), "doc_id", "left_anti").select("token", "doc_id", "n", "place").union(anew), "entries")
+
+
+def _adapted(entries: DataFrame, percent: int) -> DataFrame:
+    """(token, doc_id, n, rest, l): the lists of two documents or more, each document with its own length of prefix."""
+    lengths = staged(entries.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "tokens")
+    lists = staged(entries.join(lengths, "token").withColumn("base", F.expr(f"CAST(n - ({percent}L * n + 99) DIV 100 + 1 AS INT)")), "shared_entries")
+    costs = [F.sum(F.when(F.col("place") < F.col("base") + i, F.col("c")).otherwise(0)) * (1.0 + VERIFY / (i + 1)) for i in range(MAX_L)]
+    # a prefix can't be longer than its set
+    chosen = lists.groupBy("doc_id", "n", "base").agg(*(c.alias(f"cost{i + 1}") for i, c in enumerate(costs)))
+    best = F.array_min(F.array(*(F.when(F.col("base") + i <= F.col("n"), F.struct(F.col(f"cost{i + 1}").alias("cost"), F.lit(i + 1).alias("l"))) for i in range(MAX_L))))
+    chosen = staged(chosen.select("doc_id", best["l"].alias("l")), "lengths")
+    return lists.join(bounded(chosen), "doc_id").where("place < base + l - 1").select("token", "doc_id", "n", F.expr("n - place").alias("rest"), "l")
+
+
 def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -266,18 +265,10 @@ def _lists(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame,
     prepare(spark)
     docs = only(docs, doc_id="bigint", text="string")
     shape = "doc_id long, n long, hi long, lo long, bits binary, slice long, part long, counts binary"
-    gathered = staged(docs.mapInArrow(lean(_profile(k)), shape), "profile")
-    shared = spark.sparkContext.broadcast(_frequencies(gathered.where("slice IS NOT NULL")))
-    rows = gathered.where("slice IS NULL").drop("slice", "part", "counts")
+    rows = staged(docs.mapInArrow(lean(_profile(k)), "doc_id long, n long, hi long, lo long, bits binary"), "profile")
     profile = staged(groups(rows, ["n", "hi", "lo"], "doc_id"), "classes")
-    single = profile.where("n > 0 AND doc_id = first_id").dropDuplicates(["doc_id"])
-
-    # lists of two or more entries, of one document for each class
-    entries = docs.where("doc_id IS NOT NULL").mapInArrow(lean(_prefixes(k, percent, shared)), "token long, doc_id long, n int, rest int, l int")
-    entries = staged(entries, "entries")
-    shared_tokens = staged(entries.groupBy("token").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x <> y").select("token"), "tokens")
-    lists = entries.join(shared_tokens, "token", "left_semi").join(single.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["token", "doc_id"])
-    lists = staged(lists, "lists")
+    single = profile.where("n > 0 AND doc_id = first_id")
+    lists = staged(_adapted(_prefixes(docs, single, k, percent), percent), "lists")
     return docs, profile, single, lists
 
 
@@ -285,9 +276,10 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFr
     """The whole join: all pairs (a, b), a < b, of different sets that reach the threshold, and members (doc_id, first_id, n_shingles).
 
     Documents of equal sets form a class, told by its smallest doc_id: `first_id`, which `a` and `b` name. Two documents link
-    if their classes are one or a pair. Rows as in jaccard_components; those with a null doc_id or without words are in
-    neither table. Pairs of a near-copy group grow with its square.
+    if their classes are one or a pair. Those with a null doc_id or without words are in neither table; a doc_id must not stand
+    in two rows with different texts (number the rows first if it may). Pairs of a near-copy group grow with its square.
     """
+    docs = docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"])
     docs, profile, single, lists = _lists(docs, k, percent)
     a, b = (lists.select("token", F.col("doc_id").alias(x), *(F.col(c).alias(f"{c}{x}") for c in ("n", "rest", "l"))) for x in "ab")
     meet = a.join(b, "token").where("a < b").where(_fits(percent).format(x="least(resta, restb) + least(la, lb) - 1", y="least(na, nb)", m="na", n="nb"))
@@ -300,10 +292,23 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of every row of `docs` (doc_id, text, ...).
 
     Documents link when 100 |A and B| >= percent |A or B| for their sets of k-word shingles. Null or empty text and text
-    without words: n_shingles 0, linked with nothing. Fewer than k words: the whole sequence is one shingle. Rows with a
-    null doc_id take no part in links and come back with a null component. Repeated rows come back as often as given.
-    Other columns are ignored. An empty table gives an empty result.
+    without words: n_shingles 0, linked with nothing. Fewer than k words: the whole sequence is one shingle. Rows are told
+    apart by their place: rows that share a doc_id or a text link by their own texts and come back as often as given; those
+    with a null doc_id link too, and a component without any id is null. Other columns are ignored. An empty table gives
+    an empty result.
     """
+    row = unused("row_of_docs", docs.columns)
+    rows = numbered(docs, row).select(F.col(row).alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    found = row_components(rows.select(F.col("row").alias("doc_id"), "text"), k, percent)
+    found = found.select(F.col("doc_id").alias("row"), "n_shingles", F.col("component_id").alias("component"))
+    labelled = staged(found.join(rows.select("row", "doc_id"), "row"), "labelled_rows")
+    smallest = labelled.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("rows")).where("rows > 1").drop("rows")
+    named = labelled.join(bounded(staged(smallest.withColumn("several", F.lit(True)), "smallest")), "component", "left")
+    return named.select("doc_id", "n_shingles", F.expr("CASE WHEN several THEN component_id ELSE doc_id END").alias("component_id"))
+
+
+def row_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """As jaccard_components, for a `docs` whose doc_id is never null and never repeated."""
     docs, profile, single, lists = _lists(docs, k, percent)
 
     # stars: the leader of a list has the most left after the token

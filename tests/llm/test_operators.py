@@ -425,3 +425,38 @@ def test_empty_tables(spark):
     none = _docs(spark, ["x"]).where("false")
     path = public_tokenizers.path("word_bpe_49k.json")
     assert [f(none).count() for f in (jaccard_components, dedup, mix, remove_repeats, lambda d: pack(d, path, "at", 2), lambda d: langid.identify(d, langid.fit(d)))] == [0] * 6
+
+
+def test_jaccard_rows_that_share_an_id(spark):
+    base = _words(2, 60)
+    near = lambda i: " ".join([*base[:i], f"odd{i}", *base[i + 1 :]])
+    a, b = " ".join(base), " ".join(_words(3, 60))
+    near_b = b + " tail"
+    rows = [(1, a), (1, b), (2, near_b), (3, near(0)), (None, near(59)), (None, None), (None, "alone"), (4, "alone"), (4, "alone"), (5, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, "x") for i, t in rows], DOCS)
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_components(docs, 5, 80).collect()), key=repr)
+    want = [(1, 56, 1), (1, 56, 1), (2, 57, 1), (3, 56, 1), (None, 56, 1), (None, 0, None), (None, 1, 4), (4, 1, 4), (4, 1, 4), (5, 0, 5)]
+    assert got == sorted(want, key=repr)
+
+
+def test_jaccard_common_shingles_are_counted_and_come_last(spark, monkeypatch):
+    from modelloom.llm import jaccard
+
+    passages = [_words(100 + i, 40, 9999) for i in range(3)]
+    r = random.Random(9)
+    texts = []
+    for i in range(120):
+        own = _words(1000 + i, 40, 100_000)
+        texts.append(" ".join(passages[i % 3] + own))
+    texts += [" ".join(t.split()[:-1] + ["end"]) for t in texts[:20]] + [" ".join(passages[0])] * 3 + [" ".join(r.choice(passages)[:20]) for _ in range(30)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = _groups(texts, 5, 80)
+    made = {}
+    for common in (8, 10_000):
+        monkeypatch.setattr(jaccard, "COMMON", common)
+        _, _, _, lists = jaccard._lists(rows, 5, 80)
+        made[common] = lists.groupBy("token").count().selectExpr("sum(count * count) AS pairs").first().pairs
+        got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard_components(rows, 5, 80).collect()}
+        assert got == want, common
+    # common shingles left at their place by hash make far longer lists
+    assert made[8] * 5 < made[10_000]
