@@ -2,9 +2,8 @@
 
 1. Each document becomes the set of its k-word shingles. Equal sets form a class; one member stands for it.
 2. One global order of shingles, rare ones first: by hash, but shingles that are common come last, by how common they are.
-   Common are those that stand in the prefixes (by hash) of over COMMON documents; documents that have one in their prefix
-   have all their shingles counted, which tells further common ones, and take their prefix anew. All counts are exact,
-   of shingles by key, and none is held by one task or the driver.
+   Common are those that stand in the prefixes of over COMMON documents; documents that have one in their prefix take
+   it anew, which may tell further common ones, for some rounds. Counts are exact, of shingles by key, whatever the input.
 3. A set of n shingles has a base prefix of n - ceil(t n) + 1 of its first shingles. Two sets that reach the threshold
    share at least l shingles of the prefixes lengthened by l - 1. Each set picks its own l in 1..MAX_L: the one of least
    cost, sum(list lengths) for reading lists + VERIFY * sum(list lengths) / l for the pairs that can reach l matches.
@@ -21,6 +20,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +34,8 @@ MAX_L = 4
 #: Members of a component that may share a shingle for it to be tried first.
 SHORT = 64
 VERIFY = 8.0
-#: A shingle is common if more documents than this have it in their prefix.
-COMMON = 64
+#: A shingle is common if more documents than this have it in their prefix; in so many rounds further ones are looked for.
+COMMON, ROUNDS = 64, 4
 
 
 def _profile(k: int):
@@ -61,61 +61,77 @@ def _longest(n, percent: int):
     return n - -(-percent * n // 100) + MAX_L
 
 
-def _shingles(k: int, percent: int | None):
-    """(token, doc_id, n, place): the longest prefix by hash of each set, or with no percent all of it; place counts from 0."""
+def _shingles(k: int, percent: int, ahead: int = 1, common=None):
+    """(token, doc_id, n, place): the first shingles of each set, `ahead` times its longest prefix; all of it if ahead is 0. `common`, a
+    broadcast of sorted shingles with their counts, come after all others and by these."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["token", "doc_id", "n", "place"]
+        known, counts = common.value if common else (None, None)
         for batch in batches:
             ids = batch.column("doc_id").to_numpy()
             out: list[list[np.ndarray]] = [[], [], [], []]
             held = 0
-
-            def given() -> pa.RecordBatch:
-                return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["token", "doc_id", "n", "place"])  # noqa: B023
-
             for d, s in zip(ids, shingle_sets(*text_buffers(batch.column("text")), k), strict=True):
                 n = len(s)
-                m = n if percent is None else min(n, _longest(n, percent))
+                m = min(n, ahead * _longest(n, percent)) if ahead else n
                 if not m:
                     continue
+                if known is not None:
+                    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+                    rank = np.where(known[at] == s, counts[at], 0)
+                    s = s[np.argsort(rank, kind="stable")]
                 out[0].append(s[:m].view(np.int64))
                 out[1].append(np.full(m, d, np.int64))
                 out[2].append(np.full(m, n, np.int32))
                 out[3].append(np.arange(m, dtype=np.int32))
                 held += m
                 if held > 1 << 17:
-                    yield given()
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names)
                     out, held = [[], [], [], []], 0
             if held:
-                yield given()
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names)
 
     return run
 
 
+_ENTRIES = "token long, doc_id long, n int, place int"
+
+
+def _ordered(docs: DataFrame, common: DataFrame, k: int, percent: int, ahead: int) -> DataFrame:
+    """_ENTRIES of `docs` with `common` (token, c) last: looked up in a broadcast array if they are few, else by a join of whole sets."""
+    if is_small(common):
+        rows = common.orderBy(F.col("token").bitwiseXOR(F.lit(-(1 << 63)))).toPandas()
+        shared = docs.sparkSession.sparkContext.broadcast((rows["token"].to_numpy(np.int64).view(np.uint64), rows["c"].to_numpy(np.int64)))
+        return docs.mapInArrow(lean(_shingles(k, percent, ahead, shared)), _ENTRIES)
+    ranked = docs.mapInArrow(lean(_shingles(k, percent, 0)), _ENTRIES).drop("place").join(common, "token", "left").withColumn("c", F.coalesce("c", F.lit(0)))
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("c", F.col("token").bitwiseXOR(F.lit(-(1 << 63)))))
+    return ranked.withColumn("place", place - 1).where(f"place < {ahead} * ({_LONGEST.format(percent=percent)})").select("token", "doc_id", "n", "place")
+
+
+_LONGEST = f"n - ({{percent}}L * n + 99) DIV 100 + {MAX_L}"
+
+
 def _prefixes(docs: DataFrame, single: DataFrame, k: int, percent: int) -> DataFrame:
-    """(token, doc_id, n, place) of the longest prefix of every document of `single`, in the one order that all share."""
-    shape = "token long, doc_id long, n int, place int"
+    """_ENTRIES of the longest prefix of every document of `single`, in the one order that all share.
+
+    Each round tells further common shingles and gives those that have one in their prefix a new one, with twice as many
+    shingles looked at as the round before. The last round tells none; so whoever has a common one in its prefix has it in the
+    place that all give it."""
     docs = docs.join(bounded(staged(single.select("doc_id"), "single")), "doc_id", "left_semi")
-    by_hash = staged(docs.mapInArrow(lean(_shingles(k, percent)), shape), "entries")
-    many = lambda rows: rows.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > COMMON)
-
-    def whole(common: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """The documents that have one of `common` in their prefix, and all their shingles."""
-        touched = staged(by_hash.join(bounded(common), "token", "left_semi").select("doc_id").distinct(), "touched")
-        return touched, staged(docs.join(bounded(touched), "doc_id", "left_semi").mapInArrow(lean(_shingles(k, None)), shape), "whole_sets")
-
-    common = staged(many(by_hash).select("token"), "common")
-    if common.isEmpty():
-        return by_hash
-    _, tokens = whole(common)
-    common = staged(common.union(many(tokens).select("token")).distinct(), "common")
-    # the order is fixed from here on: whoever has a common shingle in the prefix by hash finds its prefix anew
-    touched, tokens = whole(common)
-    counts = staged(tokens.join(bounded(common), "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("c")), "common_counts")
-    ranked = tokens.drop("place").join(bounded(counts), "token", "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("c", F.col("token").bitwiseXOR(F.lit(-(1 << 63)))))
-    anew = ranked.withColumn("place", place - 1).where(f"place < n - ({percent}L * n + 99) DIV 100 + {MAX_L}").select("token", "doc_id", "n", "place")
-    return staged(by_hash.join(bounded(touched), "doc_id", "left_anti").select("token", "doc_id", "n", "place").union(anew), "entries")
+    fresh = staged(docs.mapInArrow(lean(_shingles(k, percent)), _ENTRIES), "entries")
+    parts, common = [fresh], None
+    for i in range(ROUNDS):
+        found = fresh.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > COMMON)
+        found = staged(found.join(bounded(common), "token", "left_anti") if common else found, "common")
+        if found.isEmpty():
+            break
+        common = staged(common.union(found), "common") if common else found
+        having = reduce(DataFrame.union, (p.where(f"place < {_LONGEST.format(percent=percent)}") for p in parts)).join(bounded(found), "token", "left_semi")
+        touched = bounded(staged(having.select("doc_id").distinct(), "touched"))
+        fresh = staged(_ordered(docs.join(touched, "doc_id", "left_semi"), common, k, percent, 2 ** (i + 1)), "entries")
+        parts = [p.join(touched, "doc_id", "left_anti").select(*fresh.columns) for p in parts] + [fresh]
+    return reduce(DataFrame.union, parts).where(f"place < {_LONGEST.format(percent=percent)}")
 
 
 def _adapted(entries: DataFrame, percent: int) -> DataFrame:
