@@ -84,12 +84,19 @@ PARTITIONS = f"""SELECT s_suppkey AS ord, {_TABLE} AS tbl, 'p'||CAST(s_suppkey A
   CASE WHEN s_suppkey%5=4 THEN NULL ELSE 'dbo.Obj'||CAST(s_suppkey%7 AS STRING) END AS object,
   CASE WHEN s_suppkey%11=0 THEN 'select  A,B from [dbo].x' WHEN s_suppkey%6=0 THEN 'SELECT DISTINCT A FROM x' WHEN s_suppkey%4=0 THEN 'SELECT A, C FROM x WHERE  A > 1' WHEN s_suppkey%9=0 THEN 'SELECT A, sum(B) FROM x GROUP BY A' WHEN s_suppkey%10=7 THEN 'SELECT * FROM x JOIN y ON 1=1' ELSE 'SELECT A, B, D FROM x' END AS statement FROM {{supplier}}"""
 
-#: Edits of a session: renames and field changes, with their state and whether they failed.
-CHANGES = """SELECT o_orderkey AS seq, 'c'||CAST(o_orderkey AS STRING) AS change_id, CASE o_orderkey%3 WHEN 0 THEN 'measure' WHEN 1 THEN 'table' ELSE 'column' END AS target_type,
-  CASE o_orderkey%3 WHEN 0 THEN 'Measures' ELSE 'T'||CAST(o_custkey%60 AS STRING) END AS tbl,
-  CASE o_orderkey%3 WHEN 0 THEN 'MSR_'||lpad(CAST(o_custkey%300 AS STRING),6,'0') WHEN 1 THEN 'T'||CAST(o_custkey%60 AS STRING) ELSE 'Key' END AS name,
-  CASE WHEN o_orderkey%4=0 THEN 'description' ELSE 'name' END AS field, CASE WHEN o_orderkey%5=0 THEN 'Other' WHEN o_orderkey%5=1 THEN 'T'||CAST(o_custkey%200 AS STRING) WHEN o_orderkey%5=2 THEN 'MSR_'||lpad(CAST(o_custkey%900 AS STRING),6,'0') ELSE 'New '||CAST(o_orderkey AS STRING) END AS after,
-  o_custkey%4 AS file FROM {orders} WHERE o_orderkey%10=0 OR o_orderkey<2000"""
+#: Edits, a session (file) for each customer: renames that meet each other, moves of measures and descriptions.
+_B = "o_custkey%300"
+_NAMES = f"CASE o_orderkey%7 WHEN 2 THEN {_m(_B + '+2')} WHEN 3 THEN 'New A' WHEN 4 THEN 'New A' WHEN 5 THEN 'New B' WHEN 6 THEN {_m(_B + '+3')} ELSE {_m(_B + '+1')} END"
+_TABLES = f"CASE o_orderkey%5 WHEN 0 THEN 'New T' WHEN 1 THEN 'T'||CAST(o_custkey%60 AS STRING) WHEN 2 THEN 'New U' ELSE {_fact(_B + '%30')} END"
+CHANGES = f"""SELECT o_orderkey AS seq, 'c'||CAST(o_orderkey AS STRING) AS change_id, o_custkey AS file, target_type,
+  CASE target_type WHEN 'measure' THEN CASE WHEN o_orderkey%11=0 THEN 'T'||CAST(o_custkey%60 AS STRING) ELSE 'Measures' END ELSE {_TABLES} END AS tbl,
+  CASE target_type WHEN 'measure' THEN {_NAMES} WHEN 'table' THEN {_TABLES} ELSE CASE o_orderkey%3 WHEN 0 THEN 'New C' WHEN 1 THEN {_col(_B + '%25')} ELSE 'Key' END END AS name,
+  CASE WHEN o_orderkey%13=0 THEN 'description' WHEN target_type='measure' AND o_orderkey%13<3 THEN 'homeTable' ELSE 'name' END AS field,
+  CASE WHEN o_orderkey%13=0 THEN 'About it' WHEN target_type='measure' AND o_orderkey%13<3 THEN 'T'||CAST(o_custkey%60 AS STRING)
+       WHEN target_type='measure' THEN CASE o_orderkey%5 WHEN 1 THEN 'New B' WHEN 2 THEN {_m(_B + '+1')} WHEN 3 THEN 'New '||CAST(o_orderkey AS STRING) ELSE 'New A' END
+       WHEN target_type='table' THEN CASE o_orderkey%4 WHEN 0 THEN 'New T' WHEN 1 THEN 'New U' WHEN 2 THEN {_fact(_B + '%30')} ELSE 'Sales '||CAST(o_orderkey AS STRING) END
+       ELSE CASE o_orderkey%4 WHEN 0 THEN 'New C' WHEN 1 THEN 'Other' WHEN 2 THEN {_col(_B + '%25')} ELSE 'Col '||CAST(o_orderkey AS STRING) END END AS after
+FROM (SELECT *, CASE WHEN o_orderkey%10<4 THEN 'measure' WHEN o_orderkey%10<6 THEN 'table' ELSE 'column' END AS target_type FROM {{orders}}) o"""
 
 #: Parts of project files: names of many kinds, documents with a model, other JSON and text that is none.
 PARTS = """SELECT CAST(floor(c_custkey/5.0) AS BIGINT) AS file, c_custkey%5 AS place,

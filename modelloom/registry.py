@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text
-from .operators import attribution, duplicates, edits, graph, lineage, model_rules, quality, search
+from .operators import attribution, duplicates, edits, graph, lineage, model_rules, quality, replay, search
 from .operators.model_rules import Views
 from .operators.rules import QA, SQL, Rule, findings, sql_rewrites
 from .operators.scoring import category_scores
@@ -431,6 +431,26 @@ def latest_changes(v):
     return edits.latest_per_target(v)
 
 
+@query(f"SELECT * FROM {replay.CHANGES_SQL}")
+def replayed_changes(v):
+    return replay.Replay(v).changes()
+
+
+@query(f"SELECT * FROM {replay.EXPRESSIONS_SQL}")
+def replayed_expressions(v):
+    return replay.Replay(v).expressions()
+
+
+@query(f"SELECT * FROM {replay.BINDINGS_SQL}")
+def replayed_bindings(v):
+    return replay.Replay(v).bindings()
+
+
+@query(f"SELECT * FROM {replay.ENDS_SQL}")
+def replayed_relation_ends(v):
+    return replay.Replay(v).relation_ends()
+
+
 def _exported(v: Views, name: str) -> DataFrame:
     """A frame as a faulty export would hold it: rows lost, changed and added."""
     rows = v.get(name).where("ord % 17 <> 0")
