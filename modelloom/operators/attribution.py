@@ -114,14 +114,6 @@ def excluded_visuals(v: Views) -> DataFrame:
     return left.groupBy("page", "type").agg(F.count(F.lit(1)).alias("n"))
 
 
-def related_kpis(v: Views) -> DataFrame:
-    """(a, b, shared): pairs of KPI measures on one page of which one calls the other, told once each."""
-    on_page = v.get("dv_refs").where("kind = 'measure'").select("page", "field").distinct()
-    calls = v.calls().select(F.col("name").alias("x"), F.col("ref").alias("y"))
-    pairs = calls.join(on_page.withColumnRenamed("field", "x"), "x").join(on_page.withColumnRenamed("field", "y"), ["page", "y"])
-    return pairs.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.count_distinct("page").alias("pages"))
-
-
 # --- the same for DuckDB --------------------------------------------------------
 
 _RAW_CALLS = r"(SELECT DISTINCT name, ref FROM (SELECT name, unnest(regexp_extract_all(expression, '(^|[^\w\x27\]])\[([^\]\r\n]+)\]', 2)) AS ref FROM m) WHERE ref IN (SELECT name FROM m))"

@@ -83,10 +83,18 @@ def closing_edges(edges: DataFrame) -> DataFrame:
     return edges.join(reduce(DataFrame.union, chosen), "ord", "left_anti") if chosen else edges
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, reached): both directions of `edges` (a, b), closed."""
-    both = edges.select(F.col("a").alias("name"), F.col("b").alias("ref")).union(edges.select("b", "a"))
-    return closure(both)
+def reach(roots: DataFrame, edges: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(node): `roots` (node), all that they reach along `edges` (src, dst), and `known`, which no way leads through.
+
+    Each round writes its own new nodes only; they are compared with all rounds before. Sets of nodes, not pairs."""
+    edges = staged(edges.select("src", "dst").distinct(), "edges")
+    fresh = staged(roots.select("node").distinct(), "nodes")
+    found = [known.select("node"), fresh] if known is not None else [fresh]
+    while not fresh.isEmpty():
+        step = fresh.join(edges, fresh["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct()
+        fresh = staged(step.join(reduce(DataFrame.union, found), "node", "left_anti"), "nodes")
+        found.append(fresh)
+    return reduce(DataFrame.union, found).distinct()
 
 
 # --- the same for DuckDB: r (name, ref) and m (measures), rel (relations) -----------

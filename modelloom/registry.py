@@ -323,22 +323,27 @@ def excluded_visuals(v):
     return attribution.excluded_visuals(v)
 
 
-@query(f"SELECT least(name, ref) AS a, greatest(name, ref) AS b, count(DISTINCT x.page) AS pages FROM {graph.CALLS_SQL} c JOIN rf x ON x.field = c.name AND x.kind = 'measure' JOIN rf y ON y.field = c.ref AND y.kind = 'measure' AND y.page = x.page GROUP BY 1, 2")
+@query(f"SELECT src AS a, dst AS b, about FROM {lineage.EDGES_SQL} WHERE kind = 'related'")
 def related_kpis(v):
-    return attribution.related_kpis(v)
+    return lineage.edges(v).where("kind = 'related'").select(F.col("src").alias("a"), F.col("dst").alias("b"), "about")
 
 
-@query(f"SELECT src, dst, kind FROM {lineage.EDGES_SQL}")
+@query(f"SELECT src, dst, kind, about FROM {lineage.EDGES_SQL}")
 def lineage_edges(v):
     return lineage.edges(v)
 
 
-@query(lineage.PAGE_SQL)
+@query(f"SELECT src, dst, kind, about FROM {lineage.edges_sql('s0_3')}")
 def lineage_of_a_page(v):
-    return lineage.below(lineage.edges(v), "page:s0_3")
+    return lineage.edges(v, "s0_3")
 
 
-@query("SELECT kind, count(*) AS n FROM (SELECT DISTINCT split_part(x, ':', 1) AS kind, x FROM (SELECT src AS x FROM " + lineage.EDGES_SQL + " UNION ALL SELECT dst FROM " + lineage.EDGES_SQL + ")) GROUP BY kind")
+@query(f"SELECT node FROM {lineage.connected_sql('measure:Measures[MSR_000028]')}")
+def lineage_of_a_measure(v):
+    return lineage.connected(lineage.edges(v), "measure:Measures[MSR_000028]")
+
+
+@query(f"SELECT kind, count(*) AS n FROM (SELECT DISTINCT split_part(x, ':', 1) AS kind, x FROM (SELECT src AS x FROM {lineage.EDGES_SQL} UNION ALL SELECT dst FROM {lineage.EDGES_SQL})) GROUP BY kind")
 def lineage_nodes(v):
     return lineage.node_counts(lineage.edges(v))
 
