@@ -78,31 +78,31 @@ SQL = [
 ]
 
 
-def _replaced(pattern: str, by: Column) -> Column:
-    """The statement with its first part at which `pattern` matches the masked text replaced: both texts have the same offsets."""
-    before = F.length(F.regexp_extract("masked", rf"(?i)^(?s:.*?)(?={pattern})", 0))
-    found = F.length(F.regexp_extract("masked", f"(?i){pattern}", 0))
-    return F.concat(F.substring("statement", F.lit(1), before), by, F.substring("statement", before + found + 1, F.length("statement")))
+def _replaced(before: str, what: str, by: Column) -> Column:
+    """The statement with `what`, where it first stands behind `before` in the masked text, replaced: both texts have the same offsets, so
+    comments and strings neither match nor change."""
+    at = F.length(F.regexp_extract("masked", rf"(?i)^(?s:.*?){before}(?={what})", 0))
+    size = F.length(F.regexp_extract(F.substring("masked", at + 1, F.length("masked")), rf"(?i)^{what}", 0))
+    return F.concat(F.substring("statement", F.lit(1), at), by, F.substring("statement", at + size + 1, F.length("statement")))
 
 
 def _star_listed() -> Column:
     """The star as the loaded columns, if it is the only one and they are known."""
-    head = F.regexp_extract("statement", f"(?i)({LIST_HEAD})\\*", 1)
     names = F.array_join(F.transform("loaded", lambda c: text.quoted_identifier(c, _spoken())), ", ")
     stars = F.regexp_count("masked", F.lit(r"(?<![A-Za-z0-9_.])\*(?![A-Za-z0-9_])"))
-    return F.when((stars == 1) & (F.size("loaded") > 0), _replaced(LIST_HEAD + r"\*", F.concat(head, names)))
+    return F.when((stars == 1) & (F.size("loaded") > 0), _replaced(LIST_HEAD, r"\*", names))
 
 
 def _year_range() -> Column:
     column, year = (F.regexp_extract("masked", f"(?i){YEAR}", i) for i in (1, 2))
-    return _replaced(YEAR, F.concat(column, F.lit(" >= '"), year, F.lit("-01-01' AND "), column, F.lit(" < '"), (year.cast("int") + 1).cast("string"), F.lit("-01-01'")))
+    return _replaced("", YEAR, F.concat(column, F.lit(" >= '"), year, F.lit("-01-01' AND "), column, F.lit(" < '"), (year.cast("int") + 1).cast("string"), F.lit("-01-01'")))
 
 
 REWRITES = {
     "SQL-SELECT-STAR": ("high", _star_listed),
     "SQL-ORDER-BY": ("high", lambda: F.regexp_replace(F.substring("statement", F.lit(1), F.length("masked") - F.length(_sorted())), r"\s+\z", "")),
     "SQL-NON-SARGABLE-YEAR": ("medium", _year_range),
-    "SQL-REDUNDANT-DISTINCT": ("high", lambda: _replaced(r"(?<=\bSELECT\s{1,99})DISTINCT\s+", F.lit(""))),
+    "SQL-REDUNDANT-DISTINCT": ("high", lambda: _replaced(r"\bSELECT\s+", r"DISTINCT\s+", F.lit(""))),
 }
 
 

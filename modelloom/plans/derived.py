@@ -53,7 +53,7 @@ UNION ALL SELECT 10000000+r_regionkey AS ord, 'empty_'||CAST(r_regionkey AS STRI
 _FROM = "FROM dbo.Orders"
 STATEMENTS = f"""SELECT s_suppkey AS ord, CASE s_suppkey%6 WHEN 0 THEN 'Sql.Database' WHEN 1 THEN 'Snowflake.Databases' WHEN 2 THEN 'PostgreSQL.Database' WHEN 3 THEN 'Sql.Databases' WHEN 4 THEN 'GoogleBigQuery.Database' ELSE 'Odbc.Query' END AS connector,
   CASE WHEN s_suppkey%3=0 THEN 'Id,Net Amount' ELSE '' END AS loaded,
-  CASE s_suppkey%23 WHEN 0 THEN 'SELECT * {_FROM} WHERE a > 1' WHEN 1 THEN 'SELECT a, b {_FROM} WHERE a > 1 ORDER BY b'
+  CASE s_suppkey%25 WHEN 0 THEN 'SELECT * {_FROM} WHERE a > 1' WHEN 1 THEN 'SELECT a, b {_FROM} WHERE a > 1 ORDER BY b'
    WHEN 2 THEN 'SELECT a {_FROM} WHERE YEAR(OrderDate) = 2024 AND b = 1' WHEN 3 THEN 'SELECT a {_FROM} WHERE UPPER(name) = ''X''' WHEN 4 THEN 'SELECT a {_FROM} WHERE name LIKE''%x'''
    WHEN 5 THEN 'SELECT DISTINCT a {_FROM} WHERE a > 1 GROUP BY a' WHEN 6 THEN 'SELECT a {_FROM} -- WHERE a > 1' WHEN 7 THEN 'SELECT a {_FROM} WHERE code = ''42'''
    WHEN 8 THEN 'SELECT a {_FROM} WHERE a IN (SELECT b FROM dbo.Other)'
@@ -63,6 +63,7 @@ STATEMENTS = f"""SELECT s_suppkey AS ord, CASE s_suppkey%6 WHEN 0 THEN 'Sql.Data
    WHEN 15 THEN 'SELECT count(DISTINCT a) {_FROM} WHERE a > 1 GROUP BY b' WHEN 16 THEN 'SELECT a FROM (SELECT a, row_number ( ) OVER (ORDER BY b) AS n {_FROM}) q ORDER BY a'
    WHEN 17 THEN 'SELECT a {_FROM} WHERE year ( t.Day )=20245 OR YEAR(f(x)) = 2024' WHEN 18 THEN 'SELECT a, top {_FROM}' WHEN 19 THEN 'select distinct top 5 *, b {_FROM} where [code] = ''7'' OR x.code=''8'''
    WHEN 20 THEN 'SELECT a, (SELECT max(b) FROM c ORDER BY 1) {_FROM} WHERE a > 1 ORDER BY a' WHEN 21 THEN 'SELECT a {_FROM} WHERE Year( Day ) = 1999'
+   WHEN 22 THEN 'SELECT'||repeat(' ',120)||'DISTINCT a {_FROM} /* SELECT DISTINCT a */ WHERE a > 1 GROUP BY a' WHEN 23 THEN '/* SELECT DISTINCT * */ SELECT * {_FROM} WHERE a > 1'
    ELSE 'SELECT a {_FROM} WHERE a > 1 AND note = ''SELECT * ORDER BY --''' END AS statement FROM {{supplier}}"""
 
 RELATIONS = """SELECT n_nationkey AS ord, 'T'||CAST(n_nationkey AS STRING) AS a, 'T'||CAST((n_nationkey*7+3)%25 AS STRING) AS b, CASE WHEN n_nationkey%3=0 THEN 'Other' ELSE 'Key' END AS column_a,
@@ -103,7 +104,7 @@ PARTS = """SELECT CAST(floor(c_custkey/5.0) AS BIGINT) AS file, c_custkey%5 AS p
   CASE c_custkey%5 WHEN 0 THEN 'Version' WHEN 1 THEN CASE CAST(floor(c_custkey/5.0) AS BIGINT)%6 WHEN 0 THEN 'DataModelSchema' WHEN 1 THEN '/datamodelschema' WHEN 2 THEN 'Sales.SemanticModel/model.bim' WHEN 3 THEN 'Sales.SemanticModel/definition/t.tmdl' WHEN 4 THEN 'DataModel' ELSE 'other.txt' END
    WHEN 2 THEN CASE WHEN c_custkey%4=0 THEN 'Report/layout' WHEN c_custkey%4=1 THEN 'Sales.Report/report.json' ELSE 'Report/Layout' END WHEN 3 THEN CASE WHEN c_custkey%7=0 THEN 'report.json' ELSE 'Settings' END ELSE CASE WHEN c_custkey%9=0 THEN 'DataModel' ELSE 'Metadata' END END AS part,
   CASE WHEN c_custkey%5=1 AND c_custkey%4=0 THEN '{{"tables":[{{"name":"T'||CAST(c_custkey AS STRING)||'","columns":[{{"name":"Key","dataType":"int64","isKey":true}},{{"name":"X"}}],"measures":[{{"name":"M","expression":["SUM (","  Über )"]}}]}}]}}'
-   WHEN c_custkey%5=1 THEN '{{"model":{{"culture":"en","tables":[{{"name":"A","columns":[{{"name":"C'||CAST(c_custkey%3 AS STRING)||'","dataType":"string"}}],"measures":[{{"name":"N'||CAST(c_custkey AS STRING)||'","expression":"1 + 2","isHidden":true}},{{"name":"O","expression":"[N]","formatString":"0"}}]}},{{"name":"B","isHidden":true,"columns":[]}}]}}}}'
+   WHEN c_custkey%5=1 THEN '{{"model":{{"culture":"en","tables":[{{"name":"A","columns":[{{"name":"C'||CAST(c_custkey%3 AS STRING)||'","dataType":"string"}}],"measures":[{{"name":"N'||CAST(c_custkey AS STRING)||'","expression":"1 + 2","isHidden":true}},{{"name":"O","expression":"'||CASE WHEN c_custkey%3=0 THEN '[2024]' ELSE '[N]' END||'","formatString":"0"}}]}},{{"name":"B","isHidden":true,"columns":[]}}]}}}}'
    WHEN c_custkey%5=0 THEN 'v1.'||CAST(c_custkey AS STRING)||' {{' WHEN c_custkey%5=2 THEN '{{"sections":[{{"name":"p'||CAST(c_custkey AS STRING)||'"}}]}}' ELSE '{{"a":'||CAST(c_custkey AS STRING)||'}}' END AS doc FROM {customer}"""
 
 VIEWS = {

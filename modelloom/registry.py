@@ -200,14 +200,16 @@ for _name, _f in model_rules.RULES.items():
     QUERIES[_name] = (lambda f: lambda spark, sf_dir: f(Views(spark, sf_dir)))(_f)
     ORACLE_SQL[_name] = _with(model_rules.SQL[_name])
 
+_HEAD = r"regexp_extract(masked, '(?is)^(.*?\bSELECT\s+(?:DISTINCT\s+)?(?:TOP\s*\(?\s*\d+\s*\)?\s+)?)\*', 1)"
+_DISTINCT = r"regexp_extract(masked, '(?is)^(.*?\bSELECT\s+)(DISTINCT\s+)', {0})".format
 _quoted_names = "CASE WHEN connector IN ('Sql.Database', 'Sql.Databases') THEN 'Id, [Net Amount]' ELSE 'Id, \"Net Amount\"' END"
 
 
 @query(rf"""SELECT CAST(ord AS VARCHAR) AS target, rule_id, confidence, suggested FROM (
-SELECT ord, 'SQL-SELECT-STAR' AS rule_id, 'high' AS confidence, regexp_replace(statement, '(?i)(\bSELECT\s+(?:DISTINCT\s+)?(?:TOP\s*\(?\s*\d+\s*\)?\s+)?)\*', '\1' || {_quoted_names}) AS suggested FROM s WHERE {_SQL['SQL-SELECT-STAR']} AND loaded <> '' AND len(regexp_extract_all(masked, '\*')) = 1
+SELECT ord, 'SQL-SELECT-STAR' AS rule_id, 'high' AS confidence, statement[:length({_HEAD})] || {_quoted_names} || statement[length({_HEAD}) + 2:] AS suggested FROM s WHERE {_SQL['SQL-SELECT-STAR']} AND loaded <> '' AND len(regexp_extract_all(masked, '\*')) = 1
 UNION ALL SELECT ord, 'SQL-ORDER-BY', 'high', rtrim(statement[:length(statement) - length({_AFTER})]) FROM s WHERE {_SQL['SQL-ORDER-BY']}
 UNION ALL SELECT ord, 'SQL-NON-SARGABLE-YEAR', 'medium', regexp_replace(statement, '(?i){_YEAR}', '\1 >= ''\2-01-01'' AND \1 < ''' || CAST(CAST(regexp_extract(masked, '(?i){_YEAR}', 2) AS INT) + 1 AS VARCHAR) || '-01-01''') FROM s WHERE {_SQL['SQL-NON-SARGABLE-YEAR']}
-UNION ALL SELECT ord, 'SQL-REDUNDANT-DISTINCT', 'high', regexp_replace(statement, '(?i)(\bSELECT\s+)DISTINCT\s+', '\1') FROM s WHERE {_SQL['SQL-REDUNDANT-DISTINCT']})""")
+UNION ALL SELECT ord, 'SQL-REDUNDANT-DISTINCT', 'high', statement[:length({_DISTINCT(1)})] || statement[length({_DISTINCT(1)}) + length({_DISTINCT(2)}) + 1:] FROM s WHERE {_SQL['SQL-REDUNDANT-DISTINCT']})""")
 def sql_rewritten(v):
     rows = statements(v).withColumns({"key": F.col("ord").cast("string"), "loaded": F.filter(F.split("loaded", ","), lambda x: x != "")})
     return sql_rewrites(rows, "key")
@@ -556,7 +558,10 @@ def parse_columns(v):
     return parts.columns(parts.models(parts.decoded(_parts(v)))).drop("ord")
 
 
-@query(f"SELECT kind, property, count(*) AS n FROM (SELECT 'table' AS kind, unnest(json_keys(t)) AS property FROM {_MODELS} UNION ALL SELECT 'column', unnest(json_keys(x)) FROM (SELECT unnest(CAST(json_extract(t, '$.columns') AS JSON[])) AS x FROM {_MODELS}) UNION ALL SELECT 'measure', unnest(json_keys(x)) FROM (SELECT unnest(CAST(json_extract(t, '$.measures') AS JSON[])) AS x FROM {_MODELS})) GROUP BY kind, property")
+_WHOLE = "(SELECT unnest(CAST(json_extract(doc, '$.model.tables') AS JSON[])) AS t FROM pa WHERE json_valid(doc))"
+
+
+@query(f"SELECT kind, property, count(*) AS n FROM (SELECT 'table' AS kind, unnest(json_keys(t)) AS property FROM {_WHOLE} UNION ALL SELECT 'column', unnest(json_keys(x)) FROM (SELECT unnest(CAST(json_extract(t, '$.columns') AS JSON[])) AS x FROM {_WHOLE}) UNION ALL SELECT 'measure', unnest(json_keys(x)) FROM (SELECT unnest(CAST(json_extract(t, '$.measures') AS JSON[])) AS x FROM {_WHOLE})) GROUP BY kind, property")
 def model_coverage(v):
     return parts.coverage(parts.decoded(_parts(v)))
 

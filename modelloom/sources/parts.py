@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: What a model document is read into; whatever else it holds is ignored.
-MODEL = "struct<tables: array<struct<name: string, columns: array<struct<name: string, dataType: string, type: string>>, measures: array<struct<name: string, expression: string, formatString: string, isHidden: boolean>>>>>"
+MODEL = "struct<tables: array<struct<name: string, columns: array<struct<name: string, dataType: string, type: string>>, measures: array<struct<name: string, expression: variant, formatString: string, isHidden: boolean>>>>>"
 
 
 def canonical(part: Column) -> Column:
@@ -55,9 +55,9 @@ def models(parts: DataFrame) -> DataFrame:
 
 
 def joined_expression(value: Column) -> Column:
-    """A string as it is; a list as its strings joined by line ends, null if empty."""
-    lines = F.from_json(value, "array<string>")
-    return F.when(value.startswith("[") & lines.isNotNull(), F.nullif(F.array_join(lines, "\n"), F.lit(""))).otherwise(value)
+    """Of a variant: a string as it is, whatever it looks like; a list as its strings joined by line ends, null if empty."""
+    lines = F.try_variant_get(value, "$", "array<string>")
+    return F.when(F.schema_of_variant(value).startswith("ARRAY"), F.nullif(F.array_join(lines, "\n"), F.lit(""))).otherwise(F.try_variant_get(value, "$", "string"))
 
 
 def measures(found: DataFrame) -> DataFrame:
@@ -89,8 +89,9 @@ def decode_m(text: Column) -> Column:
 
 
 def coverage(parts: DataFrame) -> DataFrame:
-    """(kind, property, n): how often model tables, columns and measures carry each property, from decoded parts, as variants."""
-    tables = parts.select(F.try_parse_json("text").alias("v")).select(F.coalesce(F.try_variant_get("v", "$.model.tables", "array<variant>"), F.try_variant_get("v", "$.tables", "array<variant>")).alias("t")).select(F.explode("t").alias("t"))
+    """(kind, property, n): how often model tables, columns and measures carry each property, from decoded parts, as variants; documents that are
+    a model by themselves are not counted."""
+    tables = parts.select(F.try_parse_json("text").alias("v")).select(F.try_variant_get("v", "$.model.tables", "array<variant>").alias("t")).select(F.explode("t").alias("t"))
     of = lambda name: tables.select(F.explode(F.try_variant_get("t", f"$.{name}", "array<variant>")).alias("t")).select(F.lit(name[:-1]).alias("kind"), "t")
     every = tables.select(F.lit("table").alias("kind"), "t").union(of("columns")).union(of("measures"))
     return every.select("kind", F.explode(F.json_object_keys(F.to_json("t"))).alias("property")).groupBy("kind", "property").agg(F.count(F.lit(1)).alias("n"))
