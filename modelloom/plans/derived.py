@@ -79,11 +79,15 @@ UNION ALL SELECT 500000+s_suppkey AS ord, {_TABLE} AS tbl, 'Other' AS name, CASE
 UNION ALL SELECT 1000000+p.p_partkey*100+c.p_partkey AS ord, {_fact('p.p_partkey-1')} AS tbl, {_col('c.p_partkey-1')} AS name, 'decimal' AS data_type, 'data' AS kind, NULL AS cardinality
   FROM (SELECT p_partkey FROM {{part}} WHERE p_partkey<=30) p CROSS JOIN (SELECT p_partkey FROM {{part}} WHERE p_partkey<=24) c"""
 
-#: A table's partitions: native statements, some of them the same source in another layout.
-PARTITIONS = f"""SELECT s_suppkey AS ord, {_TABLE} AS tbl, 'p'||CAST(s_suppkey AS STRING) AS name, CASE WHEN s_suppkey%13=4 THEN 'calculated' ELSE 'm' END AS source_type,
-  CASE s_suppkey%3 WHEN 0 THEN 'Sql.Database' WHEN 1 THEN 'PostgreSQL.Database' ELSE 'Odbc.DataSource' END AS connector, 'Srv'||CAST(s_suppkey%2 AS STRING) AS server, 'Db' AS db,
-  CASE WHEN s_suppkey%5=4 THEN NULL ELSE 'dbo.Obj'||CAST(s_suppkey%7 AS STRING) END AS object,
-  CASE WHEN s_suppkey%11=0 THEN 'select  A,B from [dbo].x' WHEN s_suppkey%6=0 THEN 'SELECT DISTINCT A FROM x' WHEN s_suppkey%4=0 THEN 'SELECT A, C FROM x WHERE  A > 1' WHEN s_suppkey%9=0 THEN 'SELECT A, sum(B) FROM x GROUP BY A' WHEN s_suppkey%10=7 THEN 'SELECT * FROM x JOIN y ON 1=1' ELSE 'SELECT A, B, D FROM x' END AS statement FROM {{supplier}}"""
+#: A table's partitions: native statements and folded sources, with their steps; tables whose numbers differ by 42 read one object.
+_OBJ = "CASE WHEN c=6 THEN 'dbo.T6' ELSE 'dbo.Obj'||CAST(c AS STRING) END"
+PARTITIONS = f"""SELECT s_suppkey AS ord, {_TABLE} AS tbl, 'p'||CAST(s_suppkey AS STRING) AS name, CASE WHEN s_suppkey%53=4 THEN 'calculated' ELSE 'm' END AS source_type,
+  CASE WHEN c%5<2 THEN 'Sql.Database' WHEN c%5<4 THEN 'PostgreSQL.Database' ELSE 'Odbc.DataSource' END AS connector, 'Srv'||CAST(c%2 AS STRING) AS server, 'Db' AS db, CASE WHEN c%10=9 THEN NULL ELSE {_OBJ} END AS object,
+  CASE WHEN c%7=5 AND k%2=1 THEN 'let s = Source, t = Table.SelectRows(s, each true), u = Table.TransformColumnTypes(t, x) in Table.Distinct(u)' ELSE 'let s = Source in Table.TransformColumnTypes(s, x)' END AS script,
+  CASE WHEN c%7=1 AND k%2=1 THEN 'SELECT [A], t.D FROM '||{_OBJ} WHEN c%7=1 THEN 'select distinct top (5) A, coalesce(B, 0), "C" from '||{_OBJ} WHEN c%7=2 AND k%2=1 THEN 'SELECT A FROM '||{_OBJ}||' WHERE  A > 1 /* B */ ORDER BY A'
+   WHEN c%7=2 THEN 'SELECT A FROM '||{_OBJ}||' -- WHERE a' WHEN c%7=3 AND k%2=1 THEN 'SELECT A, sum(B) FROM '||{_OBJ}||' GROUP BY A' WHEN c%7=3 THEN 'SELECT DISTINCT A FROM '||{_OBJ} WHEN c%7=4 THEN 'SELECT * FROM '||{_OBJ}
+   WHEN c%13=11 THEN 'SELECT A FROM '||{_OBJ}||' o JOIN y ON 1=1' WHEN c%13=12 THEN 'SELECT A FROM [dbo].x' WHEN k%2=1 THEN 'SELECT B, a FROM '||{_OBJ}||' WHERE x = ''WHERE'' ' ELSE 'SELECT A, B FROM '||{_OBJ}||' WHERE X = ''other'' ' END AS statement
+FROM (SELECT *, s_suppkey%42 AS c, CAST(floor(s_suppkey/42.0) AS BIGINT) AS k FROM {{supplier}}) x"""
 
 #: Edits, a session (file) for each customer: renames that meet each other, moves of measures and descriptions.
 _B = "o_custkey%300"

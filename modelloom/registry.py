@@ -418,9 +418,9 @@ def inbox_counts(v):
 # --- duplicates, edits, audits, versions ------------------------------------------------------
 
 
-@query(f"SELECT * FROM {duplicates.GROUPS_SQL}")
+@query(f"SELECT * FROM {duplicates.GROUPS_SQL}".replace("{crefs}", model_rules._CREFS))
 def duplicate_sources(v):
-    return duplicates.duplicate_groups(v.get("dv_partitions"))
+    return duplicates.duplicate_groups(v)
 
 
 @query("SELECT change_id, 'measure' AS clash FROM ch WHERE field = 'name' AND target_type = 'measure' AND EXISTS (SELECT 1 FROM m WHERE m.name = ch.after AND NOT (m.name = ch.name AND m.tbl = ch.tbl)) UNION ALL SELECT change_id, 'table' FROM ch WHERE field = 'name' AND target_type = 'table' AND after IN (SELECT name FROM tab) UNION ALL SELECT change_id, 'column' FROM ch WHERE field = 'name' AND target_type = 'column' AND EXISTS (SELECT 1 FROM col WHERE col.tbl = ch.tbl AND col.name = ch.after)")

@@ -127,10 +127,27 @@ def test_captions(spark):
 
 
 def test_duplicate_sources(spark):
-    rows = [(1, "A", "m", "dbo.Orders", "SELECT x, y FROM o"), (2, "Orders", "m", "dbo.Orders", "select X,  o.Y from o"), (3, "B", "m", "dbo.Orders", "SELECT x, z FROM o WHERE  a = 1"), (4, "C", "m", "dbo.orders", "SELECT x FROM o where a  = 1"), (5, "D", "calculated", "dbo.Orders", "SELECT x FROM o"), (6, "E", "m", None, "SELECT x FROM o"), (7, "F", "m", "dbo.Z", "SELECT * FROM o"), (8, "G", "m", "dbo.Z", "SELECT x FROM o")]
-    frame = spark.createDataFrame([(o, t, s, "Sql.Database", "S", "D", obj, q) for o, t, s, obj, q in rows], "ord long, tbl string, source_type string, connector string, server string, db string, object string, statement string")
-    got = {(r["canonical"], r["verdict"], r["members"], r["columns"]) for r in duplicates.duplicate_groups(frame).collect()}
-    assert got == {("Orders", "exact", 2, 2), ("B", "compatible", 2, 2), ("G", "unsafe", 2, 1)}
+    plain, sorts = "let s = Source in Table.TransformColumnTypes(s, x)", "let s = Source in Table.SelectRows(s, x)"
+    rows = [
+        ("A", "m", "SELECT x, y FROM dbo.Orders", plain), ("Orders", "m", "select Y,  o.X from dbo.orders", plain),
+        ("B", "m", "SELECT x, coalesce(z, 0), [w] FROM dbo.Two WHERE  a = 1 ORDER BY x", plain), ("C", "m", "SELECT TOP 5 X FROM dbo.Two where a  = 1 -- WHERE", plain), ("D", "calculated", "SELECT x FROM dbo.Two", plain),
+        ("E", "m", "SELECT * FROM Stars", plain), ("F", "m", "SELECT DISTINCT * FROM Stars", plain), ("G", "m", "SELECT * FROM stars", plain), ("H", "m", "SELECT * FROM Stars WHERE q = 1", sorts),
+        ("I", "m", "SELECT a FROM Joined JOIN b ON 1=1", plain), ("J", "m", "SELECT a FROM Joined JOIN b ON 1=1", plain), ("K", "m", "SELECT a FROM Alone", plain), ("L", "m", "SELECT a FROM [br].x", plain), ("M", "m", "SELECT a FROM [br].x", plain),
+    ]
+    frames = {
+        "dv_partitions": spark.createDataFrame([(i, t, k, "Sql.Database", "S", "D", None, q, m) for i, (t, k, q, m) in enumerate(rows)], "ord long, tbl string, source_type string, connector string, server string, db string, object string, statement string, script string"),
+        "dv_columns": spark.createDataFrame([(1, "A", "x")], "ord long, tbl string, name string"), "dv_relations": spark.createDataFrame([(1, "A", "B"), (2, "C", "C"), (3, "H", "A")], "ord long, a string, b string"),
+        "dv_refs": spark.createDataFrame([("p1", "A"), ("p2", "Orders"), ("p2", "A"), ("p3", "K")], "page string, tbl string"),
+        "dv_measures": _measures(spark, [("m1", "SUM ( A[x] ) + A[y]"), ("m2", "COUNTROWS ( A )"), ("m3", "SUM ( Orders[x] ) -- A[x]")]),
+    }
+    got = {(r["verdict"], r["members"]): r for r in duplicates.duplicate_groups(Fixture(frames)).collect()}
+    assert set(got) == {("exact", "A,Orders"), ("compatible", "B,C"), ("exact", "E,G"), ("unsafe", "E,F,G,H")}
+    told = lambda key, *names: tuple(got[key][n] for n in names)
+    counts = ("measures", "pages", "relations", "removable")
+    assert told(("exact", "A,Orders"), "canonical", "statement", *counts) == ("Orders", "SELECT x, y FROM dbo.Orders", 1, 2, 2, 1)
+    assert told(("compatible", "B,C"), "canonical", "statement", *counts) == ("B", "SELECT x, coalesce(z, 0), w FROM dbo.Two", 0, 0, 1, 1)
+    assert told(("exact", "E,G"), "canonical", "statement", "removable") == ("E", None, 1)
+    assert told(("unsafe", "E,F,G,H"), "canonical", "blockers", "statement", *counts) == ("E", "filter,grain,steps", None, 0, 0, 0, 0)
 
 
 def test_rules_skipped_and_inbox(spark):
