@@ -149,9 +149,11 @@ def _clusters(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
 
 
 def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, total: int = TOTAL) -> Model | None:
-    """A model from `labelled` (doc_id, text, lang); None without a labelled text that has a letter."""
-    rows = only(labelled, doc_id="bigint", text="string", lang="string").where("lang IS NOT NULL AND doc_id IS NOT NULL")
-    place = F.xxhash64("doc_id", F.lit(6)).bitwiseAND(F.lit((1 << 52) - 1)) / float(1 << 52)
+    """A model from `labelled` (doc_id, text, lang); None without a labelled text that has a letter.
+
+    Rows are drawn by a hash of id and text, so rows that share an id are drawn apart; rows that share both count once."""
+    rows = only(labelled, doc_id="bigint", text="string", lang="string").where("lang IS NOT NULL").withColumn("of_text", F.xxhash64("text"))
+    place = F.xxhash64("doc_id", "of_text", F.lit(6)).bitwiseAND(F.lit((1 << 52) - 1)) / float(1 << 52)
     counts = {r["lang"]: r for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).collect()}
     if not counts:
         return None
@@ -159,8 +161,8 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, total: int = TOTA
     # rows under a bound of their hash: no order over all rows; about `want` a language, its first row by hash at least
     share = F.create_map(*(F.lit(x) for lang, r in counts.items() for x in (lang, max(r["first"], min(1.0, want / r["n"])))))
     draw = place <= share[F.col("lang")]
-    drawn = rows.where(draw).select("lang", "doc_id", "text").mapInArrow(_sparse, "lang string, doc_id long, slots binary, counts binary")
-    sample = sorted((r["lang"], r["doc_id"], r["slots"], r["counts"]) for r in drawn.collect())
+    drawn = rows.where(draw).dropDuplicates(["lang", "doc_id", "of_text"]).select("lang", "doc_id", "text").mapInArrow(_sparse, "lang string, doc_id long, slots binary, counts binary")
+    sample = sorted(((r["lang"], r["doc_id"], r["slots"], r["counts"]) for r in drawn.collect()), key=lambda r: (r[0], r[1] is None, r[1] or 0, r[2], r[3]))
     if not sample:
         return None
     counted = np.zeros((len(sample), FEATURES), np.float32)
