@@ -116,7 +116,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """A model from the texts of `docs` (doc_id, text) that `labels` (doc_id, toxic 0/1) marks; of several labels the largest holds.
 
-    About `sample` labelled rows are used, drawn by a hash of doc_id. Without a toxic and a clean text the model finds nothing.
+    About `sample` labelled rows are used, drawn by a hash of doc_id; of texts that share an id the first by its hash. Without a toxic and a clean text the model finds nothing.
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -127,7 +127,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     # about `sample` rows of two numbers: bounded, so it may be broadcast
     texts = staged(only(docs, doc_id="bigint", text="string").join(F.broadcast(drawn), "doc_id").select("doc_id", "toxic", "text"), "labelled")
     one = texts.mapInArrow(_min_hashes, "doc_id long, toxic int, low long").groupBy("low", "toxic").agg(F.min("doc_id").alias("doc_id"))
-    texts = staged(texts.join(F.broadcast(one.select("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "training")
+    texts = staged(texts.join(F.broadcast(one.select("doc_id")), "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct("toxic", "text"), F.struct(F.xxhash64("text"), "text")).alias("t")).select("doc_id", "t.*"), "training")
     sizes = {r["toxic"]: r["n"] for r in texts.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     model = Model()
     if len(sizes) < 2:
