@@ -32,6 +32,8 @@ PAGE_ID, PAYLOAD_LENGTH, REFERS_TO = "X-Page-Id", "X-Payload-Length", "X-Refers-
 RECORD = "record_id string, kind string, uri string, ip string, date string, mime string, page_id long, http binary, payload binary, payload_digest string, payload_bytes long, error string"
 RESULT = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 RECORDS_A_FILE, FILE_BYTES = 5_000, 1 << 30
+#: Lengths up to which records share files; each further class ends at so many times the one before.
+CLASS_BYTES, CLASSES = 1 << 20, 16
 
 
 def arc_archive(name: str, version: int, pages: list[tuple[int | None, str | None, str | None]], date: str = "20240101000000") -> bytes:
@@ -235,12 +237,15 @@ def convert(archives: DataFrame, path: str, least: int = 0) -> None:
     Of records with equal payloads of at least `least` bytes, that with the largest page_id is a response and the others
     revisit it; rows that repeat both are responses all. Without any page_id among them all are responses. Records without
     HTTP headers become resources; bytes that can't be read are told by `arc_table` and not written. Archives are parsed
-    twice, so that payloads need no shuffle unless very many repeat. Files hold so many records that they stay under
-    FILE_BYTES even if all were as long as the longest, for a file is read as one value. An empty table gives an empty file set.
+    again for each class of lengths (to 1 MB, 16 MB, ...), so that payloads need no shuffle unless very many repeat. Files hold
+    so many records of one class that they stay under FILE_BYTES even if all were as long as its longest, for a file is read as
+    one value; a long record leaves the files of others as they are. An empty table gives an empty file set.
     """
     records = arc_table(archives).where("kind <> 'unreadable'")
     keys = staged(records.select("payload_digest", "payload_bytes", "page_id", "record_id", "uri", "date", "kind"), "keys")
-    longest = keys.agg(F.max("payload_bytes")).first()[0] or 0
+    # a row for each class that there is, a handful
+    place = F.expr(f"CAST(ceil(log({CLASSES}, greatest(1, (payload_bytes + 4096) / {CLASS_BYTES}.0))) AS INT)")
+    classes = {r["place"]: r["longest"] for r in keys.groupBy(place.alias("place")).agg(F.max("payload_bytes").alias("longest")).collect()} or {0: 0}
     several = keys.where(F.col("kind").isin("response", "resource") & (F.col("payload_bytes") >= least)).groupBy("payload_digest")
     many = several.agg(F.max_by(F.struct("record_id", "uri", "date", "page_id"), F.struct("page_id", "record_id")).alias("latest"), F.count(F.lit(1)).alias("n")).where("n > 1 AND latest.page_id IS NOT NULL").drop("n")
     many = bounded(staged(many, "repeated"))
@@ -257,8 +262,9 @@ def convert(archives: DataFrame, path: str, least: int = 0) -> None:
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], schema=schema)
 
     joined = records.join(many, "payload_digest", "left").select(*(x.split()[0] for x in RECORD.split(", ")), "latest")
-    built = joined.mapInArrow(run, "member binary")
-    built.select(F.col("member").cast("string")).write.option("lineSep", "\0").option("maxRecordsPerFile", max(1, min(RECORDS_A_FILE, FILE_BYTES // (longest + 4096)))).text(path)
+    for i, longest in sorted(classes.items()):
+        built = (joined.where(place == i) if len(classes) > 1 else joined).mapInArrow(run, "member binary").select(F.col("member").cast("string"))
+        built.write.mode("append").option("lineSep", "\0").option("maxRecordsPerFile", max(1, min(RECORDS_A_FILE, FILE_BYTES // (longest + 4096)))).text(path)
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
