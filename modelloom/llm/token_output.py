@@ -41,7 +41,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, split: str, end_id:
                 at += int(ends[-1])
 
     parts = partitions(docs)
-    rows = only(docs, doc_id="bigint", text="string").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
+    # ids that very many rows share, null above all, are split by a hash of the text
+    rows = only(docs, doc_id="bigint", text="string").withColumn("tie", F.xxhash64("text")).repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
     out = rows.mapInArrow(lean(run), "part int, doc_id long, start_in_part long, n_tokens long, ids array<int>").write
     options = {"compression": "zstd", "parquet.block.size": row_group, "parquet.page.size": page, "parquet.enable.dictionary": str(encoding == "dictionary").lower()}
     if encoding == "delta":
