@@ -15,12 +15,14 @@ def closure(edges: DataFrame) -> DataFrame:
 
     The frontier is joined with the edges round by round; what is known already is left out, so cycles end too."""
     edges = staged(edges.distinct(), "edges")
-    known = fresh = staged(edges.select("name", F.col("ref").alias("reached")), "reached")
+    fresh = staged(edges.select("name", F.col("ref").alias("reached")), "reached")
+    found = [fresh]
     while not fresh.isEmpty():
         step = fresh.join(edges.select(F.col("name").alias("reached"), "ref"), "reached").select("name", F.col("ref").alias("reached")).distinct()
-        fresh = staged(step.join(known, ["name", "reached"], "left_anti"), "fresh")
-        known = staged(known.union(fresh), "reached")
-    return known
+        # a round writes its own new pairs only
+        fresh = staged(step.join(reduce(DataFrame.union, found), ["name", "reached"], "left_anti"), "reached")
+        found.append(fresh)
+    return reduce(DataFrame.union, found)
 
 
 def depths(calls: DataFrame) -> DataFrame:
@@ -29,14 +31,15 @@ def depths(calls: DataFrame) -> DataFrame:
     Names whose callees all have a depth get theirs, round by round. Those on or before a cycle never do: their simple
     paths are listed, from among them only, and go on into the known depths."""
     calls = staged(calls.distinct(), "calls")
-    known = staged(calls.select(F.col("ref").alias("name")).distinct().join(calls, "name", "left_anti").select("name", F.lit(1).cast("long").alias("depth")), "depths")
+    found = [staged(calls.select(F.col("ref").alias("name")).distinct().join(calls, "name", "left_anti").select("name", F.lit(1).cast("long").alias("depth")), "depths")]
     open_calls = calls
     while True:
+        known = reduce(DataFrame.union, found)
         below = open_calls.join(known.select(F.col("name").alias("ref"), "depth"), "ref", "left").groupBy("name").agg(F.count_if(F.col("depth").isNull()).alias("waits"), (F.max("depth") + 1).alias("depth"))
         fresh = staged(below.where("waits = 0").select("name", "depth"), "fresh")
         if fresh.isEmpty():
             break
-        known = staged(known.union(fresh), "depths")
+        found.append(fresh)
         open_calls = staged(open_calls.join(fresh, "name", "left_anti"), "open")
     if open_calls.isEmpty():
         return known.join(calls.select("name").distinct(), "name", "left_semi")

@@ -6,11 +6,14 @@ and the nesting tables of the registry.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
 from ..plans.derived import view
+from ..plans.stage import staged
 from . import graph
 
 #: Names of tables that the tool makes for dates by itself begin so.
@@ -25,12 +28,30 @@ class Views:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.get = lambda name: view(spark, sf_dir, name)
 
+    #: Frames written once; None where each use makes its frame anew.
+    _kept: dict[str, DataFrame] | None = None
+
+    def once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """The frame that `make` gives; where many rules read it (`shared`), written once."""
+        if self._kept is None:
+            return make()
+        if name not in self._kept:
+            self._kept[name] = staged(make(), name)
+        return self._kept[name]
+
+    def shared(self) -> Views:
+        """These views for a whole catalogue of rules: every frame is derived, masked and cut into references once."""
+        out = Views.__new__(Views)
+        out._kept, get = {}, self.get
+        out.get = lambda name: out.once(name, lambda: get(name))
+        return out
+
     def measures(self) -> DataFrame:
-        masked = self.get("dv_measures").withColumn("masked", text.mask_dax(F.col("expression")))
-        return masked.withColumn("bare", text.blank_names(F.col("masked")))
+        masked = lambda: self.get("dv_measures").withColumn("masked", text.mask_dax(F.col("expression")))
+        return self.once("masked_measures", lambda: masked().withColumn("bare", text.blank_names(F.col("masked"))))
 
     def refs(self) -> DataFrame:
-        return self.measures().select("name", F.explode(text.referenced_measures(F.col("masked"))).alias("ref"))
+        return self.once("refs", lambda: self.measures().select("name", F.explode(text.referenced_measures(F.col("masked"))).alias("ref")))
 
     def calls(self) -> DataFrame:
         """(name, ref): which measure calls which other one that there is, each once."""
@@ -39,7 +60,7 @@ class Views:
 
     def column_refs(self) -> DataFrame:
         """(name, tbl, col): columns that a measure names after their table."""
-        return self.measures().select("name", F.explode(text.referenced_columns(F.col("masked"))).alias("c")).select("name", "c.tbl", F.col("c.name").alias("col"))
+        return self.once("column_refs", lambda: self.measures().select("name", F.explode(text.referenced_columns(F.col("masked"))).alias("c")).select("name", "c.tbl", F.col("c.name").alias("col")))
 
 
 def is_auto(name: str):
@@ -215,6 +236,10 @@ _add("OPT-VIS-REPEATED-MEASURE", "Visual", "medium", "page", lambda v: repeated_
 
 
 def page_complexity(v: Views) -> DataFrame:
+    return v.once("page_complexity", lambda: _page_complexity(v))
+
+
+def _page_complexity(v: Views) -> DataFrame:
     """For every page, hidden ones too, its visuals, slicers, distinct fields, large grids, repeated complex measures, score and band."""
     shown = v.get("dv_visuals").groupBy("page").agg(F.count(F.lit(1)).alias("visuals"), F.count_if(F.col("type") == "slicer").alias("slicers"))
     # fields are told by table and name, a missing table like one without a name

@@ -30,7 +30,8 @@ def _of(name: str) -> tuple[str, str]:
 
 
 def qa_findings(v: Views) -> DataFrame:
-    """The findings of all QA rules: those over one frame in one pass, and those that join or group frames."""
+    """The findings of all QA rules: those over one frame in one pass, and those that join or group frames, which are derived once for all."""
+    v = v.shared()
     hits = findings(v.measures(), QA, "name")
     for name, rule in model_rules.RULES.items():
         if name.startswith("qa_"):
@@ -62,15 +63,21 @@ def severities(hits: DataFrame) -> DataFrame:
     return domain.join(n, "severity", "left").select("severity", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def rules_run(v: Views, capabilities: DataFrame) -> DataFrame:
-    """(category, rules_run, rules_skipped, reason): `capabilities` (capability, available, reason) decides which rules run; the
+def capabilities(found: DataFrame) -> DataFrame:
+    """(file, capability, available, reason) of each file of `found` (file, model_part, layout_part): what its parts let be read."""
+    each = F.array(*(F.struct(F.lit(c).alias("capability"), F.col(part).isNotNull().alias("available"), F.lit(f"No {c} part.").alias("reason")) for c, part in (("model", "model_part"), ("report", "layout_part"))))
+    return found.select("file", F.explode(each).alias("c")).select("file", "c.*")
+
+
+def rules_run(available: DataFrame) -> DataFrame:
+    """(file, category, rules_run, rules_skipped, reason): `available` (file, capability, available, reason) decides which rules run; the
     first lacking capability of a category's first skipped rule gives the reason."""
     needed = [(i, r, c, j, cap) for i, (r, c, caps) in enumerate(catalogue()) for j, cap in enumerate(caps)]
-    rules = v.get("dv_measures").sparkSession.createDataFrame(needed, "place int, rule_id string, category string, need int, capability string")
-    # a row for each rule and capability: a catalogue, so the sides are broadcast
-    lacking = rules.join(F.broadcast(capabilities.where("NOT available")), "capability").groupBy("rule_id").agg(F.min_by("reason", "need").alias("reason"))
-    told = rules.select("place", "rule_id", "category").distinct().join(F.broadcast(lacking), "rule_id", "left")
-    return told.groupBy("category").agg(F.count_if(F.col("reason").isNull()).alias("rules_run"), F.count_if(F.col("reason").isNotNull()).alias("rules_skipped"), F.min_by("reason", F.when(F.col("reason").isNotNull(), F.col("place"))).alias("reason"))
+    # a row for each rule and capability: a catalogue, so the side is broadcast
+    rules = F.broadcast(available.sparkSession.createDataFrame(needed, "place int, rule_id string, category string, need int, capability string"))
+    of_rule = available.join(rules, "capability").groupBy("file", "place", "category").agg(F.min_by("reason", F.when(~F.col("available"), F.col("need"))).alias("reason"))
+    skipped = F.col("reason").isNotNull()
+    return of_rule.groupBy("file", "category").agg(F.count_if(~skipped).alias("rules_run"), F.count_if(skipped).alias("rules_skipped"), F.min_by("reason", F.when(skipped, F.col("place"))).alias("reason"))
 
 
 def populations(v: Views) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .functions import text
 from .operators import attribution, duplicates, edits, graph, lineage, model_rules, quality, replay, search
 from .operators.model_rules import Views
-from .operators.rules import QA, SQL, Rule, findings, sql_rewrites
+from .operators.rules import FUNCTIONS, QA, SQL, Rule, findings, sql_rewrites
 from .operators.scoring import category_scores
 from .plans.derived import duck
 from .sources import parts
@@ -163,7 +163,7 @@ _LIMIT = _has(r"\bTOP\s*\(?\s*\d|\bLIMIT\b|\bFETCH\s+(FIRST|NEXT)|\bOFFSET\b|\bR
 _AFTER = r"regexp_extract(masked, '(?is)\bORDER\s+BY\b.*')"
 _STAR = r"\bSELECT\s+((DISTINCT|TOP\s*\(?\s*\d+\s*\)?)\s+)*\*"
 _YEAR = r"\bYEAR\s*\(\s*([A-Za-z_][\w.]*)\s*\)\s*=\s*(\d{4})\b"
-_COMPARED = r"\b(COALESCE|ISNULL|UPPER|LOWER|LTRIM|RTRIM|TRIM|LEFT|RIGHT|SUBSTRING|CAST|CONVERT|DATEPART|DAY|MONTH)\s*\([^)]*\)\s*(<>|!=|[<>]=?|=|(LIKE|IN)\b)"
+_COMPARED = rf"\b({'|'.join(FUNCTIONS)})\s*\([^)]*\)\s*(<>|!=|[<>]=?|=|(LIKE|IN)\b)"
 _SQL = {
     "SQL-SELECT-STAR": _has(_STAR),
     "SQL-ORDER-BY": f"{_AFTER} <> '' AND NOT contains({_AFTER}, ')') AND NOT {_LIMIT}",
@@ -395,16 +395,6 @@ def dax_score(v):
     return quality.scores(v).where("category = 'DAX'")
 
 
-def _capabilities(v: Views) -> DataFrame:
-    """As of a file whose report can't be read."""
-    return v.get("dv_measures").sparkSession.createDataFrame([("model", True, None), ("report", False, "No report part.")], "capability string, available boolean, reason string")
-
-
-@query("SELECT category, CAST(rules_run AS BIGINT) AS rules_run, CAST(rules_skipped AS BIGINT) AS rules_skipped, reason FROM (VALUES ('DAX', 7, 0, NULL), ('Model', 4, 0, NULL), ('Relationship', 4, 0, NULL), ('Report', 0, 4, 'No report part.'), ('Data', 4, 0, NULL)) x(category, rules_run, rules_skipped, reason)")
-def rules_run_and_skipped(v):
-    return quality.rules_run(v, _capabilities(v))
-
-
 _DECISIONS = "(SELECT finding_id, CASE length(finding_id) % 4 WHEN 0 THEN 'flagged' WHEN 1 THEN 'resolved' ELSE 'ignored' END AS state FROM {0} WHERE length(finding_id) % 4 < 3)".format
 
 
@@ -535,11 +525,22 @@ def _parts(v: Views) -> DataFrame:
     return rows.withColumn("bytes", parts.encoded(F.col("doc"), F.col("place") % 3 == 0, F.col("place") % 2 == 0)).drop("doc")
 
 
-@query("SELECT * FROM (SELECT file, CASE WHEN schema IS NOT NULL THEN 'pbit' WHEN coalesce(bim, tmdl, report) IS NOT NULL THEN 'pbip' WHEN binary_model THEN 'pbix' END AS format, CASE WHEN schema IS NOT NULL THEN schema ELSE bim END AS model_part, CASE WHEN schema IS NULL AND coalesce(bim, tmdl, report) IS NOT NULL THEN report ELSE layout END AS layout_part FROM (SELECT file, arg_min(part, place) FILTER (WHERE lower(ltrim(part, '/')) = 'datamodelschema') AS schema, arg_min(part, place) FILTER (WHERE part = 'model.bim' OR part LIKE '%.SemanticModel/model.bim') AS bim, arg_min(part, place) FILTER (WHERE part LIKE '%.SemanticModel/definition/%.tmdl') AS tmdl, coalesce(arg_min(part, place) FILTER (WHERE part LIKE '%.Report/report.json'), arg_min(part, place) FILTER (WHERE part = 'report.json')) AS report, bool_or(lower(ltrim(part, '/')) = 'datamodel') AS binary_model, arg_min(part, place) FILTER (WHERE lower(ltrim(part, '/')) = 'report/layout') AS layout FROM pa GROUP BY file)) WHERE format IS NOT NULL")
+_FORMATS = "SELECT * FROM (SELECT file, CASE WHEN schema IS NOT NULL THEN 'pbit' WHEN coalesce(bim, tmdl, report) IS NOT NULL THEN 'pbip' WHEN binary_model THEN 'pbix' END AS format, CASE WHEN schema IS NOT NULL THEN schema ELSE bim END AS model_part, CASE WHEN schema IS NULL AND coalesce(bim, tmdl, report) IS NOT NULL THEN report ELSE layout END AS layout_part FROM (SELECT file, arg_min(part, place) FILTER (WHERE lower(ltrim(part, '/')) = 'datamodelschema') AS schema, arg_min(part, place) FILTER (WHERE part = 'model.bim' OR part LIKE '%.SemanticModel/model.bim') AS bim, arg_min(part, place) FILTER (WHERE part LIKE '%.SemanticModel/definition/%.tmdl') AS tmdl, coalesce(arg_min(part, place) FILTER (WHERE part LIKE '%.Report/report.json'), arg_min(part, place) FILTER (WHERE part = 'report.json')) AS report, bool_or(lower(ltrim(part, '/')) = 'datamodel') AS binary_model, arg_min(part, place) FILTER (WHERE lower(ltrim(part, '/')) = 'report/layout') AS layout FROM pa GROUP BY file)) WHERE format IS NOT NULL"
+
+
+@query(_FORMATS)
 def detect_formats(v):
     return parts.detected(_parts(v))
 
 
+_RUN = "CASE WHEN category <> 'Report' THEN CASE WHEN model_part IS NULL THEN 0 ELSE n END WHEN layout_part IS NULL THEN 0 WHEN model_part IS NULL THEN n - 1 ELSE n END"
+
+
+@query(f"SELECT file, category, CAST({_RUN} AS BIGINT) AS rules_run, CAST(n - ({_RUN}) AS BIGINT) AS rules_skipped, CASE WHEN model_part IS NULL THEN 'No model part.' WHEN category = 'Report' AND layout_part IS NULL THEN 'No report part.' END AS reason FROM ({_FORMATS}), (VALUES ('DAX', 7), ('Model', 4), ('Relationship', 4), ('Report', 4), ('Data', 4)) x(category, n)")
+def rules_run_and_skipped(v):
+    return quality.rules_run(quality.capabilities(parts.detected(_parts(v))))
+
+
 @query("SELECT file, part, place, CASE WHEN json_valid(doc) THEN doc END AS text, CASE WHEN json_valid(doc) THEN CASE WHEN place % 3 = 0 THEN 'utf-16le' ELSE 'utf-8' END END AS encoding, CASE WHEN json_valid(doc) THEN place % 2 = 0 END AS bom FROM pa")
 def decode_parts(v):
     return parts.decoded(_parts(v)).drop("bytes")

@@ -151,10 +151,10 @@ def test_duplicate_sources(spark):
 
 
 def test_rules_skipped_and_inbox(spark):
-    views = Fixture({"dv_measures": _measures(spark, [("a", "1")])})
-    none = spark.createDataFrame([("model", False, "No model."), ("report", False, "No report.")], "capability string, available boolean, reason string")
-    got = {r["category"]: (r["rules_run"], r["rules_skipped"], r["reason"]) for r in quality.rules_run(views, none).collect()}
-    assert got["DAX"] == (0, 7, "No model.") and got["Report"] == (0, 4, "No model.")
+    found = spark.createDataFrame([(1, None, None), (2, "m", None), (3, None, "l"), (4, "m", "l")], "file long, model_part string, layout_part string")
+    got = {(r["file"], r["category"]): (r["rules_run"], r["rules_skipped"], r["reason"]) for r in quality.rules_run(quality.capabilities(found)).collect()}
+    assert [got[i, "DAX"] for i in (1, 2, 3, 4)] == [(0, 7, "No model part."), (7, 0, None), (0, 7, "No model part."), (7, 0, None)]
+    assert [got[i, "Report"] for i in (1, 2, 3, 4)] == [(0, 4, "No model part."), (0, 4, "No report part."), (3, 1, "No model part."), (4, 0, None)]
     hits = spark.createDataFrame([("R", "C", "high", "x"), ("R", "C", "high", "x"), ("R", "C", "low", "y")], "rule_id string, category string, severity string, target string")
     told = quality.identified(hits)
     assert sorted(r["finding_id"] for r in told.collect()) == ["R#x#0", "R#x#1", "R#y#0"]
