@@ -12,7 +12,7 @@ from modelloom.sources import parts
 
 SF = "/root/testdata/sf0.001"
 #: Those whose rounds are staged take long and have fixtures below; the rest are compared here.
-STAGED = {"dependency_depth", "call_closure", "opt_dax_long_chain", "lineage_edges", "lineage_nodes", "lineage_of_a_page", "primary_table", "closure_table_counts", "document_sections", "qa_finding_ids", "qa_scores", "dax_score", "qa_top_problems", "severity_histogram", "inbox_counts", "export_regressions"}
+STAGED = {"dependency_depth", "call_closure", "opt_dax_long_chain", "lineage_edges", "lineage_nodes", "lineage_of_a_page", "lineage_of_a_measure", "related_kpis", "replayed_changes", "replayed_expressions", "replayed_bindings", "replayed_relation_ends", "qa_findings", "primary_table", "closure_table_counts", "document_sections", "qa_finding_ids", "qa_scores", "dax_score", "qa_top_problems", "severity_histogram", "inbox_counts", "export_regressions"}
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
