@@ -462,3 +462,25 @@ def test_jaccard_common_shingles_are_counted_and_come_last(spark, monkeypatch):
             assert {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard_components(rows, 5, 80).collect()} == want
     # common shingles left at their place by hash make far longer lists
     assert made[8] * 5 < made[10_000]
+
+
+def test_a_long_record_leaves_other_files_as_they_are(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(arc_warc, "CLASS_BYTES", 10_000)
+    monkeypatch.setattr(arc_warc, "FILE_BYTES", 400_000)
+    pages = [(i, f"http://h/{i}", f"page {i}") for i in range(60)] + [(60, "http://h/60", "x" * 300_000)]
+    archives = arc_warc.pages_to_arc(spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1))
+    path = f"file://{tmp_path}/warc"
+    arc_warc.convert(archives.coalesce(1), path)
+    assert {r.page_id: r.payload_bytes for r in arc_warc.read_warc(spark, path).collect()} == {i: len(h) for i, _, h in pages}
+    assert len([x for x in (tmp_path / "warc").iterdir() if x.name.startswith("part-")]) <= 4
+
+
+def test_languages_of_rows_without_ids_and_with_one(spark):
+    words = {"aa": ["alpha", "banana", "lamina"], "bb": ["xyz", "quz", "zyx"]}
+    r = random.Random(4)
+    texts = [(lang, " ".join(r.choice(w) for _ in range(12))) for lang, w in words.items() for _ in range(120)]
+    for doc_id in (None, 7):
+        labelled = spark.createDataFrame([(doc_id, t, lang, "s", 1, "x") for lang, t in texts], DOCS)
+        model = langid.fit(labelled, per_language=30)
+        got = langid.identify(labelled, model).select("lang_pred").collect()
+        assert sum(g.lang_pred == lang for g, (lang, _) in zip(got, texts, strict=True)) > 220
