@@ -111,10 +111,22 @@ PARTS = """SELECT CAST(floor(c_custkey/5.0) AS BIGINT) AS file, c_custkey%5 AS p
    WHEN c_custkey%5=1 THEN '{{"model":{{"culture":"en","tables":[{{"name":"A","columns":[{{"name":"C'||CAST(c_custkey%3 AS STRING)||'","dataType":"string"}}],"measures":[{{"name":"N'||CAST(c_custkey AS STRING)||'","expression":"1 + 2","isHidden":true}},{{"name":"O","expression":"'||CASE WHEN c_custkey%3=0 THEN '[2024]' ELSE '[N]' END||'","formatString":"0"}}]}},{{"name":"B","isHidden":true,"columns":[]}}]}}}}'
    WHEN c_custkey%5=0 THEN 'v1.'||CAST(c_custkey AS STRING)||' {{' WHEN c_custkey%5=2 THEN '{{"sections":[{{"name":"p'||CAST(c_custkey AS STRING)||'"}}]}}' ELSE '{{"a":'||CAST(c_custkey AS STRING)||'}}' END AS doc FROM {customer}"""
 
+#: The model as a faulty export holds it: rows lost, changed and added, expressions laid out in another way.
+X_TABLES = f"SELECT ord, name, CASE WHEN ord%19=0 THEN 'Changed' ELSE description END AS description, is_hidden FROM ({TABLES}) t WHERE ord%17<>0 UNION ALL SELECT -1, 'Added', 'By hand', false"
+X_COLUMNS = f"SELECT ord, tbl, name, CASE WHEN ord%19=0 THEN 'other' ELSE data_type END AS data_type, kind FROM ({COLUMNS}) t WHERE ord%17<>0"
+X_MEASURES = f"SELECT ord, tbl, name, CASE WHEN ord%19=0 THEN expression||' + 0' ELSE replace(expression, ' ', '   ') END AS expression, format_string FROM ({MEASURES}) t WHERE ord%17<>0 UNION ALL SELECT -1, 'Measures', 'Added', '1', NULL"
+X_RELATIONS = f"SELECT ord, a, b, column_a, column_b, from_many, to_many, both_directions, CASE WHEN ord%19=2 THEN NOT active ELSE active END AS active FROM ({RELATIONS}) t WHERE ord%17<>0"
+X_PARTITIONS = f"SELECT ord, tbl, name, source_type, CASE WHEN ord%19=3 THEN statement||' WHERE 1=0' ELSE statement END AS statement FROM ({PARTITIONS}) t WHERE ord%17<>0"
+X_PAGES = f"SELECT ord, page, CASE WHEN ord%19=1 THEN 'Renamed' ELSE display_name END AS display_name, is_hidden FROM ({PAGES}) t WHERE ord%17<>0"
+X_VISUALS = f"SELECT ord, page, visual_id, CASE WHEN ord%19=4 THEN 'shape' ELSE type END AS type, title FROM ({VISUALS}) t WHERE ord%17<>0"
+X_REFS = f"SELECT ord, page, visual_id, ref_ord, tbl, CASE WHEN ord%19=5 THEN 'Gone' ELSE field END AS field, kind FROM ({REFS}) t WHERE ord%17<>0"
+
 VIEWS = {
     "dv_measures": (MEASURES, ("part",)), "dv_visuals": (VISUALS, ("part", "events")), "dv_refs": (REFS, ("part", "events", "region")), "dv_pages": (PAGES, ("part", "events", "region")),
     "dv_statements": (STATEMENTS, ("supplier",)), "dv_relations": (RELATIONS, ("nation",)), "dv_tables": (TABLES, ("supplier", "part")), "dv_columns": (COLUMNS, ("supplier", "part")),
     "dv_partitions": (PARTITIONS, ("supplier",)), "dv_changes": (CHANGES, ("orders",)), "dv_parts": (PARTS, ("customer",)),
+    "dx_tables": (X_TABLES, ("supplier", "part")), "dx_columns": (X_COLUMNS, ("supplier", "part")), "dx_measures": (X_MEASURES, ("part",)), "dx_relations": (X_RELATIONS, ("nation",)), "dx_partitions": (X_PARTITIONS, ("supplier",)),
+    "dx_pages": (X_PAGES, ("part", "events", "region")), "dx_visuals": (X_VISUALS, ("part", "events")), "dx_refs": (X_REFS, ("part", "events", "region")),
 }
 
 

@@ -43,6 +43,7 @@ _REFS = r"SELECT DISTINCT name, unnest(regexp_extract_all(masked, '(^|[^A-Za-z0-
 FRAMES = {
     "m": _M, "r": _REFS, "s": f"SELECT *, {_masked_statement} FROM ({duck('dv_statements')})", "pt": f"SELECT *, {_masked_statement} FROM ({duck('dv_partitions')})",
     **{x: duck(y) for x, y in (("v", "dv_visuals"), ("rf", "dv_refs"), ("pg", "dv_pages"), ("rel", "dv_relations"), ("tab", "dv_tables"), ("col", "dv_columns"), ("ch", "dv_changes"), ("pa", "dv_parts"))},
+    **{f"{p}_{x}": duck(f"{q}_{x}") for p, q in (("of", "dv"), ("by", "dx")) for x in ("tables", "columns", "measures", "relations", "partitions", "pages", "visuals", "refs")},
     "nesting_if": _duck_nesting("IF"), "nesting_switch": _duck_nesting("SWITCH"), "nesting_calculate": _duck_nesting("CALCULATE"), "mentions": model_rules.MENTIONS_SQL,
 }
 
@@ -448,28 +449,29 @@ def replayed_relation_ends(v):
     return replay.Replay(v).relation_ends()
 
 
-def _exported(v: Views, name: str) -> DataFrame:
-    """A frame as a faulty export would hold it: rows lost, changed and added."""
-    rows = v.get(name).where("ord % 17 <> 0")
-    changed = {"dv_columns": ("data_type", "CASE WHEN ord % 19 = 0 THEN 'other' ELSE data_type END"), "dv_measures": ("expression", "CASE WHEN ord % 19 = 0 THEN expression || ' + 0' ELSE replace(expression, ' ', '   ') END"), "dv_relations": ("active", "CASE WHEN ord % 19 = 2 THEN NOT active ELSE active END")}
-    column, how = changed[name]
-    return rows.withColumn(column, F.expr(how))
+_audited = lambda of, by, key, compared: f"(SELECT {', '.join(f'coalesce(x.{k}, y.{k}) AS {k}' for k in key)}, CASE WHEN y.ord IS NULL THEN 'missing' WHEN x.ord IS NULL THEN 'extra' WHEN {' OR '.join(f'x.{c} IS DISTINCT FROM y.{c}' for c in compared)} THEN 'differs' END AS problem FROM {of} x FULL JOIN {by} y ON {' AND '.join(f'x.{k} = y.{k}' for k in key)})"
+_ONCE = r"(SELECT ord, tbl, name, trim(regexp_replace(expression, '\s+', ' ', 'g')) AS plain FROM {0} WHERE name NOT IN (SELECT name FROM m GROUP BY name HAVING count(*) > 1))".format
 
 
-@query("SELECT tbl, name, CASE WHEN ord % 17 = 0 THEN 'missing' ELSE 'differs' END AS problem FROM col WHERE ord % 17 = 0 OR ord % 19 = 0")
+@query(f"SELECT * FROM {_audited('of_columns', 'by_columns', ['tbl', 'name'], ['data_type'])} WHERE problem IS NOT NULL")
 def audit_columns(v):
-    return edits.audit(v.get("dv_columns"), _exported(v, "dv_columns"), ["tbl", "name"], ["data_type"])
+    return edits.audit(v.get("dv_columns"), v.get("dx_columns"), ["tbl", "name"], ["data_type"])
 
 
-@query("SELECT tbl, name, CASE WHEN ord % 17 = 0 THEN 'missing' ELSE 'differs' END AS problem FROM m WHERE name NOT IN (SELECT name FROM m GROUP BY name HAVING count(*) > 1) AND (ord % 17 = 0 OR ord % 19 = 0)")
+@query(f"SELECT * FROM {_audited(_ONCE('of_measures'), _ONCE('by_measures'), ['tbl', 'name'], ['plain'])} WHERE problem IS NOT NULL")
 def audit_measures(v):
-    once = model_rules.same_names(v).select("name").distinct()
-    return edits.measure_audit(*(df.join(once, "name", "left_anti") for df in (v.get("dv_measures"), _exported(v, "dv_measures"))))
+    twice = model_rules.same_names(v).select("name").distinct()
+    return edits.measure_audit(*(v.get(x).join(twice, "name", "left_anti") for x in ("dv_measures", "dx_measures")))
 
 
-@query("SELECT ord, CASE WHEN ord % 17 = 0 THEN 'missing' ELSE 'differs' END AS problem FROM rel WHERE ord % 17 = 0 OR ord % 19 = 2")
+@query(f"SELECT * FROM {_audited('of_relations', 'by_relations', ['ord'], ['active', 'from_many', 'to_many', 'both_directions'])} WHERE problem IS NOT NULL")
 def audit_relations(v):
-    return edits.audit(v.get("dv_relations"), _exported(v, "dv_relations"), ["ord"], ["active", "from_many", "to_many", "both_directions"])
+    return edits.audit(v.get("dv_relations"), v.get("dx_relations"), ["ord"], ["active", "from_many", "to_many", "both_directions"])
+
+
+@query(edits.audit_sql())
+def audit_model(v):
+    return edits.model_audit(edits.objects(v, "dv"), edits.objects(v, "dx"))
 
 
 @query("SELECT rule_id, target FROM (SELECT 'DQ-MEASURE-MISSING-DEPENDENCY' AS rule_id, name AS target FROM r WHERE ref LIKE '%7' AND ref IN (SELECT name FROM m) AND name NOT LIKE '%7' AND name NOT IN (SELECT name FROM " + model_rules.MISSING_SQL + ") UNION SELECT 'REP-BROKEN-FIELD', page || '/' || visual_id FROM rf WHERE kind = 'measure' AND field LIKE '%7' AND field IN (SELECT name FROM m) AND visual_id NOT IN (SELECT visual_id FROM " + model_rules.BROKEN_SQL + "))")

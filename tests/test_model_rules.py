@@ -162,6 +162,26 @@ def test_rules_skipped_and_inbox(spark):
     assert {r["severity"]: tuple(r)[1:] for r in quality.inbox(told, triage).collect()} == {"critical": (0, 0, 0, 0), "high": (1, 0, 1, 0), "medium": (0, 0, 0, 0), "low": (1, 1, 0, 0)}
 
 
+def test_audit_of_whole_models(spark):
+    """Each check tells what is missing, extra and different; nulls are values, layout isn't, twins are compared as a set."""
+    shapes = {
+        "tables": ("ord long, name string, description string, is_hidden boolean", [(1, "A", None, False), (2, "B", "x", True)], [(1, "A", "", False), (2, "B", "x", True)]),
+        "columns": ("ord long, tbl string, name string, data_type string, kind string", [(1, "A", "k", "int", "data"), (2, "A", "l", "int", "data")], [(2, "A", "l", "int", "data"), (3, "B", "k", "int", "data")]),
+        "measures": ("ord long, tbl string, name string, expression string, format_string string", [(1, "A", "m", "a +  b", None), (2, "A", "m", "c", "0"), (3, "A", "n", "d", None)], [(2, "A", "m", " c ", "0"), (1, "A", "m", "a + b", None), (3, "A", "n", "D", None)]),
+        "relations": ("ord long, a string, column_a string, b string, column_b string, from_many boolean, to_many boolean, both_directions boolean, active boolean", [(1, "A", "k", "B", "k", True, False, False, True)], [(1, "A", "k", "B", "k", True, False, False, False)]),
+        "partitions": ("ord long, tbl string, name string, source_type string, statement string", [(1, "A", "p", "m", "SELECT  1")], [(1, "A", "p", "m", "SELECT 1")]),
+        "pages": ("ord long, page string, display_name string, is_hidden boolean", [(1, "p", "P", False)], []),
+        "visuals": ("ord long, page string, visual_id string, type string, title string", [(1, "p", "v", "card", "T")], [(1, "p", "v", "card", None)]),
+        "refs": ("ord long, page string, visual_id string, ref_ord int, tbl string, field string, kind string", [], [(1, "p", "v", 0, None, "f", "measure")]),
+    }
+    views = Fixture({f"{p}_{name}": spark.createDataFrame(rows, schema) for name, (schema, *both) in shapes.items() for p, rows in zip(("dv", "dx"), both, strict=True)})
+    got = {r["check"]: tuple(r)[1:] for r in edits.model_audit(edits.objects(views, "dv"), edits.objects(views, "dx")).collect()}
+    assert got == {
+        "tables": (2, 0, 0, 1, "A", False), "columns": (2, 1, 1, 0, "A/k", False), "measures": (2, 0, 0, 1, "A/n", False), "formats": (2, 0, 0, 0, None, True), "relations": (1, 0, 0, 1, "A/k/B/k", False),
+        "partitions": (1, 0, 0, 0, None, True), "statements": (1, 0, 0, 0, None, True), "pages": (1, 1, 0, 0, "p", False), "visuals": (1, 0, 0, 0, None, True), "titles": (1, 0, 0, 1, "p/v", False), "bindings": (0, 0, 1, 0, "p/v/0", False),
+    }
+
+
 def test_audit_and_versions(spark):
     a = spark.createDataFrame([("T", "x", "SUM ( 1 )"), ("T", "y", "2"), ("T", "z", None)], "tbl string, name string, expression string")
     b = spark.createDataFrame([("T", "x", "SUM  (\n1 )"), ("T", "z", "3"), ("T", "w", "4")], "tbl string, name string, expression string")
