@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,7 @@ from .operators.model_rules import Views
 from .operators.rules import FUNCTIONS, QA, SQL, Rule, findings, sql_rewrites
 from .operators.scoring import category_scores
 from .plans.derived import duck
-from .sources import parts
+from .sources import parts, versions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -574,3 +575,15 @@ def m_strings(v):
     written = parts.encode_m(F.col("expression"))
     return v.get("dv_measures").select("ord", written.alias("written"), parts.decode_m(written).alias("read"))
 
+
+_CONTENTS = "(SELECT file, sha256(string_agg(part || ':' || sha256(doc), chr(10) ORDER BY part, sha256(doc))) AS sha256 FROM pa GROUP BY file)"
+
+
+@query(f"SELECT sha256, max_by(created, batch) AS created, max_by(name, batch) AS name FROM (SELECT sha256, 2 * file AS created, 'first ' || file AS name, 0 AS batch FROM {_CONTENTS} WHERE file % 3 > 0 UNION ALL SELECT sha256, 3 * file % 700, 'again ' || file, 1 FROM {_CONTENTS} WHERE file % 2 = 0) GROUP BY sha256 ORDER BY 2 DESC, 1 LIMIT 25")
+def stored_versions(v):
+    spark = v.get("dv_parts").sparkSession
+    hashes = versions.content_hashes(v.get("dv_parts").withColumn("bytes", F.encode("doc", "UTF-8")))
+    store = versions.VersionStore(spark, f"versions_{uuid.uuid4().hex}")
+    store.save(hashes.where("file % 3 > 0").select("sha256", F.expr("2 * file AS created"), F.concat(F.lit("first "), F.col("file").cast("string")).alias("name")), 0)
+    store.save(hashes.where("file % 2 = 0").select("sha256", F.expr("3 * file % 700 AS created"), F.concat(F.lit("again "), F.col("file").cast("string")).alias("name")), 1)
+    return store.kept()

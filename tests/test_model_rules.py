@@ -203,3 +203,20 @@ def test_parts(spark):
     assert {r["data_type"] for r in parts.columns(found).collect()} == {"unknown"}
     odd = spark.createDataFrame([('a "b" #\n\t#(lf)',)], "e string")
     assert odd.select(parts.decode_m(parts.encode_m(F.col("e")))).first()[0] == 'a "b" #\n\t#(lf)'
+
+
+def test_version_store(spark):
+    from modelloom.sources.versions import VersionStore, content_hashes
+
+    parts = [("f", "b", b"1"), ("f", "a", b"2"), ("g", "a", b"2"), ("g", "b", b"1"), ("h", "a", b"1"), ("h", "b", b"2"), ("i", "a", None)]
+    got = {r["file"]: r["sha256"] for r in content_hashes(spark.createDataFrame(parts, "file string, part string, bytes binary")).collect()}
+    assert got["f"] == got["g"] and len(set(got.values())) == 3
+    shape = "sha256 string, created long, name string"
+    store = VersionStore(spark, "versions_of_a_test", 2)
+    store.save(spark.createDataFrame([("a", 1, "x"), ("a", 5, "newer"), ("b", 9, "y"), ("c", 2, "z")], shape), 0)
+    store.save(spark.createDataFrame([("b", 3, "again"), ("c", 2, "z"), ("d", 4, "w")], shape), 1)
+    assert {tuple(r) for r in store.current().collect()} == {("a", 5, "newer"), ("b", 3, "again"), ("c", 2, "z"), ("d", 4, "w")}
+    assert spark.table("versions_of_a_test").count() == 5 and [r["sha256"] for r in store.kept(2).collect()] == ["a", "d"]
+    plan = store.current()._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    spark.sql("DROP TABLE versions_of_a_test")
