@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded, lean, only, partitions, pieces, prepare, text_buffers
+from .common import bounded, lean, only, partitions, pieces, prepare, staged, text_buffers
 from .tokens import SLICE, encoder
 
 
@@ -58,7 +58,7 @@ def read_metadata(spark: SparkSession, path: str, ids: bool = False) -> DataFram
     totals = rows.groupBy("part").agg(F.sum("n_tokens").alias("words"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select("part", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("base"))
-    return rows.join(bounded(bases), "part").select("doc_id", (F.col("base") + F.col("start_in_part")).alias("start"), "n_tokens", *["ids"] * ids)
+    return rows.join(bounded(staged(bases, "bases")), "part").select("doc_id", (F.col("base") + F.col("start_in_part")).alias("start"), "n_tokens", *["ids"] * ids)
 
 
 def read_checked(spark: SparkSession, path: str) -> DataFrame:
