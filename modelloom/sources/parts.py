@@ -89,9 +89,9 @@ def decode_m(text: Column) -> Column:
 
 
 def coverage(parts: DataFrame) -> DataFrame:
-    """(kind, property, n): how often model tables, columns and measures carry each property, from decoded parts, as variants; documents that are
-    a model by themselves are not counted."""
-    tables = parts.select(F.try_parse_json("text").alias("v")).select(F.try_variant_get("v", "$.model.tables", "array<variant>").alias("t")).select(F.explode("t").alias("t"))
+    """(kind, property, n): how often model tables, columns and measures carry each property, from decoded parts, as variants; documents that
+    are a model by themselves count too, as `models` reads them (the reference's audit looks under `model` only)."""
+    tables = parts.select(F.try_parse_json("text").alias("v")).select(F.coalesce(F.try_variant_get("v", "$.model.tables", "array<variant>"), F.try_variant_get("v", "$.tables", "array<variant>")).alias("t")).select(F.explode("t").alias("t"))
     of = lambda name: tables.select(F.explode(F.try_variant_get("t", f"$.{name}", "array<variant>")).alias("t")).select(F.lit(name[:-1]).alias("kind"), "t")
     every = tables.select(F.lit("table").alias("kind"), "t").union(of("columns")).union(of("measures"))
     return every.select("kind", F.explode(F.json_object_keys(F.to_json("t"))).alias("property")).groupBy("kind", "property").agg(F.count(F.lit(1)).alias("n"))

@@ -220,3 +220,9 @@ def test_version_store(spark):
     plan = store.current()._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
     spark.sql("DROP TABLE versions_of_a_test")
+
+
+def test_coverage_counts_bare_models_too(spark):
+    docs = ['{"model":{"tables":[{"name":"A","columns":[{"name":"c"}]}]}}', '{"tables":[{"name":"B","isHidden":true,"measures":[{"name":"m"}]}]}']
+    got = {(r["kind"], r["property"]): r["n"] for r in parts.coverage(spark.createDataFrame([(d,) for d in docs], "text string")).collect()}
+    assert got[("table", "name")] == 2 and got[("table", "isHidden")] == 1 and got[("measure", "name")] == 1 and got[("column", "name")] == 1
