@@ -47,6 +47,21 @@ def test_depths_of_chains_and_cycles(spark):
     assert graph.depths(spark.createDataFrame([], "name string, ref string")).count() == 0
 
 
+def test_closure_rounds_grow_with_the_logarithm(spark, monkeypatch):
+    rounds, staged = [], graph.staged
+    monkeypatch.setattr(graph, "staged", lambda df, name: rounds.append(name) or staged(df, name))
+    chain = [(f"n{i:02}", f"n{i + 1:02}") for i in range(30)] + [("n30", "n25")]
+    got = [tuple(r) for r in graph.closure(spark.createDataFrame(chain, "name string, ref string")).select("name", "reached").collect()]
+    want = {(f"n{i:02}", f"n{j:02}") for i in range(31) for j in range(min(i + 1, 25), 31)}
+    assert set(got) == want and len(got) == len(want) and len(rounds) <= 7
+
+
+def test_long_views_are_not_broadcast(spark):
+    views = model_rules.Views(spark, SF)
+    plan = views.calls()._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+
+
 def test_edges_that_close_a_loop(spark):
     for edges in ([(0, "a", "b"), (1, "b", "c"), (2, "c", "a"), (3, "c", "c"), (4, "d", "e"), (5, "e", "d"), (6, "d", "a"), (7, "e", "b")], [(9 - i, f"n{i}", f"n{i + 1}") for i in range(9)], []):
         parent, want = {}, set()
