@@ -180,7 +180,7 @@ def _no_date_table(v: Views) -> DataFrame:
 
 
 _add("DQ-NO-DATE-TABLE", "Data", "high", "name", _no_date_table, rf"FROM m WHERE NOT EXISTS (SELECT 1 FROM tab WHERE data_category = 'Time') AND regexp_matches(bare, '(?i)\b({'|'.join(text.TIME_FUNCTIONS)})\s*\(')")
-_add("OPT-DAX-LONG-CHAIN", "DAX", "low", "name", lambda v: v.get("dv_measures").join(graph.depths(v.calls()), "name").where(f"depth >= {CHAIN}"), f"FROM (SELECT m.name FROM m JOIN {graph.DEPTHS_SQL} d USING (name) WHERE depth >= {CHAIN})")
+_add("OPT-DAX-LONG-CHAIN", "DAX", "low", "name", lambda v: v.get("dv_measures").join(graph.deep(v.calls(), CHAIN).hint("merge"), "name"), f"FROM (SELECT m.name FROM m JOIN {graph.DEPTHS_SQL} d USING (name) WHERE depth >= {CHAIN})")
 _add("OPT-DAX-NESTED-BRANCHING", "DAX", "medium", "name", lambda v: v.measures().where(F.greatest(text.nesting(F.col("bare"), "IF"), text.nesting(F.col("bare"), "SWITCH")) >= 4), "FROM m WHERE ord IN (SELECT ord FROM nesting_if WHERE deepest >= 4 UNION ALL SELECT ord FROM nesting_switch WHERE deepest >= 4)")
 _add("OPT-DAX-COMPLEX", "DAX", "medium", "name", lambda v: v.measures().where((F.octet_length(F.encode("expression", "UTF-16LE")) > 1800) | (text.line_count(F.col("expression")) > 25)), r"FROM m WHERE length(expression) > 900 OR len(regexp_split_to_array(expression, '\r?\n')) > 25")
 _add("OPT-DAX-FILTER-CALCULATE", "DAX", "medium", "name", lambda v: v.measures().where(text.count_calls(F.col("bare"), "FILTER") + text.count_calls(F.col("bare"), "CALCULATE") >= 5), r"FROM m WHERE len(regexp_extract_all(bare, '(?i)\bFILTER\s*\(')) + len(regexp_extract_all(bare, '(?i)\bCALCULATE\s*\(')) >= 5")

@@ -56,6 +56,21 @@ def test_closure_rounds_grow_with_the_logarithm(spark, monkeypatch):
     assert set(got) == want and len(got) == len(want) and len(rounds) <= 7
 
 
+def test_long_chains_take_as_many_rounds_as_asked_for(spark, monkeypatch):
+    rounds, staged = [], graph.staged
+    monkeypatch.setattr(graph, "staged", lambda df, name: rounds.append(name) or staged(df, name))
+    # a long chain, cycles of two to five names, ways into and out of them, a name that calls itself
+    chain = [(f"n{i:02}", f"n{i + 1:02}") for i in range(14)]
+    loops = [(f"{k}_{i}", f"{k}_{(i + 1) % k}") for k in range(2, 6) for i in range(k)]
+    calls = chain + loops + [("a", "2_0"), ("b", "a"), ("c", "3_0"), ("d", "4_0"), ("3_1", "x"), ("2_1", "n11"), ("s", "s"), ("s", "a"), ("y", "2_0"), ("2_0", "z")]
+    frame = spark.createDataFrame(calls, "name string, ref string")
+    got = {least: sorted(r["name"] for r in graph.deep(frame, least).collect()) for least in (3, 5)}
+    assert len(rounds) <= 10
+    depth = {r["name"]: r["depth"] for r in graph.depths(frame.where("name <> ref")).collect()}
+    assert got == {least: sorted(n for n, d in depth.items() if d >= least) for least in (3, 5)}
+    assert {"n10", "b", "d", "5_0"} <= set(got[5]) and not {"n11", "4_1", "c"} & set(got[5])
+
+
 def test_long_views_are_not_broadcast(spark):
     views = model_rules.Views(spark, SF)
     plan = views.calls()._jdf.queryExecution().executedPlan().toString()
