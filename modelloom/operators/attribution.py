@@ -17,11 +17,11 @@ NOT_KPI = ["slicer", "advancedSlicerVisual", "textbox", "image", "shape", "basic
 CAPTIONS = ["textbox", "shape", "actionButton", "basicShape"]
 
 
-def closure_mentions(v: Views) -> DataFrame:
+def closure_mentions(v: Views, own: DataFrame | None = None) -> DataFrame:
     """(name, tbl, n): references to each table by a measure and all measures that it reaches, each measure counted once.
 
-    Names that several measures share stand for the last of them, as calls find it."""
-    own = staged(mentions(v), "mentions").hint("merge")
+    Names that several measures share stand for the last of them, as calls find it. `own`: the staged mentions, where they are there already."""
+    own = (staged(mentions(v), "mentions") if own is None else own).hint("merge")
     last = staged(own.join(v.get("dv_measures").groupBy("name").agg(F.max("ord").alias("ord")), ["name", "ord"], "left_semi").select(F.col("name").alias("reached"), "tbl", "n"), "last_mentions").hint("merge")
     reached = graph.closure(raw_calls(v)).where("name <> reached")
     # summed by name first, then given to each measure that has it
@@ -40,8 +40,9 @@ def raw_calls(v: Views) -> DataFrame:
 def primary_tables(v: Views) -> DataFrame:
     """ord, name, primary table (null if none leads), confidence, references of the leader and of the runner-up of every measure."""
     order = Window.partitionBy("ord").orderBy(F.desc("n"), "tbl")
-    ranked = closure_mentions(v).withColumns({"rank": F.row_number().over(order), "second": F.lead("n").over(order)}).where("rank = 1").select("ord", "tbl", "n", "second")
-    direct = mentions(v).select("ord", "tbl", F.lit(True).alias("direct"))
+    own = staged(mentions(v), "mentions")
+    ranked = closure_mentions(v, own).withColumns({"rank": F.row_number().over(order), "second": F.lead("n").over(order)}).where("rank = 1").select("ord", "tbl", "n", "second")
+    direct = own.select("ord", "tbl", F.lit(True).alias("direct")).hint("merge")
     led = ranked.join(direct, ["ord", "tbl"], "left").withColumn("leads", F.expr(f"second IS NULL OR n >= second * {DOMINANCE}"))
     confidence = F.when(F.col("n").isNull(), "none").when(~F.col("leads"), "low").when(F.col("direct"), "high").otherwise("medium")
     return v.get("dv_measures").select("ord", "name", F.col("tbl").alias("home")).join(led, "ord", "left").select("ord", "name", "home", F.when(F.col("leads"), F.col("tbl")).alias("primary_table"), confidence.alias("confidence"), "n", "second")
@@ -79,15 +80,19 @@ def caption_text(label: Column) -> Column:
     return F.when(F.length(clean).between(1, 60), F.nullif(F.regexp_replace(clean, r"\s*:$", ""), F.lit("")))
 
 
-def kpi_names(v: Views) -> DataFrame:
+def kpi_names(v: Views, of: DataFrame | None = None) -> DataFrame:
     """(visual_id, page, field, tbl, label, source, distance): what every measure is called where a visual binds it.
 
     A visual's own title counts for all its measures; the caption nearest to it (above, else left, else around) only if it
-    binds one. Captions and visuals meet by page; of equal distances the earlier caption counts."""
+    binds one. Captions and visuals meet by page; of equal distances the earlier caption counts. With `of` (tbl, field) only for these measures."""
     visuals = v.get("dv_visuals").select("ord", "page", "visual_id", "type", "x", "y", "width", "height", caption_text(F.col("title")).alias("title"), caption_text(F.col("text")).alias("text"))
     bound = v.get("dv_refs").where("kind = 'measure'").select("visual_id", "field", "tbl")
     single = bound.groupBy("visual_id").agg(F.count(F.lit(1)).alias("bound")).where("bound = 1").select("visual_id")
-    captions = visuals.where(F.col("type").isin(*CAPTIONS) & F.col("text").isNotNull()).select("page", F.col("ord").alias("c_ord"), F.col("text").alias("label"), *(F.col(c).alias(f"c_{c}") for c in ("x", "y", "width", "height")))
+    every = visuals
+    if of is not None:
+        bound = bound.join(of, ["tbl", "field"], "left_semi").select("visual_id", "field", "tbl")
+        visuals = visuals.join(bound, "visual_id", "left_semi")
+    captions = every.where(F.col("type").isin(*CAPTIONS) & F.col("text").isNotNull()).select("page", F.col("ord").alias("c_ord"), F.col("text").alias("label"), *(F.col(c).alias(f"c_{c}") for c in ("x", "y", "width", "height")))
     near = visuals.where("title IS NULL").join(single, "visual_id", "left_semi").join(captions, "page")
     near = near.withColumns({
         "above": F.expr(f"CASE WHEN c_x < x + width AND x < c_x + c_width AND c_y + c_height <= y + {SLACK} AND y - (c_y + c_height) <= {GAP} THEN y - (c_y + c_height) END"),
@@ -103,11 +108,11 @@ def kpi_names(v: Views) -> DataFrame:
     return visuals.select("ord", "visual_id", "page").join(titled.union(told), "visual_id").join(bound, "visual_id")
 
 
-def best_kpi_names(v: Views) -> DataFrame:
+def best_kpi_names(v: Views, of: DataFrame | None = None) -> DataFrame:
     """(tbl, field, label, source) of each measure: titles before captions above or left of a visual before others, then by distance."""
     rank = F.when(F.col("source") == "visual-title", 0).when(F.col("source") == "caption-near", 2).otherwise(1)
     order = Window.partitionBy("tbl", "field").orderBy(rank, F.coalesce("distance", F.lit(0)), "ord")
-    return kpi_names(v).withColumn("rank", F.row_number().over(order)).where("rank = 1").select("tbl", "field", "label", "source")
+    return kpi_names(v, of).withColumn("rank", F.row_number().over(order)).where("rank = 1").select("tbl", "field", "label", "source")
 
 
 def excluded_visuals(v: Views) -> DataFrame:

@@ -26,9 +26,9 @@ _VISUAL = "concat('visual:', page, '/', visual_id)"
 
 
 def measures_by_key(v: Views) -> DataFrame:
-    """(node, tbl, name, expression, ord) of each table and name: of several measures the last."""
-    last = v.get("dv_measures").groupBy("tbl", "name").agg(F.max_by(F.struct("expression", "ord"), "ord").alias("m"))
-    return last.select(F.expr(_MEASURE).alias("node"), "tbl", "name", "m.expression", "m.ord")
+    """(node, tbl, name, ord) of each table and name: of several measures the last. Expressions stay where they are."""
+    last = v.get("dv_measures").groupBy("tbl", "name").agg(F.max("ord").alias("ord"))
+    return last.select(F.expr(_MEASURE).alias("node"), "tbl", "name", "ord")
 
 
 def shown(v: Views, page: str | None = None) -> DataFrame:
@@ -43,10 +43,12 @@ def shown(v: Views, page: str | None = None) -> DataFrame:
     return found.select("page", "visual_id", "ref_ord", "measure", F.when(F.col("exact").isNotNull(), F.col("bound_tbl")).otherwise(F.col("by_name.tbl")).alias("tbl"), "name")
 
 
-def kpis(v: Views, on: DataFrame) -> DataFrame:
-    """(visual, kpi, label): what each visual of `on` (shown) reports: what captions call its first measure, else that measure's name."""
+def kpis(v: Views, on: DataFrame, few: bool = False) -> DataFrame:
+    """(visual, kpi, label): what each visual of `on` (shown) reports: what captions call its first measure, else that measure's name.
+
+    Where `on` shows `few` measures, captions are looked for at visuals that bind one of these only."""
     first = on.groupBy("page", "visual_id").agg(F.min_by(F.struct("tbl", "name"), "ref_ord").alias("m")).select("page", "visual_id", "m.tbl", "m.name")
-    best = attribution.best_kpi_names(v).select("tbl", F.col("field").alias("name"), "label")
+    best = attribution.best_kpi_names(v, staged(first.select("tbl", F.col("name").alias("field")).distinct(), "first_measures") if few else None).select("tbl", F.col("field").alias("name"), "label")
     told = first.join(best, ["tbl", "name"], "left").withColumn("label", F.coalesce("label", "name"))
     return told.select(F.expr(_VISUAL).alias("visual"), _node("kpi", F.lower("label")).alias("kpi"), "label")
 
@@ -55,7 +57,9 @@ def calls(v: Views) -> DataFrame:
     """(caller, callee, name): measures that an expression names in brackets, behind a table or not, comments included; never itself."""
     keyed = measures_by_key(v)
     named = keyed.groupBy("name").agg(F.max_by("node", "ord").alias("callee"))
-    found = keyed.select(F.col("node").alias("caller"), F.explode(F.array_distinct(F.regexp_extract_all("expression", F.lit(r"\[([^\]]+)\]"), F.lit(1)))).alias("name"))
+    # names are cut out before measures meet, so that no expression is shuffled
+    found = v.get("dv_measures").select("tbl", F.col("name").alias("of"), "ord", F.explode(F.array_distinct(F.regexp_extract_all("expression", F.lit(r"\[([^\]]+)\]"), F.lit(1)))).alias("name"))
+    found = found.join(keyed.select("tbl", F.col("name").alias("of"), "ord", F.col("node").alias("caller")), ["tbl", "of", "ord"]).select("caller", "name")
     return found.join(named, "name").where("caller <> callee").select("caller", "callee", "name")
 
 
@@ -69,12 +73,29 @@ def source_objects(partitions: DataFrame) -> DataFrame:
     return native.select("tbl", F.nullif(F.regexp_extract(text.mask_sql(F.col("statement")), OBJECT, 1), F.lit("")).alias("object")).where("object IS NOT NULL")
 
 
+def _related(on: DataFrame, reported: DataFrame, called: DataFrame) -> DataFrame:
+    """(src, dst, kind, about) of KPIs that show one measure or of which one's calls the other's, each pair once."""
+    # postings of measures: KPIs that meet in one are related
+    built = on.select(F.expr(_VISUAL).alias("visual"), "measure", "name").join(reported, "visual").select("kpi", "measure", "name").distinct()
+    one, other = (built.select(F.col("kpi").alias(x), F.col("measure").alias(f"of_{x}"), F.col("name").alias(f"name_{x}")) for x in "ab")
+    shared = one.join(other, F.col("of_a") == F.col("of_b")).where("a < b").select("a", "b", F.lit(0).alias("rank"), F.col("name_a").alias("about"))
+    linked = one.join(called.select(F.col("caller").alias("of_a"), F.col("callee").alias("of_b")), "of_a").join(other, "of_b").where("a <> b")
+    linked = linked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit(1).alias("rank"), F.col("name_b").alias("about"))
+    return shared.union(linked).groupBy("a", "b").agg(F.min(F.struct("rank", "about")).alias("m")).select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit("related").alias("kind"), "m.about")
+
+
+def related(v: Views) -> DataFrame:
+    """The edges between KPIs alone: what feeds and reaches the measures does not decide them."""
+    on = staged(shown(v), "shown")
+    return _related(on, staged(kpis(v, on), "kpis"), staged(calls(v), "calls"))
+
+
 def edges(v: Views, page: str | None = None) -> DataFrame:
     """(src, dst, kind, about), each once: reports (visual to KPI), calls (callee to caller), feeds (table to measure), displays (measure to
     visual), loads (source to table), related (KPIs that show one measure or of which one's calls the other's). `about` names
     what the edge stands for. With `page` only what that page's visuals reach."""
     on = staged(shown(v, page), "shown")
-    reported = staged(kpis(v, on), "kpis")
+    reported = staged(kpis(v, on, few=page is not None), "kpis")
     called = staged(calls(v), "calls")
     reached = graph.reach(on.select(F.col("measure").alias("node")), called.select(F.col("caller").alias("src"), F.col("callee").alias("dst")))
 
@@ -85,14 +106,7 @@ def edges(v: Views, page: str | None = None) -> DataFrame:
     feeds = staged(reads.select(_node("table", "read").alias("src"), F.col("node").alias("dst"), F.lit("feeds").alias("kind"), F.col("read").alias("about")), "feeds")
     loads = source_objects(v.get("dv_partitions")).join(feeds.select(F.col("about").alias("tbl")).distinct(), "tbl").select(_node("source", "object"), _node("table", "tbl"), F.lit("loads"), "object")
 
-    # postings of measures: KPIs that meet in one are related
-    built = on.select(F.expr(_VISUAL).alias("visual"), "measure", "name").join(reported, "visual").select("kpi", "measure", "name").distinct()
-    one, other = (built.select(F.col("kpi").alias(x), F.col("measure").alias(f"of_{x}"), F.col("name").alias(f"name_{x}")) for x in "ab")
-    shared = one.join(other, F.col("of_a") == F.col("of_b")).where("a < b").select("a", "b", F.lit(0).alias("rank"), F.col("name_a").alias("about"))
-    linked = one.join(called.select(F.col("caller").alias("of_a"), F.col("callee").alias("of_b")), "of_a").join(other, "of_b").where("a <> b")
-    linked = linked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit(1).alias("rank"), F.col("name_b").alias("about"))
-    related = shared.union(linked).groupBy("a", "b").agg(F.min(F.struct("rank", "about")).alias("m")).select("a", "b", F.lit("related"), "m.about")
-    return reduce(DataFrame.union, (displays, reports, calls_, feeds, loads, related)).groupBy("src", "dst", "kind").agg(F.min("about").alias("about"))
+    return reduce(DataFrame.union, (displays, reports, calls_, feeds, loads, _related(on, reported, called))).groupBy("src", "dst", "kind").agg(F.min("about").alias("about"))
 
 
 def connected(found: DataFrame, start: str) -> DataFrame:

@@ -329,7 +329,7 @@ def excluded_visuals(v):
 
 @query(f"SELECT src AS a, dst AS b, about FROM {lineage.EDGES_SQL} WHERE kind = 'related'")
 def related_kpis(v):
-    return lineage.edges(v).where("kind = 'related'").select(F.col("src").alias("a"), F.col("dst").alias("b"), "about")
+    return lineage.related(v).select(F.col("src").alias("a"), F.col("dst").alias("b"), "about")
 
 
 @query(f"SELECT src, dst, kind, about FROM {lineage.EDGES_SQL}")

@@ -57,3 +57,20 @@ def test_objects_of_statements(spark):
     rows = [(1, "A", "SELECT 1 FROM \"a\".b", "Sql.Database"), (1, "B", "SELECT 1", "Sql.Database"), (1, "C", "SELECT x FROM c", "Odbc.DataSource")]
     got = {r.tbl: r.object for r in lineage.source_objects(spark.createDataFrame(rows, "ord long, tbl string, statement string, connector string")).collect()}
     assert got == {"A": '"a".b'}
+
+
+def test_related_kpis_need_no_tables(spark, monkeypatch):
+    want = {tuple(r) for r in lineage.edges(_Small(spark)).where("kind = 'related'").collect()}
+    monkeypatch.setattr(lineage, "mentions", None)
+    assert {tuple(r) for r in lineage.related(_Small(spark)).collect()} == want != set()
+
+
+def test_expressions_are_not_aggregated(spark):
+    plan = lineage.measures_by_key(Views(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "HashAggregate" in plan
+
+
+def test_captions_for_few_measures(spark):
+    on = lineage.shown(_Small(spark), "p1")
+    told = [{tuple(r) for r in lineage.kpis(_Small(spark), on, few).collect()} for few in (False, True)]
+    assert told[0] == told[1] and ("visual:p1/v1", "kpi:sales card", "Sales Card") in told[1]
