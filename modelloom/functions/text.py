@@ -46,12 +46,14 @@ def divides(bare: Column) -> Column:
 
 def referenced_measures(masked: Column) -> Column:
     """Names in brackets that no table goes before, each once, in order."""
-    return F.array_distinct(F.regexp_extract_all(masked, F.lit(r"(^|[^A-Za-z0-9_'\]])\[([^\]\r\n]+)\]"), F.lit(2)))
+    return F.array_distinct(F.regexp_extract_all(masked, F.lit(r"(?<![A-Za-z0-9_'\]])\[([^\]\r\n]+)\]"), F.lit(1)))
 
 
 def referenced_columns(masked: Column) -> Column:
-    """array<struct<tbl, name>> of the columns named after their table, each once, in order."""
-    found = F.regexp_extract_all(masked, F.lit(r"(?:'[^']+'|[A-Za-z0-9_]+)\[[^\]\r\n]+\]"), F.lit(0))
+    """array<struct<tbl, name>> of the columns named after their table, each once, in order.
+
+    A bare name is tried at its first sign only, and a reference that stands there often is cut into its parts once."""
+    found = F.array_distinct(F.regexp_extract_all(masked, F.lit(r"(?:'[^']+'|(?<![A-Za-z0-9_])[A-Za-z0-9_]++)\[[^\]\r\n]+\]"), F.lit(0)))
     part = lambda x, group: F.regexp_extract(x, r"^(?:'([^']+)'|([A-Za-z0-9_]+))\[(.*)\]$", group)
     return F.array_distinct(F.transform(found, lambda x: F.struct(F.concat(part(x, 1), part(x, 2)).alias("tbl"), part(x, 3).alias("name"))))
 
@@ -61,8 +63,8 @@ TIME_FUNCTIONS = ["SAMEPERIODLASTYEAR", "DATEADD", "DATESYTD", "DATESQTD", "DATE
 
 
 def time_functions(bare: Column) -> Column:
-    """Those of TIME_FUNCTIONS that are called, in that order: calls are looked for once, not once for each of them."""
-    called = F.regexp_extract_all(bare, F.lit(rf"(?i)(?<![A-Za-z0-9_])({'|'.join(TIME_FUNCTIONS)})\s*\("), F.lit(1))
+    """Those of TIME_FUNCTIONS that are called, in that order: all calls are looked for once, and their names compared."""
+    called = F.regexp_extract_all(bare, F.lit(r"(?<![A-Za-z0-9_])([A-Za-z]++)\s*\("), F.lit(1))
     return F.array_intersect(F.array(*map(F.lit, TIME_FUNCTIONS)), F.transform(called, lambda x: F.upper(x)))
 
 
@@ -107,19 +109,20 @@ def line_count(text: Column) -> Column:
 
 def nesting(bare: Column, name: str) -> Column:
     """How deep calls of `name` (at most four spaces before the parenthesis) stand within each other: a fold over calls and
-    parentheses that keeps open ones in an array."""
-    parts = F.regexp_extract_all(bare, F.lit(rf"(?i)(?<![A-Za-z0-9_]){name}\s{{0,4}}\(|[()]"), F.lit(0))
+    parentheses that keeps open ones in an array, where the text has such a call at all."""
+    call = rf"(?i)(?<![A-Za-z0-9_]){name}\s{{0,4}}\("
+    parts = F.regexp_extract_all(bare, F.lit(rf"{call}|[()]"), F.lit(0))
     start = F.struct(F.array().cast("array<boolean>").alias("open"), F.lit(0).alias("now"), F.lit(0).alias("most"))
 
     def step(s: Column, t: Column) -> Column:
-        call = F.length(t) > 1
+        is_call = F.length(t) > 1
         closed = F.struct(
             F.when(F.size(s["open"]) > 0, F.slice(s["open"], 1, F.greatest(F.size(s["open"]) - 1, F.lit(0)))).otherwise(s["open"]).alias("open"),
             (s["now"] - F.when((F.size(s["open"]) > 0) & F.coalesce(F.try_element_at(s["open"], F.lit(-1)), F.lit(False)), 1).otherwise(0)).alias("now"),
             s["most"].alias("most"),
         )
-        now = s["now"] + F.when(call, 1).otherwise(0)
-        opened = F.struct(F.concat(s["open"], F.array(call)).alias("open"), now.alias("now"), F.greatest(s["most"], now).alias("most"))
+        now = s["now"] + F.when(is_call, 1).otherwise(0)
+        opened = F.struct(F.concat(s["open"], F.array(is_call)).alias("open"), now.alias("now"), F.greatest(s["most"], now).alias("most"))
         return F.when(t == ")", closed).otherwise(opened)
 
-    return F.aggregate(parts, start, step, lambda s: s["most"].cast("bigint"))
+    return F.when(~bare.rlike(call), F.lit(0).cast("bigint")).otherwise(F.aggregate(parts, start, step, lambda s: s["most"].cast("bigint")))

@@ -1,3 +1,7 @@
+import random
+import re
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -42,6 +46,26 @@ def test_references(spark):
     assert _one(spark, "totalytd ( 1 ) + DATEADD(2) -- NEXTYEAR (", lambda c: text.time_functions(_bare(c))) == ["DATEADD", "TOTALYTD"]
 
 
+def test_references_of_random_texts(spark):
+    dice = random.Random(7)
+    texts = ["".join(dice.choices("[]'aB_1 \n(", k=dice.randrange(30))) for _ in range(400)] + [f"{x} {y} (" for x in ("DATEADD", "xDATEADD", "dateadd2", "_") for y in ("datesYTD", "T[c]")]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, e string").select("i", text.referenced_measures(F.col("e")).alias("m"), text.referenced_columns(F.col("e")).alias("c"), text.time_functions(F.col("e")).alias("t")).orderBy("i").collect()
+    for e, r in zip(texts, rows, strict=True):
+        assert r["m"] == list(dict.fromkeys(x[1] for x in re.findall(r"(^|[^A-Za-z0-9_'\]])\[([^\]\r\n]+)\]", e))), e
+        columns = [re.match(r"^(?:'([^']+)'|([A-Za-z0-9_]+))\[(.*)\]$", x) for x in re.findall(r"(?:'[^']+'|[A-Za-z0-9_]+)\[[^\]\r\n]+\]", e)]
+        # a name in quotes may hold a line end, brackets stay on one line
+        assert [tuple(x) for x in r["c"]] == list(dict.fromkeys(((m[1] or "") + (m[2] or ""), m[3]) for m in columns)), e
+        called = {x.upper() for x in re.findall(rf"(?i)(?<![A-Za-z0-9_])({'|'.join(text.TIME_FUNCTIONS)})\s*\(", e)}
+        assert r["t"] == [x for x in text.TIME_FUNCTIONS if x in called], e
+
+
+def test_long_texts_take_no_time_by_the_square(spark):
+    began = time.monotonic()
+    assert _one(spark, "A" * 400_000 + " T[c]", text.referenced_columns) == [("T", "c")]
+    assert _one(spark, "(" * 120_000, lambda c: text.nesting(c, "IF")) == 0
+    assert time.monotonic() - began < 20
+
+
 def test_table_mentions(spark):
     found = _one(spark, "VAR Orders = 1 RETURN Orders + COUNTROWS ( Sales ) + SUM ( 'My T'[Amt] ) + Sales ( 2 ) + 'odd Sales", lambda c: text.table_mentions(text.mask_dax(c)))
     assert found.count("Sales") == 1 and found.count("My T") == 1 and "Orders" not in found and "SUM" not in found
