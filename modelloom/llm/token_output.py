@@ -19,6 +19,10 @@ from .common import bounded, lean, only, partitions, pieces, prepare, staged, te
 from .tokens import SLICE, encoder
 
 
+#: Pieces in a generation of a worker's memo, about 200 bytes each: texts of few common words meet theirs again after many others.
+PIECES = 400_000
+
+
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, split: str, end_id: int, encoding: str = "dictionary", row_group: int = 32 << 20, page: int = 64 << 10) -> None:
     """Writes (part, doc_id, start_in_part, n_tokens, ids) of every row of `docs` (doc_id, text, ...), ids with `end_id` at the end.
 
@@ -29,7 +33,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, split: str, end_id:
     prepare(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, at, part = encoder(tokenizer, split), 0, TaskContext.get().partitionId()
+        code, at, part = encoder(tokenizer, split, PIECES), 0, TaskContext.get().partitionId()
         for batch in batches:
             for i, j in pieces(text_buffers(batch.column(1))[0], SLICE):
                 rows = batch.slice(i, j - i)

@@ -116,12 +116,12 @@ def tiles(off: np.ndarray, raw: np.ndarray, digits_alone: bool) -> np.ndarray:
 class _Memo(dict):
     """part -> its ids' bytes. A full generation becomes the older one, from which pieces are taken over when met again."""
 
-    def __init__(self, make):
+    def __init__(self, make, size: int | None):
         super().__init__()
-        self.make, self.older = make, {}
+        self.make, self.size, self.older = make, size, {}
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) > MEMO:
+        if len(self) > (self.size or MEMO):
             self.older = dict(self)
             self.clear()
         ids = self.older.get(piece)
@@ -141,7 +141,7 @@ class Encoder:
     the model, and the texts' ids are then gathered by numbers of tiles.
     """
 
-    def __init__(self, path: str, split: str):
+    def __init__(self, path: str, split: str, memo: int | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -151,7 +151,7 @@ class Encoder:
         self.model = self.tokenizer.model
         self.cuts = CUTS.get(split)
         self.spelling = _byte_alphabet()
-        self.memo = _Memo(self._part)
+        self.memo = _Memo(self._part, memo)
 
     def _library(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -169,7 +169,9 @@ class Encoder:
         """The ids of a part of a text."""
         word = text[1:] if text[0] == " " else text
         if word.isalpha() and word.isascii():
-            return self._piece(word if self.split == "at" else text)
+            if self.split == "at":  # ASCII letters are spelled as themselves
+                return array("I", [t.id for t in self.model.tokenize(word.lower())]).tobytes()
+            return self._piece(text)
         if not text.isascii() and self.split == "at" and not unicodedata.is_normalized("NFC", text) or _ODD_SPACE.search(text):
             return self._library(text)
         try:
@@ -218,6 +220,6 @@ class Encoder:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str, split: str) -> Encoder:
+def encoder(path: str, split: str, memo: int | None = None) -> Encoder:
     """One for each worker process."""
-    return Encoder(path, split)
+    return Encoder(path, split, memo)

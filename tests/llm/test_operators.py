@@ -201,6 +201,16 @@ def test_ids_are_the_library_s(file, split, monkeypatch):
         assert ids[begin[i] : begin[i + 1]].tolist() == whole.encode(t or "", add_special_tokens=False).ids, t
 
 
+def test_a_memo_of_its_own_size_makes_each_piece_once(monkeypatch):
+    monkeypatch.setattr(tokens, "MEMO", 50)
+    coder, made = Encoder(public_tokenizers.path("word_bpe_49k.json"), "at", 1000), []
+    coder.memo.make = lambda piece: made.append(piece) or coder._part(piece)
+    names = [f"word{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uvwx'[i // 100]}" for i in range(400)]
+    for words in (names[:200], names[200:], names[:200]):
+        coder.encode([" ".join(words)])
+    assert len(made) == len(set(made)) == 400
+
+
 def test_pack_and_token_files(spark, tmp_path):
     docs = _docs(spark, [*TEXTS, None, "long " * 3000]).repartition(3)
     path = public_tokenizers.path("word_bpe_49k.json")
