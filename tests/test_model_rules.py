@@ -180,6 +180,12 @@ def test_duplicate_sources(spark):
     assert told(("unsafe", "E,F,G,H"), "canonical", "blockers", "statement", *counts) == ("E", "filter,grain,steps", None, 0, 0, 0, 0)
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
+def test_inbox_runs_the_rules_once(spark):
+    plan = registry.QUERIES["inbox_counts"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Union" not in plan and plan.count("parquet") == 2
+
+
 def test_rules_skipped_and_inbox(spark):
     found = spark.createDataFrame([(1, None, None), (2, "m", None), (3, None, "l"), (4, "m", "l")], "file long, model_part string, layout_part string")
     got = {(r["file"], r["category"]): (r["rules_run"], r["rules_skipped"], r["reason"]) for r in quality.rules_run(quality.capabilities(found)).collect()}
